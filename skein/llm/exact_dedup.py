@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import scratch, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores shouldn't each reserve megabytes ahead, nor upload whole snapshots.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: A digest with more than 1/HOT of all rows is joined apart; there can be at most HOT of them.
 HOT = 1000
 
@@ -53,18 +58,17 @@ def _state(feed: DataFrame) -> DataFrame:
     spark = feed.sparkSession
     path = sorted({f.rsplit("/", 1)[0] for f in feed.inputFiles()})
     checkpoint = scratch(spark, "dedupstate")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STORE}
     try:
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
         stream = spark.readStream.schema(feed.schema).parquet(path[0])
         state = stream.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("neg_len", "no_id", "id", "loc")).alias("keep"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     store = spark.read.format("statestore").load(checkpoint)
     count, keep = (F.col(f"value.`{x.name}`") for x in store.schema["value"].dataType.fields)
     return store.select(F.col("key.digest").alias("digest"), count.alias("group_size"), keep.alias("keep"))
