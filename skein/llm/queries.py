@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exact_dedup, minhash, mixing, packing, quality_rules, token_store
+from skein.llm import context_mixing, exact_dedup, license_scan, minhash, mixing, packing, quality_model, quality_rules, site_style, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,26 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
 
 
+def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, size=1024)
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op4_best_fit_packing, op7_bag_minhash, op8_token_store, op9_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix, op2_site_style, op3_quality_model, op4_best_fit_packing, op5_context_mixing, op6_license_scan, op7_bag_minhash, op8_token_store, op9_quality_rules, op10_exact_dedup)}
 
 
 OP1_SQL = r"""
@@ -82,4 +98,4 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id ASC NULLS LAST ROWS B
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_mix": OP1_SQL, "op6_license_scan": license_scan.oracle(), "op10_exact_dedup": OP10_SQL}
