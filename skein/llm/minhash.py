@@ -8,8 +8,8 @@ process stops once it passes the latest of them. Two components are then equal w
 weighted Jaccard similarity, at a cost that doesn't grow with the weights.
 
 Equal signatures in a band of components make candidates. In a bucket every member is first held
-against one leader, so a bucket of n near copies costs n comparisons; only members that stay apart
-from their bucket's largest class meet the others. Candidates are verified on whole texts. Classes are
+against one leader, so a bucket of n near copies costs n comparisons; members that stay apart from
+their bucket's largest class meet a few more, and only those still apart meet all the others. Candidates are verified on whole texts. Classes are
 the connected components of the verified links.
 
 Defined results: texts of equal words are one node; a null, empty or blank text has no shingles and is
@@ -31,8 +31,14 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 40, 6
 #: Of 64 bits, one for each of as many components, so many may differ: at similarity 0.8, 6.4 do on
 #: average with a deviation of 2.4.
-APART = 24
+APART = 22
+#: Of 240 components, compared by four bits each, so many may differ: at similarity 0.8, 45 do on
+#: average with a deviation of 6.
+WIDE_APART = 73
+#: Turns of one comparison for each member that its bucket's largest class doesn't hold.
+TURNS = 3
 KEPT_WORDS = 400_000
+NEVER = np.int64((1 << 63) - 1)
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,8 +96,9 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
-    """n x size earliest points; infinite where a text has no shingles."""
-    sig = np.full((n, size), np.inf)
+    """n x size earliest points, in units of 2**-44 (whole numbers, so that sums don't depend on how a
+    process is cut into blocks); NEVER where a text has no shingles."""
+    sig = np.full((n, size), NEVER)
     if not len(text):
         return sig
     docs, seeds, rates, shares = [text], [_mixed(shingle * _G + _M1)], [np.ones(len(text))], [np.ones(len(text))]
@@ -103,12 +110,13 @@ def signatures(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray,
         shares.append(np.minimum((count[deep] - low) / low, 1.0))
         level, low = level + 1, low * 2
     doc, seed, rate, share = (np.concatenate(x) for x in (docs, seeds, rates, shares))
-    x, flat, done = np.zeros(len(doc)), sig.reshape(-1), 0
+    x, flat, done = np.zeros(len(doc), np.int64), sig.reshape(-1), 0
     while len(doc):
         block = int(np.clip(300_000 // len(doc), 1, 64)) if done else 1
         z = _mixed(seed[:, None] + np.arange(done + 1, done + block + 1, dtype=np.uint64) * _G)
         z2 = _mixed(z + _M1)
-        points = x[:, None] - np.cumsum(np.log(((z >> np.uint64(11)) + np.uint64(1)) * 2.0**-53), axis=1) / rate[:, None]
+        steps = np.log(((z >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) * (-(2.0**44) / rate[:, None])
+        points = x[:, None] + np.cumsum(np.rint(steps).astype(np.int64), axis=1)
         place = ((z2 >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
         inside = (z2 & np.uint64(0xFFFFFFFF)) * 2.0**-32 < share[:, None]
         np.minimum.at(flat, (doc[:, None] * size + place.astype(np.int64))[inside], points[inside])
@@ -119,23 +127,37 @@ def signatures(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray,
 
 
 def banded(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text its band hashes, and 64 bits of which equal texts share all."""
+    """Per text its band hashes, and 4 planes of 4 words with a bit for each component."""
     bits = _mixed(np.ascontiguousarray(sig).view(np.uint64))
     rows = bits.reshape(len(sig), BANDS, ROWS)
     total = np.zeros((len(sig), BANDS), np.uint64)
     for k in range(ROWS):
         total = _mixed(total + rows[:, :, k] + _odd(k))
-    sketch = ((bits[:, :64] & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return _mixed(total + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2).view(np.int64), sketch.view(np.int64)
+    wide = np.zeros((len(sig), 16), np.uint64)
+    for plane in range(4):
+        one = (bits >> np.uint64(plane)) & np.uint64(1)
+        for word in range(4):
+            part = one[:, 64 * word : 64 * word + 64]
+            wide[:, 4 * plane + word] = (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return _mixed(total + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2).view(np.int64), wide.view(np.int64)
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two texts with words."""
-    text, shingle, count = shingles([a, b])
-    cut = int(np.searchsorted(text, 1))
-    _, i, j = np.intersect1d(shingle[:cut], shingle[cut:], assume_unique=True, return_indices=True)
-    both = int(np.minimum(count[:cut][i], count[cut:][j]).sum())
-    return both / (int(count.sum()) - both)
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two multisets (sorted shingles, counts) that aren't empty."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    same = a[0][at] == b[0]
+    both = int(np.minimum(a[1][at[same]], b[1][same]).sum())
+    return both / (int(a[1].sum()) + int(b[1].sum()) - both)
+
+
+class Multisets(dict):
+    """The shingles of texts met lately."""
+
+    def __missing__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= 1000:
+            self.clear()
+        self[text] = found = shingles([text])[1:]
+        return found
 
 
 def word_key(text: Column) -> Column:
@@ -148,7 +170,7 @@ def _texts(batch, name: str) -> list[bytes]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key of every row; n (shingles), sketch and bands where the task meets the key first."""
+    """doc_id, key of every row; n (shingles), wide and bands where the task meets the key first."""
 
     def run(batches):
         import pyarrow as pa
@@ -173,10 +195,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 n, bits, rows = ([None] * len(keys) for _ in range(3))
                 for j, i in enumerate(first):
                     if sizes[j]:
-                        n[i], bits[i], rows[i] = int(sizes[j]), int(sketch[j]), bands[j]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch", "bands"])
+                        n[i], bits[i], rows[i] = int(sizes[j]), sketch[j], bands[j]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "wide", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, wide array<long>, bands array<long>")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -184,14 +206,24 @@ def _may_link(a: str, b: str) -> Column:
     return (F.least(*n) >= F.greatest(*n) * SIMILAR) & (F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= APART)
 
 
+def _may_link_wide(a: str, b: str) -> Column:
+    """The same by all components."""
+    differ = []
+    for word in range(4):
+        planes = [F.col(f"{a}wide")[4 * p + word].bitwiseXOR(F.col(f"{b}wide")[4 * p + word]) for p in range(4)]
+        differ.append(F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3])))
+    return sum(differ[1:], differ[0]) <= WIDE_APART
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those pairs (a, b) whose texts are near. A key in most pairs is dealt out by salt."""
 
     def run(batches):
         import pyarrow as pa
 
+        known = Multisets()
         for batch in batches:
-            near = [i for i, (x, y) in enumerate(zip(_texts(batch, "ta"), _texts(batch, "tb"), strict=True)) if similarity(x, y) >= similar]
+            near = [i for i, (x, y) in enumerate(zip(_texts(batch, "ta"), _texts(batch, "tb"), strict=True)) if overlap(known[x], known[y]) >= similar]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(64)))
@@ -221,8 +253,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, signed: DataFrame, similar: float) -> DataFrame | None:
     """Links (a, b) between keys that give the same components as all links."""
-    nodes = signed.where("bands is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    rows = written(nodes, "nodes").select(F.explode("bands").alias("band"), "key", "n", "sketch")
+    nodes = signed.where("bands is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    rows = nodes.select(F.explode("bands").alias("band"), "key", "n", F.col("wide")[0].alias("sketch"))
     leaders = rows.groupBy("band").agg(F.min(F.struct("key", "n", "sketch")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     shared = written(rows.join(leaders.select("band", F.col("lead.key").alias("l_key"), F.col("lead.n").alias("l_n"), F.col("lead.sketch").alias("l_sketch")), "band"), "buckets")
     if shared.isEmpty():
@@ -231,20 +264,37 @@ def _links(docs: DataFrame, signed: DataFrame, similar: float) -> DataFrame | No
     texts = docs.select(word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     texts = written(texts.join(mates, "key", "left_semi").dropDuplicates(["key"]), "texts")
     stars = shared.where(_may_link("", "l_") & (F.col("key") != F.col("l_key"))).select(F.col("l_key").alias("a"), F.col("key").alias("b")).distinct()
+    stars = written(stars, "stars")
     links = written(_verified(stars, texts, similar), "links")
 
-    # Members that their leader's class doesn't hold: each against its bucket's members in other classes.
-    placed = shared.select("band", "key", "n", "sketch").join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("most")).where("classes > 1").select("band", "most")
-    apart = placed.join(mixed, "band")
-    x = apart.where("root <> most").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "sketch", "root")])
-    y = apart.select("band", "most", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "sketch", "root")])
-    once = (F.col("y_root") == F.col("most")) | (F.col("x_key") < F.col("y_key"))
-    rest = x.join(y, (x["band"] == y["band"]) & (F.col("x_root") != F.col("y_root")) & once & _may_link("x_", "y_"))
-    rest = rest.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(written(rest, "rest"), texts, similar))
+    # Members that their bucket's largest class doesn't hold: a few turns against one other member of it
+    # each, which links most of those that can be, and then against all that are left in other classes.
+    tested = stars
+    for turn in range(TURNS + 1):
+        placed = shared.select("band", "key", "n", "sketch").join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = written(placed, "placed")
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
+        mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("most")).where("classes > 1").select("band", "most")
+        apart = written(placed.join(mixed, "band"), "apart")
+        if apart.isEmpty():
+            break
+        x = apart.where("root <> most").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "sketch", "root")])
+        if turn < TURNS:
+            pick = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "sketch")).alias("y")
+            y = apart.where("root = most").groupBy("band").agg(pick).select("band", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("key", "n", "sketch")])
+            rest = x.join(y, "band").where(_may_link("x_", "y_"))
+        else:
+            # A key is in BANDS buckets at most, so no key is hot here.
+            apart = written(apart.join(nodes.select("key", "wide"), "key"), "wide")
+            x = apart.where("root <> most").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "sketch", "root", "wide")])
+            y = apart.select("band", "most", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "sketch", "root", "wide")])
+            once = (F.col("y_root") == F.col("most")) | (F.col("x_key") < F.col("y_key"))
+            rest = x.join(y, (x["band"] == y["band"]) & (F.col("x_root") != F.col("y_root")) & once & _may_link("x_", "y_") & _may_link_wide("x_", "y_"))
+        rest = rest.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        rest = written(rest, "rest")
+        links = written(links.unionByName(_verified(rest, texts, similar)), "links")
+        tested = tested.unionByName(rest)
+    return links
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
