@@ -83,7 +83,7 @@ def resolved(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
     feed = written(keyed.select("_k.*"), "dedupfeed")
     total = feed.count()
     if not total:
-        return feed.select("loc", F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest").alias("_dup"))
+        return feed.select("loc", F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest").alias("_dup"), "id")
     state = written(_state(feed), "dedupgroups")
 
     # Full bytes on hits. Members of hot digests (at most HOT, so broadcast) are compared where they lie;

@@ -116,7 +116,7 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, pair_rounds: int = 12, n_pairs: int = 6, rate: float = 0.15, smooth: float = 2.0) -> Model:
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return Model(float(np.log((mean + 1e-6) / (1 - mean + 1e-6))), [], [], [], 1)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     coarse = bins // 8

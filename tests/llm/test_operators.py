@@ -1,0 +1,240 @@
+"""Each operator against a brute-force version on a small fixture with all the awkward cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from skein.llm import context_mixing, exact_dedup, license_scan, minhash, mixing, packing, quality_model, quality_rules, site_style, token_store
+from skein.llm.tokens import UnitEncoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_mix_comes_near_its_targets(stored):
+    found = rows(mixing.decided(stored).select("doc_id", "text", "source", "_mix.*"))
+    assert len(found) == stored.count()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in found:
+        assert r["size"] == len(WORD.findall(r["text"] or "")) and 0 <= r["copies"] <= 3
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    for s, t in target.items():
+        most = max(r["size"] for r in found if r["source"] == s)
+        assert t <= 3 * sizes[s] + 1e-6 and abs(taken[s] - t) <= most / 2 + 1
+    assert mixing.mix(stored).columns == stored.columns
+    again = rows(mixing.decided(stored.repartition(5)).select("doc_id", "_mix.copies"))
+    key = lambda rs: sorted((str(r["doc_id"]), r["copies"]) for r in rs)
+    assert key(again) == key(found)
+
+
+@pytest.mark.parametrize("digest", [None, lambda text: (F.length(text) % 3).cast("string")])
+def test_exact_dedup(stored, digest):
+    found = rows(exact_dedup.groups(stored)) if digest is None else [{"doc_id": r["id"], **r["_dup"].asDict()} for r in exact_dedup.resolved(stored, digest).collect()]
+    groups = defaultdict(list)
+    for r in rows(stored):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append(r)
+    assert len(found) == stored.count() and sum(r["kept"] for r in found) == len(groups)
+    want = Counter()
+    for text, members in groups.items():
+        keep = min(members, key=lambda r: (-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0))["doc_id"]
+        for r in members:
+            want[r["doc_id"], keep, len(members), hashlib.sha256(text.encode()).hexdigest() if digest is None else None] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r.get("text_sha256")) for r in found) == want
+    if digest is None:
+        assert exact_dedup.dedup(stored).count() == len(groups) and exact_dedup.dedup(stored).columns == stored.columns
+
+
+def test_near_classes(stored):
+    def bag(text):
+        w = (text or "").encode().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+
+    all_rows = rows(stored)
+    bags = [bag(r["text"]) for r in all_rows]
+    root = list(range(len(bags)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            if a and b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = Counter()
+    for i, r in enumerate(all_rows):
+        members = [all_rows[j]["doc_id"] for j in range(len(bags)) if find(j) == find(i)]
+        want[r["doc_id"], min((m for m in members if m is not None), default=None), len(members)] += 1
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in rows(minhash.near_duplicates(stored))) == want
+    assert minhash.dedup(stored).columns == stored.columns
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    texts = [f"{'a b c d ' * k} w{k} tail {k}".encode() for k in range(1, 40)]
+    one = np.vstack([minhash.signatures(1, *minhash.shingles([t])) for t in texts])
+    assert (one == minhash.signatures(len(texts), *minhash.shingles(texts))).all()
+
+
+def test_packing(stored):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    found = rows(packing.pack(stored, P.path("byte_bpe_50k.json")))
+    whole = Counter()
+    for r in rows(stored):
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            whole[r["doc_id"], k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == whole
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= sum(r["length"] for r in found) / 1024 * 1.1 + 1
+
+
+def test_token_store(stored):
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    found = rows(token_store.stored(stored, P.path("word_bpe_49k.json")))
+    want = Counter()
+    for r in rows(stored):
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        want[r["doc_id"], len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == want
+    at = 0
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda i: (i is None, i or 0))
+
+
+def test_directly_addressable_codes():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 1 << 30), (5000, 300), (3000, 1 << 31), (1024, 256)):
+        ids = rng.integers(0, top, n).astype("<u4")
+        dac = token_store.Dac(token_store.dac_encode(ids))
+        assert (dac.read() == ids).all() and all(dac[i] == ids[i] for i in range(0, n, 7))
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, n)):
+            assert (dac.read(a, b) == ids[a:b]).all()
+
+
+def test_unit_ids_equal_whole_ids():
+    odd = ["", " ", "\n", "a  b", "a.\nB, c", "x, . , .", " lead", "trail ", "nl\n", "tab\tb", "it's, don't.", "Ä, Über.", "1, 2.", "İstanbul, Σας. ", "x\n, y", "é x", "w&&& !!", " x y"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        code = UnitEncoder(P.path(name))
+        for text in odd:
+            assert code.text(text) == code.whole(text), text
+
+
+def test_quality_rules(stored):
+    got = rows(quality_rules.judged(stored, P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken")).select("doc_id", "text", "_rules.*"))
+    assert len(got) == stored.count()
+    for r in got:
+        text = r["text"] or ""
+        words = WORD.findall(text)
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.keep(stored, P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken")).columns == stored.columns
+
+
+def test_quality_model(spark, stored):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    found = rows(quality_model.scored(stored, labels))
+    assert len(found) == stored.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    assert all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 3 == 1) for r in found)
+    assert {r["score"] for r in rows(quality_model.scored(stored, labels.limit(0)))} == {0.5}
+
+
+def test_quality_model_learns_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.random((4000, len(quality_model.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality_model.fit(x[:3000], y[:3000])
+    assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_context_mixing(stored):
+    found = rows(context_mixing.scored(stored))
+    key = lambda i: b"" if i is None else str(i).encode()
+    train, texts = Counter(), rows(stored)
+    for r in texts:
+        if zlib.crc32(key(r["doc_id"])) % 5 != 1:
+            train.update([*(r["text"] or "").encode().lower().split(), b""])
+    n, v, want = sum(train.values()), len(train), Counter()
+    for r in texts:
+        words = [*(r["text"] or "").encode().lower().split(), b""]
+        base = sum(np.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        want[r["doc_id"], len(words), sum(w in train for w in words), f"{base:.6f}"] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], f"{r['base_score']:.6f}") for r in found) == want
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in found)
+
+
+def test_context_mixing_bits_form_a_distribution():
+    """The probabilities of a byte's 256 values sum to 1 after any start."""
+    counts = np.random.default_rng(0).integers(0, 50, (context_mixing.BASES[-1], 2)).astype(np.uint16)
+    model = context_mixing.Model(counts, np.full((context_mixing.GATES, 6), 0.3), np.full(256 * context_mixing.CELLS, 0.4))
+    heads = [b"ab" + bytes([b]) for b in range(256) if b != 10]
+    with_end = model.log10([*heads, b"ab"], np.zeros(256, np.int64))
+    total = 0.0
+    for word, score in zip([*heads, b"ab"], with_end, strict=True):
+        which, bits, sofar, slots = context_mixing.spelled([word], np.zeros(1, np.int64))
+        p = (context_mixing.mix(*context_mixing.inputs(counts, slots, None), model.weights) + 0.4) / 2
+        each = np.where(bits == 1, p, 1 - p)
+        assert np.log10(each).sum() == pytest.approx(score)
+        total += each[16:24].prod()
+    assert total == pytest.approx(1)
+
+
+def test_license_scan(spark):
+    head = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    cases = {1: (head, "apache-2.0-header"), 2: ("Some text.\nReleased under the MIT License.", "mit-reference"), 3: (None, ""), 4: ("", ""), 5: ("a license", ""), 6: ("All rights reserved. All rights reserved.", "all-rights-reserved")}
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in cases.items()], "doc_id long, text string, rules string")
+    assert {r["doc_id"]: r["rules"] for r in rows(license_scan.scan(docs))} == {i: w for i, (_, w) in cases.items()}
+
+
+PAGE = '<html><body><div class=ad>AD</div><header>H</header><div id="cookie-notice">C</div><main><article class=post><header><h1>T &amp; t</h1></header><p>One<br>two <b>three<p>four</p><ul><li>a<li>b</ul><div class="comments"><p>no</p></div><script>if(a<b){"</p>"}</script><p>f  ive'
+
+
+def test_extraction(spark):
+    assert site_style.main_text(PAGE) == "T & t\n\nOne two three\n\nfour\n\na\n\nb\n\nf ive"
+    pages = [(i, f"https://h.example/{i}", f"<body><div class=x1>Read more here</div><div class=x2><p>Story {i} of its own</p><p>and more {i * i}</p></div></body>") for i in range(12)]
+    pages += [(90, None, None), (91, "bad url", ""), (92, "https://one.example/", "<p>alone"), (93, "https://c.example/", "<div>copy</div>"), (94, "https://c.example/2", "<div>copy</div>")]
+    found = {r["page_id"]: r["text"] for r in rows(site_style.extract(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, low int")))}
+    assert found[3] == "Story 3 of its own\n\nand more 9" and found[90] == found[91] == "" and found[92] == "alone" and found[93] == found[94] == "copy"
+
+
+def test_empty_tables(spark, stored, docs):
+    none = stored.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    vocab = (P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken"))
+    for df in (
+        mixing.decided(none), mixing.mix(none), exact_dedup.groups(none), exact_dedup.dedup(none), minhash.near_duplicates(none), minhash.dedup(none),
+        packing.pack(none, P.path("byte_bpe_50k.json")), token_store.stored(none, P.path("word_bpe_49k.json")), quality_rules.judged(none, *vocab),
+        quality_model.scored(none, labels), context_mixing.scored(none), license_scan.scan(none), site_style.extract(pages),
+    ):
+        assert df.count() == 0

@@ -1,0 +1,26 @@
+import pytest
+from compare import connect, rows
+
+import corpus_pipeline
+from skein.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(connect(SF).execute(queries.oracle_sql()[name]).df())
+
+
+def test_pipeline_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    kept = {r["doc_id"] for r in queries.op9_quality_rules(spark, SF).where("kept").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), "test")
+        assert docs.columns == columns
+        if name == "quality rules":
+            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == kept
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    assert out.groupby("sequence_id").length.sum().max() <= 1024
+    assert sorted(out[out.piece == 0].doc_id) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
