@@ -7,10 +7,13 @@ the weight ends with those up to it. A point lands in a random component, which
 process stops once it passes the latest of them. Two components are then equal with exactly the
 weighted Jaccard similarity, at a cost that doesn't grow with the weights.
 
-Equal signatures in a band of components make candidates. In a bucket every member is first held
-against one leader, so a bucket of n near copies costs n comparisons; members that stay apart from
-their bucket's largest class meet a few more, and only those still apart meet all the others. Candidates are verified on whole texts. Classes are
-the connected components of the verified links.
+Equal signatures in a band of components make candidates. A bucket holds all its members against one
+leader, the member that shares most buckets, so n near copies cost n comparisons; those that its
+largest class doesn't hold are then held against a leader of their own. Members of buckets that still
+hold several classes meet by a prefix filter: two texts that are near share one of their rarest
+shingles, early enough in both of them, so that texts with one frequent passage in common don't meet
+all of each other. Candidates are verified on whole texts. Classes are the connected components of
+the verified links.
 
 Defined results: texts of equal words are one node; a null, empty or blank text has no shingles and is
 a class of its own; similarity at the bound counts as near; class_id is the smallest doc_id of the
@@ -32,11 +35,11 @@ BANDS, ROWS = 40, 6
 #: Of 64 bits, one for each of as many components, so many may differ: at similarity 0.8, 6.4 do on
 #: average with a deviation of 2.4.
 APART = 22
-#: Of 240 components, compared by four bits each, so many may differ: at similarity 0.8, 45 do on
-#: average with a deviation of 6.
-WIDE_APART = 73
-#: Turns of one comparison for each member that its bucket's largest class doesn't hold.
-TURNS = 3
+#: Turns of leaders in each bucket.
+TURNS = 2
+#: log2 of the counters by which rare shingles are told from frequent ones: a table of fixed size, and
+#: any order of the shingles gives the same links.
+COUNTERS = 20
 KEPT_WORDS = 400_000
 NEVER = np.int64((1 << 63) - 1)
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -127,19 +130,14 @@ def signatures(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray,
 
 
 def banded(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text its band hashes, and 4 planes of 4 words with a bit for each component."""
+    """Per text its band hashes, and a bit for each of the first 64 components."""
     bits = _mixed(np.ascontiguousarray(sig).view(np.uint64))
     rows = bits.reshape(len(sig), BANDS, ROWS)
     total = np.zeros((len(sig), BANDS), np.uint64)
     for k in range(ROWS):
         total = _mixed(total + rows[:, :, k] + _odd(k))
-    wide = np.zeros((len(sig), 16), np.uint64)
-    for plane in range(4):
-        one = (bits >> np.uint64(plane)) & np.uint64(1)
-        for word in range(4):
-            part = one[:, 64 * word : 64 * word + 64]
-            wide[:, 4 * plane + word] = (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return _mixed(total + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2).view(np.int64), wide.view(np.int64)
+    sketch = ((bits[:, :64] & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return _mixed(total + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2).view(np.int64), sketch.view(np.int64)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -170,7 +168,7 @@ def _texts(batch, name: str) -> list[bytes]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key of every row; n (shingles), wide and bands where the task meets the key first."""
+    """doc_id, key of every row; n (shingles), sketch and bands where the task meets the key first."""
 
     def run(batches):
         import pyarrow as pa
@@ -195,10 +193,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 n, bits, rows = ([None] * len(keys) for _ in range(3))
                 for j, i in enumerate(first):
                     if sizes[j]:
-                        n[i], bits[i], rows[i] = int(sizes[j]), sketch[j], bands[j]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "wide", "bands"])
+                        n[i], bits[i], rows[i] = int(sizes[j]), int(sketch[j]), bands[j]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, wide array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch long, bands array<long>")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -206,13 +204,60 @@ def _may_link(a: str, b: str) -> Column:
     return (F.least(*n) >= F.greatest(*n) * SIMILAR) & (F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= APART)
 
 
-def _may_link_wide(a: str, b: str) -> Column:
-    """The same by all components."""
-    differ = []
-    for word in range(4):
-        planes = [F.col(f"{a}wide")[4 * p + word].bitwiseXOR(F.col(f"{b}wide")[4 * p + word]) for p in range(4)]
-        differ.append(F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3])))
-    return sum(differ[1:], differ[0]) <= WIDE_APART
+def elements(text: bytes) -> np.ndarray:
+    """A multiset's shingles as a set: a shingle and which occurrence of it, as one number."""
+    _, shingle, count = shingles([text])
+    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return _mixed(np.repeat(shingle, count) * _G + turn.astype(np.uint64))
+
+
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _prefix_pairs(texts: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (key, root, text) with different roots that may be near; all that are.
+
+    Elements are ordered from rare to frequent. If texts of m <= n elements are near, they share at
+    least ``similar / (1 + similar) * (m + n)``, so the first element that they share leaves as many in
+    each of them. The shorter text meets others by no more than its first ninth (at 0.8).
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        n = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for text in _texts(batch, "text"):
+                np.add.at(n, _slots(elements(text)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    met = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most 2 ** COUNTERS rows
+    table = np.ones(1 << COUNTERS, np.int64)
+    table[met.column("slot").to_numpy()] = met.column("n").to_numpy()
+    shared, share = texts.sparkSession.sparkContext.broadcast(table), similar / (1 + similar)
+
+    def prefixes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, text in enumerate(_texts(batch, "text")):
+                found = elements(text)
+                often = shared.value[_slots(found)]
+                order = np.lexsort((found, often))
+                order = order[: len(found) - int(np.ceil(similar * len(found) - 1e-6)) + 1]
+                pos = np.flatnonzero(often[order] > 1)  # no other text has the rest
+                one = [pa.repeat(batch.column(c)[i], len(pos)) for c in ("key", "root")]
+                yield pa.RecordBatch.from_arrays([*one, pa.repeat(pa.scalar(len(found), pa.int64()), len(pos)), pa.array(pos), pa.array(found[order[pos]].view(np.int64))], names=["key", "root", "n", "pos", "e"])
+
+    rows = written(texts.mapInArrow(prefixes, "key binary, root binary, n long, pos long, e long"), "prefixes")
+    a, b = (rows.select("e", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "root", "n", "pos")]) for side in "ab")
+    a = a.where(F.col("a_n") - F.col("a_pos") >= F.col("a_n") * (2 * share) - 1e-6)
+    shorter = F.struct("a_n", "a_key") < F.struct("b_n", "b_key")
+    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= (F.col("a_n") + F.col("b_n")) * share - 1e-6
+    met = a.join(b, (a["e"] == b["e"]) & (F.col("a_root") != F.col("b_root")) & shorter & (F.col("a_n") >= F.col("b_n") * similar - 1e-6) & enough)
+    return met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -253,48 +298,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, signed: DataFrame, similar: float) -> DataFrame | None:
     """Links (a, b) between keys that give the same components as all links."""
-    nodes = signed.where("bands is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    rows = nodes.select(F.explode("bands").alias("band"), "key", "n", F.col("wide")[0].alias("sketch"))
-    leaders = rows.groupBy("band").agg(F.min(F.struct("key", "n", "sketch")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = written(rows.join(leaders.select("band", F.col("lead.key").alias("l_key"), F.col("lead.n").alias("l_n"), F.col("lead.sketch").alias("l_sketch")), "band"), "buckets")
+    nodes = signed.where("bands is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    rows = written(nodes, "nodes").select(F.explode("bands").alias("band"), "key", "n", "sketch")
+    full = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(rows.join(full, "band"), "buckets")
     if shared.isEmpty():
         return None
-    mates = shared.select("key").distinct()
+    shared = written(shared.join(shared.groupBy("key").agg(F.sum("members").alias("mates")), "key").drop("members"), "ranked")
     texts = docs.select(word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    texts = written(texts.join(mates, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    stars = shared.where(_may_link("", "l_") & (F.col("key") != F.col("l_key"))).select(F.col("l_key").alias("a"), F.col("key").alias("b")).distinct()
-    stars = written(stars, "stars")
-    links = written(_verified(stars, texts, similar), "links")
-
-    # Members that their bucket's largest class doesn't hold: a few turns against one other member of it
-    # each, which links most of those that can be, and then against all that are left in other classes.
-    tested = stars
-    for turn in range(TURNS + 1):
-        placed = shared.select("band", "key", "n", "sketch").join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        placed = written(placed, "placed")
+    texts = written(texts.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    group, links, tested = shared, None, None
+    for _ in range(TURNS):
+        lead = group.groupBy("band").agg(F.max(F.struct("mates", "key", "n", "sketch")).alias("l")).select("band", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("key", "n", "sketch")])
+        pairs = group.join(lead, "band").where(_may_link("", "l_") & (F.col("key") != F.col("l_key")))
+        pairs = pairs.select(F.least("key", "l_key").alias("a"), F.greatest("key", "l_key").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _verified(pairs, texts, similar)
+        links = written(found if links is None else links.unionByName(found), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        placed = written(shared.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("most")).where("classes > 1").select("band", "most")
-        apart = written(placed.join(mixed, "band"), "apart")
-        if apart.isEmpty():
-            break
-        x = apart.where("root <> most").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "sketch", "root")])
-        if turn < TURNS:
-            pick = F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "sketch")).alias("y")
-            y = apart.where("root = most").groupBy("band").agg(pick).select("band", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("key", "n", "sketch")])
-            rest = x.join(y, "band").where(_may_link("x_", "y_"))
-        else:
-            # A key is in BANDS buckets at most, so no key is hot here.
-            apart = written(apart.join(nodes.select("key", "wide"), "key"), "wide")
-            x = apart.where("root <> most").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "sketch", "root", "wide")])
-            y = apart.select("band", "most", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "sketch", "root", "wide")])
-            once = (F.col("y_root") == F.col("most")) | (F.col("x_key") < F.col("y_key"))
-            rest = x.join(y, (x["band"] == y["band"]) & (F.col("x_root") != F.col("y_root")) & once & _may_link("x_", "y_") & _may_link_wide("x_", "y_"))
-        rest = rest.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        rest = written(rest, "rest")
-        links = written(links.unionByName(_verified(rest, texts, similar)), "links")
-        tested = tested.unionByName(rest)
-    return links
+        several = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("c", "root")).alias("most")).where("classes > 1").select("band", "most")
+        apart = written(placed.join(several, "band"), "apart")
+        group = apart.where("root <> most")
+        if group.isEmpty():
+            return links
+    members = apart.groupBy("key").agg(F.first("root").alias("root"))
+    rest = _prefix_pairs(written(texts.join(members, "key"), "rest"), similar)
+    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_verified(rest, texts, similar))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -238,3 +238,22 @@ def test_empty_tables(spark, stored, docs):
         quality_model.scored(none, labels), context_mixing.scored(none), license_scan.scan(none), site_style.extract(pages),
     ):
         assert df.count() == 0
+
+
+def test_prefix_pairs_lose_no_near_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for _ in range(90):
+        own = list(passage)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(60)] = f"q{rng.randint(0, 30)}"
+        texts.append(" ".join(own[rng.randint(0, 5) :] + ["z"] * rng.randint(0, 12)).encode())
+    texts = sorted(set(texts))
+    frame = spark.createDataFrame([(bytes([i]), bytes([i]), bytearray(t)) for i, t in enumerate(texts)], "key binary, root binary, text binary")
+    found = {(r["a"][0], r["b"][0]) for r in minhash._prefix_pairs(frame, 0.8).collect()}
+    bags = [minhash.shingles([t])[1:] for t in texts]
+    near = {(i, j) for j in range(len(bags)) for i in range(j) if minhash.overlap(bags[i], bags[j]) >= 0.8}
+    assert near and near <= found and len(found) < len(bags) * (len(bags) - 1) / 2
