@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.hashing import sketch_positions, uniform
-from skein.operators import federate, graph, learn, logs, privacy
+from skein.operators import federate, generate, graph, learn, logs, privacy, train
 
 SALT = bytes(16)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,15 @@ class Fixtures:
         return rows.select("id", "y", learn.softmax(F.col("v")).alias("p"))
 
 
+    @property
+    def clients(self) -> tuple[DataFrame, DataFrame]:
+        """Four clients by community of the embedding graph: nodes with features, class and split; edges."""
+        members = graph.community_clients(graph.label_propagation(graph.adjacency(self.edges, self.nodes), self.nodes, 3), 4)
+        splits = graph.split_masks(members, uniform(F.lit("split"), F.col("gid")))
+        rows = self.read("embeddings").select(F.col("vec_id").alias("gid"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").alias("y"))
+        return splits.join(rows, "gid").select("cid", "gid", "x", "y", "split"), graph.induced(self.edges, members)
+
+
 # The same fixtures as common table expressions.
 WITH = """WITH e0 AS (SELECT vec_id a, lead(vec_id,1) OVER (PARTITION BY label ORDER BY vec_id) b FROM embeddings
   UNION ALL SELECT vec_id, lead(vec_id,2) OVER (PARTITION BY label ORDER BY vec_id) FROM embeddings
@@ -273,6 +282,25 @@ query("round_log", "SELECT round, global_acc, worst AS worst_client_f1, fairness
 query("ablation_summary", "SELECT (round % 3)::INT AS config, max(global_acc) AS best_acc, min(worst) AS worst_client, max(fairness_gap) AS gap, max_by(mean_eps, round) AS final_eps, sum(comms_mb) AS total_mb FROM rd GROUP BY round % 3", ("best_acc", "worst_client", "gap", "final_eps", "total_mb"))(lambda t: t.rounds.groupBy((F.col("round") % 3).cast("int").alias("config")).agg(F.max("global_acc").alias("best_acc"), F.min("worst").alias("worst_client"), F.max("fairness_gap").alias("gap"), F.max_by("mean_eps", "round").alias("final_eps"), F.sum("comms_mb").alias("total_mb")))
 query("client_sampling", "SELECT cid FROM (SELECT DISTINCT cid FROM lg) ORDER BY sha256('11|'||cid) LIMIT 3")(lambda t: t.log.select("cid").distinct().orderBy(F.sha2(F.concat(F.lit("11|"), F.col("cid")).cast("binary"), 256)).limit(3))
 
+# Generated graphs and training; no SQL
+_FEW = train.Config(hidden=16, rounds=2, local_epochs=1)
+query("communities_greedy")(lambda t: generate.greedy_communities(t.edges, t.nodes))
+query("ba_graph", doubles=())(lambda t: generate.preferential_graph(t.nodes.sparkSession, 1000))
+query("block_features", doubles=("x",))(lambda t: generate.block_features(t.labels.select("id", F.col("label").alias("y")), 64, 10))
+
+
+def _updated(t: Fixtures, cfg: train.Config) -> DataFrame:
+    nodes, edges = t.clients
+    features, classes = nodes.agg(F.max(F.size("x")), F.max("y") + 1).first()
+    return train.client_updates(nodes, edges, train.initial(train.shapes(cfg, features, classes), cfg.seed), cfg, classes)
+
+
+query("client_train")(lambda t: _updated(t, _FEW).drop("w"))
+query("sgd_step", doubles=("w",))(lambda t: train.long_updates(_updated(t, _FEW)).select("cid", "k", "w"))
+query("gat_train")(lambda t: _updated(t, train.Config(model="gat", hidden=8, heads=2, local_epochs=1)).drop("w"))
+query("federated_run")(lambda t: train.federated_run(*t.clients, _FEW)[1])
+query("ablation_run")(lambda t: train.ablation(*t.clients, _FEW))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

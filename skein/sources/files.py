@@ -1,4 +1,4 @@
-"""Graphs from files: edge lists, labels, sparse features, adjacency matrices, GraphML."""
+"""Graphs from files: edge lists, labels, sparse features, adjacency matrices, GraphML, GEXF, GML."""
 
 from __future__ import annotations
 
@@ -42,3 +42,38 @@ def adjacency_csv(spark: SparkSession, path: str) -> DataFrame:
 def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "edge").load(path)
     return rows.select(F.col("_source").cast("string").alias("source"), F.col("_target").cast("string").alias("target"))
+
+
+def gexf_edges(spark: SparkSession, path: str) -> DataFrame:
+    """The same elements; Spark opens ``.gexf.gz`` itself."""
+    return graphml_edges(spark, path)
+
+
+def gml_edges(spark: SparkSession, path: str) -> DataFrame:
+    """The ends of every ``edge [ ... ]``: source, target."""
+    edge = r"(?s)\bedge\s*\[([^\]]*)\]"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(edge), 1)).alias("e"))
+    end = lambda name: F.regexp_extract("e", rf'\b{name}\s+"?([^\s"]+)', 1).alias(name)
+    return rows.select(end("source"), end("target"))
+
+
+def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
+    """Entries but 0 of ``.npy`` matrices: path, i, j, x. A file is read whole by one task."""
+
+    def entries(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                cells = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False))
+                i, j = np.nonzero(cells)
+                yield pd.DataFrame({"path": name, "i": i, "j": j, "x": cells[i, j].astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "path string, i long, j long, x double")
+
+
+def adjacency_npy(spark: SparkSession, path: str) -> DataFrame:
+    return matrix_npy(spark, path).select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
