@@ -17,8 +17,10 @@ the verified links.
 
 Defined results: texts of equal words are one node; a null, empty or blank text has no shingles and is
 a class of its own; similarity at the bound counts as near; class_id is the smallest doc_id of the
-class (null only if all are); a null doc_id that has no words is its own class with a null id; an
-empty table gives no rows; other columns pass through ``dedup`` untouched.
+class (null only if all are); a null doc_id that has no words is its own class with a null id; of a
+class ``dedup`` keeps the row with the smallest doc_id (null ids last), then the smallest locator, so
+one row stays even when ids or rows repeat; an empty table gives no rows; other columns pass through
+``dedup`` untouched.
 """
 
 from __future__ import annotations
@@ -167,8 +169,9 @@ def _texts(batch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(name).to_pylist()]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key of every row; n (shingles), sketch and bands where the task meets the key first."""
+def _signed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, key (and the whole-number columns ``more``) of every row; n (shingles), sketch and bands where the
+    task meets the key first."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,9 +197,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 for j, i in enumerate(first):
                     if sizes[j]:
                         n[i], bits[i], rows[i] = int(sizes[j]), int(sketch[j]), bands[j]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.int64()), pa.array(rows, pa.list_(pa.int64())), *[part.column(c) for c in more]], names=["doc_id", "key", "n", "sketch", "bands", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, key binary, n long, sketch long, bands array<long>", *[f"{c} long" for c in more]]))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -329,19 +333,28 @@ def _links(docs: DataFrame, signed: DataFrame, similar: float) -> DataFrame | No
     return links.unionByName(_verified(rest, texts, similar))
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size (rows), _root (a key that only the class
-    has) and _own (whether it has words)."""
-    signed = written(_signed(docs), "signed")
+def _members(docs: DataFrame, similar: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, root (a key that only its class has) and the columns ``more`` of every row of docs."""
+    signed = written(_signed(docs, more), "signed")
     links = _links(docs, signed, similar)
-    members = signed.select("doc_id", "key")
+    members = signed.select("doc_id", "key", *more)
     if links is not None:
         # Hot keys are collapsed before the join and found again by key, which AQE may split.
         members = members.join(components(links), "key", "left")
     else:
         members = members.withColumn("root", F.lit(None).cast("binary"))
-    members = written(members.select("doc_id", F.coalesce("root", "key").alias("root")), "members")
-    empty = F.col("root") == F.unhex(F.md5(F.lit("").cast("binary")))
+    return written(members.select("doc_id", F.coalesce("root", "key").alias("root"), *more), "members")
+
+
+def _blank() -> Column:
+    """Whether a row of ``_members`` has no words."""
+    return F.col("root") == F.unhex(F.md5(F.lit("").cast("binary")))
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, class_size (rows) and _root (a key that only the
+    class has)."""
+    members, empty = _members(docs, similar), _blank()
     sizes = members.where(~empty).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     total = F.col("class_size") * 1000 > members.count()
     one, word = F.lit(1).cast("long"), members.where(~empty)
@@ -356,7 +369,28 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return classes(docs, similar).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _located(docs: DataFrame) -> DataFrame:
+    """docs with ``_row``, a number that tells rows apart: that of the file, and the place in it. A frame
+    that isn't a file scan is written first."""
+    # The whole path: files of one name may lie in several folders.
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        plain = docs.select("*", *place)
+        plain.schema
+    except Exception as none:  # noqa: BLE001 - the analyser's class differs between Spark Classic and Connect
+        if "_metadata" not in str(none):
+            raise
+        plain = written(docs, "nearin").select("*", *place)
+    paths = sorted(r["_file"] for r in plain.select("_file").distinct().collect())  # one a file
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _number long")
+    return plain.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_number")
+
+
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay: one of each class, that with the smallest doc_id."""
-    gone = classes(docs, similar).where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = _located(docs)
+    members = _members(rows, similar, ("_row",)).where(~_blank())
+    keep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("keep")
+    gone = members.join(members.groupBy("root").agg(keep).select("keep._row"), "_row", "left_anti").select("_row")
+    # Written, so that its size is known before docs would be shuffled.
+    return rows.join(written(gone, "gone"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -83,6 +83,33 @@ def test_near_classes(stored):
     assert minhash.dedup(stored).columns == stored.columns
 
 
+def test_near_dedup_keeps_one_row_of_each_class(spark, tmp_path):
+    words = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    copies = lambda n: (words(n), words(n) + " more")
+    table = [
+        (1, copies(0)[0], "a"), (2, copies(0)[1], "a"), (2, words(1), "b"),  # id 2 is a copy and a text of its own
+        (3, copies(2)[0], "a"), (None, copies(2)[1], "a"), (None, words(3), "b"), (None, None, "a"),  # so is null
+        (4, copies(4)[0], "a"), (4, copies(4)[1], "b"), (None, copies(5)[0], "a"), (None, copies(5)[1], "b"),  # copies share an id
+        *[(6, words(6), "a")] * 3, (7, "", "a"), (7, " ", "b"), (1, words(7), "a"),
+    ]
+    bags = [Counter(tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)) for _, t, _ in table]
+    near = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    classes = {frozenset(j for j, other in enumerate(bags) if j == i or bag and other and near(bag, other)) for i, bag in enumerate(bags)}
+    assert {i for c in classes for i in c} == set(range(len(table))) and sum(map(len, classes)) == len(table)
+
+    def least(ids):
+        return min((i for i in ids if i is not None), default=None)
+
+    frame = spark.createDataFrame(table, "doc_id long, text string, part string").coalesce(1)
+    frame.write.partitionBy("part").parquet(f"file://{tmp_path}/parts")  # files of one name in two folders
+    for docs in (frame, spark.read.parquet(f"file://{tmp_path}/parts")):
+        found = Counter((r["doc_id"], r["text"]) for r in rows(minhash.dedup(docs)))
+        left = [Counter({(table[i][0], table[i][1]): found[table[i][0], table[i][1]] for i in c}) for c in classes]
+        assert found.total() == len(classes) and all(c.total() == 1 for c in left)
+        for c, one in zip(classes, left, strict=True):
+            assert next(k for k, n in one.items() if n)[0] == least(table[i][0] for i in c)
+
+
 def test_signatures_do_not_depend_on_the_batch():
     texts = [f"{'a b c d ' * k} w{k} tail {k}".encode() for k in range(1, 40)]
     one = np.vstack([minhash.signatures(1, *minhash.shingles([t])) for t in texts])
