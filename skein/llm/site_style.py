@@ -91,7 +91,7 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             top = stack[-1]
-            if text and not top.drop:
+            if text:
                 blocks.append((text, top.nodes, top.main, top.anchor))
 
     def pop():
@@ -114,7 +114,7 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
 
     at, lower = 0, None
     while (m := _TAG.search(html, at)) is not None:
-        if m.start() > at:
+        if m.start() > at and not stack[-1].drop:
             held.append(html[at : m.start()])
         at = m.end()
         end, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
@@ -145,8 +145,6 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
         drop, style = _says(tag, attributes, parent.main)
         if tag in INLINE:
             element = _Element(tag, parent.node, parent.depth, parent.nodes, parent.drop or drop, parent.main, parent.anchor)
-            if drop and not parent.drop:
-                flush()
         else:
             deep = parent.depth >= DEPTH
             node = parent.node if deep else _hash(parent.node, style)
@@ -163,7 +161,8 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
                 lower = re.sub("[A-Z]", lambda x: x[0].lower(), html)
             stop = lower.find(f"</{tag}", at)
             at = len(html) if stop < 0 else stop
-    held.append(html[at:])
+    if not stack[-1].drop:
+        held.append(html[at:])
     flush()
     while len(stack) > 1:
         pop()

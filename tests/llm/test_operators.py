@@ -254,6 +254,18 @@ def test_extraction(spark):
     assert found[3] == "Story 3 of its own\n\nand more 9" and found[90] == found[91] == "" and found[92] == "alone" and found[93] == found[94] == "copy"
 
 
+def test_extraction_drops_inline_elements():
+    cases = {
+        '<p>Text <span class="ad">Buy now</span> more</p>': "Text more",
+        '<p><a class="skip-link" href="#x">Skip</a>One <b>two</b></p>': "One two",
+        "<p>a <span class=ad>x <b>y</b><br> z</span> b<p>c": "a b\n\nc",
+        "<p>Text <span class=ad>Buy<p>next": "Text\n\nnext",
+        "<p>Text <span class=ad>Buy": "Text",
+        "<div>a <span class=ad>x<div>y</div></span> b</div>": "a\n\nb",
+    }
+    assert {page: site_style.main_text(page) for page in cases} == cases
+
+
 def test_empty_tables(spark, stored, docs):
     none = stored.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
