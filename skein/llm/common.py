@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,17 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 #: Tables of at most this many rows, counted before use, may be broadcast.
 BROADCAST_ROWS = 20_000
+#: Input for one file of an intermediate table, at least about so much.
+FILE_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a
+    temporary one; on a cluster every executor would write to a disk of its own, so that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='skein-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,11 +35,22 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
 
 
+def _read_bytes(df: DataFrame) -> int:
+    """Bytes of all tables that df reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and outlives executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: cuts lineage and outlives executors.
+
+    Each task writes a file. There are no more of them than FILE_BYTES of input each or two a core ask for:
+    a table of many tiny files costs more to open than to read.
+    """
+    spark = df.sparkSession
+    path, tasks = scratch(spark, label), 2 * spark.sparkContext.defaultParallelism
+    df.coalesce(max(tasks, min(_read_bytes(df) // FILE_BYTES, 1 << 24))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -46,6 +63,56 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+class Renamed:
+    """A frame whose columns are renamed by position, so that none of their names can clash.
+
+    ``rows`` has them as _c0, _c1, ...; ``self[name]`` is the column that had the name (a null where the
+    frame has none), ``back`` restores the frame's own columns.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"_c{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"_c{self.names.index(name)}") if name in self.names else F.lit(None)
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(self.names)])
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether docs is files with at most filters and projections, so that file and place name a row."""
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+    except Exception:  # noqa: BLE001 - a session that doesn't show its plans
+        return False
+    while True:
+        name = plan.nodeName()
+        if name.startswith(("LogicalRelation", "Relation")):
+            return bool(docs.inputFiles())
+        if name not in ("Project", "Filter", "SubqueryAlias") or plan.children().size() != 1:
+            return False
+        plan = plan.children().head()
+
+
+def located(docs: DataFrame) -> Renamed:
+    """docs, renamed, with ``_row``: a number that tells rows apart, the same however often it is read. It
+    is that of the file and the place in it; a frame that isn't a file scan is written first."""
+    own = Renamed(docs)
+    if any(n.lower() == "_metadata" for n in own.names) or not _plain_scan(docs):
+        own.rows = written(own.rows, "rows")
+        if not own.rows.inputFiles():
+            own.rows = own.rows.withColumn("_row", F.lit(0).cast("long"))
+            return own
+    # The whole path: files of one name may lie in several folders.
+    placed = own.rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    paths = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # one a file
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _number long")
+    own.rows = placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_number")
+    return own
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

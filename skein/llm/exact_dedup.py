@@ -19,16 +19,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import scratch, written
+from skein.llm.common import located, scratch, written
 
-#: State on disk; many small stores shouldn't each reserve megabytes ahead, nor upload whole snapshots.
+#: State on disk. A store per partition: none reserves megabytes ahead or uploads whole snapshots, all of
+#: an executor share STORE_MB of memory, and a store is closed once its batch is done.
+STORE_MB = 96
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STORE_MB),
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: A digest with more than 1/HOT of all rows is joined apart; there can be at most HOT of them.
 HOT = 1000
+#: So many digests that were hit, counted, may be broadcast (about 100 bytes each), so that texts that no
+#: other row equals never move; beyond it they meet by digest.
+HITS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -39,20 +48,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _located(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """docs and a column that tells rows apart: file and place in it, or, for a frame that isn't a
-    file scan, a hash of the whole row."""
-    try:
-        plain = docs.select("*", F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.col("_metadata.row_index").alias("r")).alias("_loc"))
-        plain.schema
-    except Exception as none:  # noqa: BLE001 - the analyser's class differs between Spark Classic and Connect
-        if "_metadata" not in str(none):
-            raise
-        docs = written(docs, "dedupin")
-        return _located(docs)
-    return plain, F.concat_ws("#", "_loc.f", F.col("_loc.r").cast("string"))
-
-
 def _state(feed: DataFrame) -> DataFrame:
     """digest, group_size and keep (neg_len, no_id, id, loc) after the stream has read the whole feed."""
     spark = feed.sparkSession
@@ -74,45 +69,48 @@ def _state(feed: DataFrame) -> DataFrame:
     return store.select(F.col("key.digest").alias("digest"), count.alias("group_size"), keep.alias("keep"))
 
 
-def resolved(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Every row of docs with a struct ``_dup``: keep_id, group_size, kept, digest."""
-    spark = docs.sparkSession
-    rows, loc = _located(docs)
-    text = normalised(F.col("text"))
-    keyed = rows.select(F.struct(digest(text).alias("digest"), (-F.length(F.coalesce("text", F.lit("")))).alias("neg_len"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), loc.alias("loc")).alias("_k"), text.alias("_norm"))
-    feed = written(keyed.select("_k.*"), "dedupfeed")
+def _resolved(rows: DataFrame, doc_id: Column, text: Column, digest: Callable[[Column], Column]) -> DataFrame:
+    """Every row of rows (with ``_row``) as loc, id, keep_id, group_size, kept and digest."""
+    keyed = rows.select(digest(normalised(text)).alias("digest"), (-F.length(F.coalesce(text, F.lit("")))).alias("neg_len"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col("_row").alias("loc"), normalised(text).alias("norm"))
+    feed = written(keyed.drop("norm"), "dedupfeed")
     total = feed.count()
     if not total:
-        return feed.select("loc", F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest").alias("_dup"), "id")
+        return feed.select("loc", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     state = written(_state(feed), "dedupgroups")
 
-    # Full bytes on hits. Members of hot digests (at most HOT, so broadcast) are compared where they lie;
-    # all others meet by digest. Least and greatest text are combined before the shuffle.
-    hits = state.where("group_size > 1").withColumn("hot", F.col("group_size") * HOT > total)
-    texts = keyed.select(F.col("_k.digest").alias("digest"), "_norm")
-    hot, cold = (F.broadcast(hits.where("hot").select("digest")), hits.where("not hot").select("digest"))
-    span = [F.min("_norm").alias("a"), F.max("_norm").alias("b")]
-    differ = texts.join(hot, "digest", "left_semi").groupBy("digest").agg(*span).unionByName(texts.join(cold, "digest", "left_semi").groupBy("digest").agg(*span)).where("a <> b").select("digest")
-    collided = written(differ, "collided")
+    # Full bytes on hits: least and greatest text are combined where they lie, before the shuffle.
+    hits = state.where("group_size > 1")
+    texts = keyed.select("digest", "norm")
+    span = [F.min("norm").alias("a"), F.max("norm").alias("b")]
+    if hits.count() <= HITS:
+        compared = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi").groupBy("digest").agg(*span)
+    else:  # members of hot digests (at most HOT, so broadcast) are compared where they lie, all others meet by digest
+        is_hot = F.col("group_size") * HOT > total
+        hot, cold = F.broadcast(hits.where(is_hot).select("digest")), hits.where(~is_hot).select("digest")
+        compared = texts.join(hot, "digest", "left_semi").groupBy("digest").agg(*span).unionByName(texts.join(hot, "digest", "left_anti").join(cold, "digest", "left_semi").groupBy("digest").agg(*span))
+    collided = written(compared.where("a <> b").select("digest"), "collided")
     keys = ["digest"]
     if not collided.isEmpty():
-        clash = keyed.select("_k.*", "_norm").join(collided, "digest", "left_semi")
-        apart = clash.groupBy("digest", "_norm").agg(F.count("*").alias("group_size"), F.min(F.struct("neg_len", "no_id", "id", "loc")).alias("keep"))
-        state = state.join(collided, "digest", "left_anti").select("digest", F.lit("").alias("_norm"), "group_size", "keep").unionByName(apart)
-        feed = feed.join(collided, "digest", "left_anti").withColumn("_norm", F.lit("")).unionByName(clash.select(*feed.columns, "_norm"))
-        keys = ["digest", "_norm"]
+        clash = keyed.join(collided, "digest", "left_semi")
+        apart = clash.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.min(F.struct("neg_len", "no_id", "id", "loc")).alias("keep"))
+        state = state.join(collided, "digest", "left_anti").select("digest", F.lit("").alias("norm"), "group_size", "keep").unionByName(apart)
+        feed = feed.join(collided, "digest", "left_anti").withColumn("norm", F.lit("")).unionByName(clash.select(*feed.columns, "norm"))
+        keys = ["digest", "norm"]
     is_hot = F.col("group_size") * HOT > total
     joined = feed.join(F.broadcast(state.where(is_hot)), keys).unionByName(feed.join(F.broadcast(state.where(is_hot).select(*keys)), keys, "left_anti").join(state.where(~is_hot), keys))
-    return joined.select("loc", F.struct(F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.loc") == F.col("loc")).alias("kept"), "digest").alias("_dup"), F.col("id"))
+    return joined.select("loc", "id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.loc") == F.col("loc")).alias("kept"), "digest")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return resolved(docs).select(F.col("id").alias("doc_id"), "_dup.keep_id", "_dup.group_size", "_dup.kept", F.col("_dup.digest").alias("text_sha256"))
+    own = located(docs)
+    found = _resolved(own.rows, own["doc_id"], own["text"], digest)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stays = resolved(docs).where("_dup.kept").select(F.col("loc").alias("_loc_kept"))
-    rows, loc = _located(docs)
-    return rows.withColumn("_loc_kept", loc).join(stays, "_loc_kept", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = located(docs)
+    gone = written(_resolved(own.rows, own["doc_id"], own["text"], digest).where("not kept").select(F.col("loc").alias("_row")), "gone")
+    # The rows that go are as a rule the fewer; written, so that their size is known before docs would be shuffled.
+    return own.back(own.rows.join(gone, "_row", "left_anti"))

@@ -29,7 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WS, written
+from skein.llm.caches import only
+from skein.llm.common import WS, located, written
 
 WORDS, SIMILAR = 5, 0.8
 #: 40 bands of 6: at similarity 0.8 a link is missed with probability 5e-6, at 0.85 with 5e-9.
@@ -42,7 +43,8 @@ TURNS = 2
 #: log2 of the counters by which rare shingles are told from frequent ones: a table of fixed size, and
 #: any order of the shingles gives the same links.
 COUNTERS = 20
-KEPT_WORDS = 400_000
+#: Words whose hashes a worker keeps (about 200 bytes each).
+KEPT_WORDS = 300_000
 NEVER = np.int64((1 << 63) - 1)
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -69,18 +71,15 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle hash, count) of all distinct shingles of up to 4096 texts, sorted."""
-    parts, sizes = [], np.zeros(len(texts), np.int64)
+    parts, sizes, hashes = [], np.zeros(len(texts), np.int64), only("word hashes", _WordHashes)
     pad = np.zeros(WORDS - 1, np.uint64)
     for i, text in enumerate(texts):
         words = text.split()  # on the six ASCII separators
         sizes[i] = len(words)
         if words:
-            parts += [np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)), pad]
+            parts += [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), pad]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     flat = np.concatenate(parts)
@@ -369,28 +368,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return classes(docs, similar).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """docs with ``_row``, a number that tells rows apart: that of the file, and the place in it. A frame
-    that isn't a file scan is written first."""
-    # The whole path: files of one name may lie in several folders.
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        plain = docs.select("*", *place)
-        plain.schema
-    except Exception as none:  # noqa: BLE001 - the analyser's class differs between Spark Classic and Connect
-        if "_metadata" not in str(none):
-            raise
-        plain = written(docs, "nearin").select("*", *place)
-    paths = sorted(r["_file"] for r in plain.select("_file").distinct().collect())  # one a file
-    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _number long")
-    return plain.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_number")
-
-
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay: one of each class, that with the smallest doc_id."""
-    rows = _located(docs)
-    members = _members(rows, similar, ("_row",)).where(~_blank())
+    own = located(docs)
+    keyed = own.rows.select(own["doc_id"].alias("doc_id"), own["text"].alias("text"), "_row")
+    members = _members(keyed, similar, ("_row",)).where(~_blank())
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("keep")
     gone = members.join(members.groupBy("root").agg(keep).select("keep._row"), "_row", "left_anti").select("_row")
     # Written, so that its size is known before docs would be shuffled.
-    return rows.join(written(gone, "gone"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.back(own.rows.join(written(gone, "gone"), "_row", "left_anti"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, lookup, ranked, written
+from skein.llm.common import WORD, Renamed, lookup, ranked, written
 
 BITS, LEVELS = 12, 5  # 5 x 12 = the 60 bits of the hash
 
@@ -88,21 +88,24 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.join(found.drop("_left"), "_key", "left").join(filler, "_key", "left").withColumn("threshold", F.coalesce("threshold", none)).withColumn("filler", F.coalesce("filler", none))
 
 
+def _decided(own: Renamed, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """own's rows with _size, _source_size, _target and _copies (how often the mix holds the row)."""
+    rows = own.rows.select("*", source_key(own["source"]).alias("_key"), n_words(own["text"]).alias("_size"), hash60(own["doc_id"], own["text"]).alias("_hash"))
+    sized = written(rows.select("_key", "_size", "_hash"), "sized")
+    plan = written(thresholds(sized, targets(sized, weights, cap)), "mixplan").withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
+    extra = ((F.col("_hash") <= F.col("threshold")) | (F.col("_hash") == F.col("filler"))).cast("long")
+    copies = F.when(F.col("_size") > 0, F.col("copies") + extra).otherwise(F.lit(0).cast("long"))
+    return lookup(rows, plan, "_key", F.col("_hash")).withColumn("_copies", copies)
+
+
 def decided(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """docs with _size, _hash, source_size, target and _copies (how often the mix holds the row) in a
-    struct ``_mix``, so that no column of docs can clash."""
-    spark = docs.sparkSession
-    keyed = docs.select("*", F.struct(source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash")).alias("_mixkey"))
-    sized = written(keyed.select(F.col("_mixkey.key").alias("_key"), F.col("_mixkey.size").alias("_size"), F.col("_mixkey.hash").alias("_hash")), "sized")
-    plan = written(thresholds(sized, targets(sized, weights, cap)), "mixplan")
-    plan = plan.select(F.col("_key").alias("_mixjoin"), F.struct("source_size", "target", "copies", "threshold", "filler").alias("_plan"))
-    joined = lookup(keyed.withColumn("_mixjoin", F.col("_mixkey.key")), plan, "_mixjoin", F.col("_mixkey.hash"))
-    extra = ((F.col("_mixkey.hash") <= F.col("_plan.threshold")) | (F.col("_mixkey.hash") == F.col("_plan.filler"))).cast("long")
-    copies = F.when(F.col("_mixkey.size") > 0, F.col("_plan.copies") + extra).otherwise(F.lit(0).cast("long"))
-    return joined.withColumn("_mix", F.struct(F.col("_mixkey.size").alias("size"), F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), copies.alias("copies"))).drop("_mixjoin", "_mixkey", "_plan")
+    """doc_id, source, size, source_size, target and copies of every row."""
+    own = Renamed(docs)
+    return _decided(own, weights, cap).select(own["doc_id"].alias("doc_id"), own["source"].alias("source"), *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    rows = decided(docs, weights, cap)
-    return rows.where("_mix.copies > 0").withColumn("_mixcopy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = Renamed(docs)
+    rows = _decided(own, weights, cap).where("_copies > 0")
+    return own.back(rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))

@@ -14,13 +14,17 @@ columns pass through ``keep`` untouched.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words whose encodings a worker keeps.
-KEPT_WORDS = 400_000
+from skein.llm.caches import only
+from skein.llm.common import Renamed
+
+#: Distinct words whose encodings a worker keeps (about 200 bytes each).
+KEPT_WORDS = 300_000
 #: Fixed bands by language, else by script: least characters per token of the byte-fallback
 #: vocabulary and of the byte-level one, largest share of byte-fallback tokens, least entropy of the
 #: tokens in bits relative to that of as many different tokens (or of FULL, in longer texts).
@@ -41,7 +45,8 @@ _SYMBOLS = b"#*$%&|<>"
 
 
 class Vocabularies(dict):
-    """word (bytes) -> (byte-fallback vocabulary's ids, how many are bytes, byte-level tokens, characters)."""
+    """word (bytes) -> 32-bit numbers as bytes: how many ids the byte-fallback vocabulary has for it, how
+    many of them are bytes, how many tokens the byte-level one, characters, then the ids."""
 
     def __init__(self, piece_path: str, bpe_path: str):
         import base64
@@ -57,22 +62,17 @@ class Vocabularies(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         ids = self.pieces.encode(text, num_threads=1)
-        found = (np.array(ids, np.int64), sum(i in self.is_byte for i in ids), len(self.bpe.encode_ordinary(f" {text}")), len(text))
+        found = array("i", [len(ids), sum(i in self.is_byte for i in ids), len(self.bpe.encode_ordinary(f" {text}")), len(text), *ids]).tobytes()
         if len(self) < KEPT_WORDS:
             self[word] = found
         return found
 
 
-_MADE: dict[tuple[str, str], Vocabularies] = {}
-
-
 def vocabularies(piece_path: str, bpe_path: str) -> Vocabularies:
-    if (piece_path, bpe_path) not in _MADE:
-        _MADE[piece_path, bpe_path] = Vocabularies(piece_path, bpe_path)
-    return _MADE[piece_path, bpe_path]
+    return only(f"fertility {piece_path} {bpe_path}", lambda: Vocabularies(piece_path, bpe_path))
 
 
 class _Numbers(dict):
@@ -141,10 +141,10 @@ def measure(texts: list[bytes], langs: list[str | None], vocab: Vocabularies, ba
         words.append(found)
         ids.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
     known = [vocab[w] for w in numbers]
-    n_tokens = np.array([len(k[0]) for k in known] or [0])
-    n_bytes, n_bpe, n_chars = (np.array([k[i] for k in known] or [0]) for i in (1, 2, 3))
-    flat = np.concatenate([k[0] for k in known]) if known else np.zeros(0, np.int64)
-    firsts = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
+    flat = np.frombuffer(b"".join(known), np.int32).astype(np.int64)
+    starts = np.cumsum([0, *(len(k) // 4 for k in known)])[:-1]
+    n_tokens, n_bytes, n_bpe, n_chars = (flat[starts + i] for i in range(4))
+    firsts = starts + 4
     rows = []
     for text, lang, found, own in zip(texts, langs, words, ids, strict=True):
         base = base_measures(text, found, own)
@@ -163,33 +163,39 @@ def measure(texts: list[bytes], langs: list[str | None], vocab: Vocabularies, ba
     return rows
 
 
-def judged(docs: DataFrame, piece_path: str, bpe_path: str, bands: dict = BANDS) -> DataFrame:
-    """docs with a struct ``_rules`` of BASE and MEASURES; nothing is shuffled."""
+def _judged(own: Renamed, piece_path: str, bpe_path: str, bands: dict) -> DataFrame:
+    """own's rows with a struct ``_rules`` of BASE and MEASURES; nothing is shuffled."""
     import pyarrow as pa
-
-    names = docs.columns
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    kind = to_arrow_type(StructType.fromDDL(f"{BASE}, {MEASURES}"))
-    schema = StructType.fromDDL(", ".join(f"`_c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + f", _rules struct<{', '.join(x.replace(' ', ':') for x in f'{BASE}, {MEASURES}'.split(', '))}>")
-    text_at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
+    kind = StructType.fromDDL(f"{BASE}, {MEASURES}")
+    arrow = to_arrow_type(kind)
+    schema = StructType([*own.rows.schema.fields]).add("_rules", kind)
+    names, text_at = schema.names, own.names.index("text")
+    lang_at = own.names.index("lang") if "lang" in own.names else None
 
     def run(batches):
         from skein.llm.tokens import slices
 
         vocab = vocabularies(piece_path, bpe_path)
-        for batch in batches:
-            for part in slices([batch.rename_columns(["text" if i == text_at else f"_c{i}" for i in range(batch.num_columns)])]):
-                texts = [(t or "").encode() for t in part.column(text_at).to_pylist()]
-                langs = part.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
-                rows = measure(texts, langs, vocab, bands)
-                found = pa.array([dict(zip([f.name for f in kind], r, strict=True)) for r in rows], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=schema.names)
+        for part in slices(batches, column=f"_c{text_at}"):
+            texts = [(t or "").encode() for t in part.column(text_at).to_pylist()]
+            langs = part.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
+            rows = measure(texts, langs, vocab, bands)
+            found = pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], arrow)
+            yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
+
+    return own.rows.mapInArrow(run, schema)
 
-    moved = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return moved.mapInArrow(run, schema).select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "_rules")
+
+def judged(docs: DataFrame, piece_path: str, bpe_path: str, bands: dict = BANDS) -> DataFrame:
+    """doc_id, BASE and MEASURES of every row."""
+    own = Renamed(docs)
+    return _judged(own, piece_path, bpe_path, bands).select(own["doc_id"].alias("doc_id"), "_rules.*")
 
 
 def keep(docs: DataFrame, piece_path: str, bpe_path: str, bands: dict = BANDS) -> DataFrame:
-    return judged(docs, piece_path, bpe_path, bands).where("_rules.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that pass, with all their columns."""
+    own = Renamed(docs)
+    return own.back(_judged(own, piece_path, bpe_path, bands).where("_rules.kept"))

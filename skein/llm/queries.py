@@ -22,7 +22,7 @@ def vocabulary(name: str) -> str:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.decided(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judged(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
-    return rows.select("doc_id", "_rules.*")
+    return quality_rules.judged(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

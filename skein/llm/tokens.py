@@ -13,10 +13,11 @@ from array import array
 
 import numpy as np
 
+from skein.llm.caches import only
+
 #: Units kept in a worker at most (about 200 bytes each).
-KEPT_UNITS = 700_000
+KEPT_UNITS = 400_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_MADE: dict[tuple[str, int], "UnitEncoder"] = {}
 
 
 class UnitEncoder(dict):
@@ -101,17 +102,15 @@ class UnitEncoder(dict):
 
 def encoder(path: str, kept: int = KEPT_UNITS) -> UnitEncoder:
     """One for each worker process."""
-    if (path, kept) not in _MADE:
-        _MADE[path, kept] = UnitEncoder(path, kept)
-    return _MADE[path, kept]
+    return only(f"units {path} {kept}", lambda: UnitEncoder(path, kept))
 
 
-def slices(batches, most_bytes: int = 4_000_000):
+def slices(batches, most_bytes: int = 4_000_000, column: str = "text"):
     """Arrow record batches cut into pieces of about ``most_bytes`` of text at most (one text at least)."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
