@@ -1,12 +1,17 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of styles: a node is a path of elements with their
-classes. For every node two entropies are counted over the host's pages: how much its children's
-layout varies (presentation), and how far its texts repeat from page to page (content; text that comes
-back everywhere is template). A node's importance mixes both, and branches of low importance leave
-every page, unless the whole article repeats as much (copies of one page are no template). What an
-element says of itself counts first: menus, footers, sidebars, adverts, forms, comments and the like
-go by element, class, id and role, and where a page has an article, only that is kept.
+The pages of a host are merged into one tree of styles: a style node is a path of elements with their
+classes, and below it hang its content nodes, the texts of its blocks. Every block of every page is counted.
+A style node's importance mixes two entropies over the host's pages: how much its children's layout varies
+(presentation), and how far the texts below it come back from page to page (content). What an element says
+of itself (tag, class, id, role) is a prior: the importance of a node that calls itself a menu, footer,
+sidebar, advert, form, comment or the like is multiplied by NAMED. A content node's importance is the
+entropy of its own text alone. Style nodes below LOW, and content nodes below LOW on most pages, leave every
+page; on hosts of fewer than PAGES pages nothing is known but the prior. Where a page has an article, only
+that is kept.
+
+A page that would lose more than 1 - SOLID of its article so is no page with a template but a copy of other
+pages: it loses repeated texts only, and if that is too much as well, only what its elements give away.
 
 Node counts are combined in the task and again before the shuffle, so a host may hold any share of
 the pages; the nodes to drop are few per host and reach the pages by host.
@@ -20,21 +25,26 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import lookup, written
 
-#: Nodes below this importance go, if their article or body has at least SOLID and so many pages show them.
-LOW, SOLID, PAGES = 0.3, 0.5, 5
+#: Nodes below LOW go if at least so many pages show them; a page keeps at least SOLID of its article's characters.
+LOW, SOLID, PAGES = 0.3, 0.3, 5
+#: The prior's factor; below LOW, so that a name suffices where the texts of a menu or an advert vary.
+NAMED = 0.25
 GAMMA = 0.9
 #: Elements nested deeper share the node of their ancestor at this depth.
 DEPTH = 16
 
-# Elements by role.
-DROPPED = set("nav footer aside form script style noscript template iframe svg canvas button select option textarea menu dialog object embed audio video head title math".split())
+# Elements by role. Those without a text of the page, and those that aren't an article's.
+HIDDEN = set("script style noscript template iframe svg canvas object embed audio video head title math".split())
+DROPPED = set("nav footer aside form button select option textarea menu dialog".split())
 RAW = set("script style textarea title noscript iframe".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,15 +68,17 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode()) - (1 << 63)
 
 
-def host_of(url: str | None) -> str:
-    return re.sub(r":\d+$", "", re.split(r"[/?#]", (url or "").split("://")[-1])[0].rpartition("@")[2]).lower()
+def host(url: Column) -> Column:
+    """The host of a url in lower case, without user and port; empty for a null."""
+    name = F.regexp_extract(F.substring_index(F.coalesce(url, F.lit("")), "://", -1), r"^[^/?#]*", 0)
+    return F.lower(F.regexp_replace(F.substring_index(name, "@", -1), r":\d+$", ""))
 
 
 class _Element:
-    __slots__ = ("tag", "node", "depth", "nodes", "drop", "main", "anchor", "children")
+    __slots__ = ("tag", "node", "depth", "nodes", "hidden", "noise", "main", "children")
 
-    def __init__(self, tag, node, depth, nodes, drop, main, anchor):
-        self.tag, self.node, self.depth, self.nodes, self.drop, self.main, self.anchor, self.children = tag, node, depth, nodes, drop, main, anchor, []
+    def __init__(self, tag, node, depth, nodes, hidden, noise, main):
+        self.tag, self.node, self.depth, self.nodes, self.hidden, self.noise, self.main, self.children = tag, node, depth, nodes, hidden, noise, main, []
 
 
 def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
@@ -80,25 +92,52 @@ def _says(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     return drop, f"{tag}.{'.'.join(sorted(found.get('class', '').split()))}"
 
 
-def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list[tuple[int, int, int]]]:
-    """The blocks (text, nodes from the outermost in, whether in an article, anchor) that no element
-    gives away as something else, and of all elements (node, anchor, hash of the children's layout)."""
-    root = _Element("", 0, 0, (), False, False, 0)
-    stack, counts, blocks, layouts, held = [root], Counter(), [], [], []
+class Block(NamedTuple):
+    """A block of text: its style nodes from the outermost in, whether an element around it says that it is no
+    part of an article, and whether it is in an article."""
+
+    text: str
+    nodes: tuple[int, ...]
+    noise: bool
+    main: bool
+
+    @property
+    def content(self) -> int:
+        return _hash(self.nodes[-1] if self.nodes else 0, self.text)
+
+
+class Node(NamedTuple):
+    """A style node of a page: its ancestors and itself, its own account, hash of its children's layout."""
+
+    nodes: tuple[int, ...]
+    noise: bool
+    kept: bool
+    layout: int
+
+
+def parse(html: str) -> tuple[list[Block], list[Node]]:
+    root = _Element("", 0, 0, (), False, False, False)
+    stack, counts, blocks, nodes, held = [root], Counter(), [], [], []
 
     def flush():
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
-            top = stack[-1]
+            top = next(e for e in reversed(stack) if e.tag not in INLINE)
             if text:
-                blocks.append((text, top.nodes, top.main, top.anchor))
+                blocks.append(Block(text, top.nodes, top.noise, top.main))
+
+    def hold(text):
+        """Keeps text for the block; an inline element that isn't an article's leaves its own out."""
+        top = stack[-1]
+        if not top.hidden and not (top.noise and top.tag in INLINE):
+            held.append(text)
 
     def pop():
         e = stack.pop()
         counts[e.tag] -= 1
-        if e.tag not in INLINE and e.depth < DEPTH:
-            layouts.append((e.node, e.anchor, _hash(*e.children)))
+        if e.tag not in INLINE and e.depth < DEPTH and not e.hidden:
+            nodes.append(Node(e.nodes, e.noise, e.tag in KEPT, _hash(*e.children)))
 
     def close(tags, stops):
         """Closes the nearest of tags, unless one of stops comes first."""
@@ -114,8 +153,8 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
 
     at, lower = 0, None
     while (m := _TAG.search(html, at)) is not None:
-        if m.start() > at and not stack[-1].drop:
-            held.append(html[at : m.start()])
+        if m.start() > at:
+            hold(html[at : m.start()])
         at = m.end()
         end, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
@@ -142,15 +181,14 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
         parent = stack[-1]
         if tag in VOID:
             continue
-        drop, style = _says(tag, attributes, parent.main)
+        noise, style = _says(tag, attributes, parent.main)
+        noise, hidden = parent.noise or noise, parent.hidden or tag in HIDDEN
         if tag in INLINE:
-            element = _Element(tag, parent.node, parent.depth, parent.nodes, parent.drop or drop, parent.main, parent.anchor)
+            element = _Element(tag, parent.node, parent.depth, parent.nodes, hidden, noise, parent.main)
         else:
             deep = parent.depth >= DEPTH
             node = parent.node if deep else _hash(parent.node, style)
-            main = parent.main or tag in MAIN
-            anchor = node if tag == "body" or main and not parent.main else parent.anchor
-            element = _Element(tag, node, parent.depth + (not deep), parent.nodes if deep else (*parent.nodes, node), parent.drop or drop, main, anchor)
+            element = _Element(tag, node, parent.depth + (not deep), parent.nodes if deep else (*parent.nodes, node), hidden, noise, parent.main or tag in MAIN)
             if not parent.children or parent.children[-1] != style:
                 parent.children.append(style)
         stack.append(element)
@@ -161,90 +199,116 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list
                 lower = re.sub("[A-Z]", lambda x: x[0].lower(), html)
             stop = lower.find(f"</{tag}", at)
             at = len(html) if stop < 0 else stop
-    if not stack[-1].drop:
-        held.append(html[at:])
+    hold(html[at:])
     flush()
     while len(stack) > 1:
         pop()
-    return blocks, layouts
+    return blocks, nodes
 
 
-def main_text(html: str | None, low: frozenset = frozenset()) -> str:
-    """The article's blocks, without those in the nodes ``low``."""
+def main_text(html: str | None, low: frozenset = frozenset(), repeated: frozenset = frozenset()) -> str:
+    """The article's blocks without those in style nodes of low importance and content nodes that come back."""
     blocks = parse(html or "")[0]
-    inside = any(b[2] for b in blocks)
-    return "\n\n".join(text for text, nodes, main, _ in blocks if (main or not inside) and not low.intersection(nodes))
+    inside = any(b.main for b in blocks)
+    own = [b for b in blocks if not b.noise and (b.main or not inside)]
+    least = SOLID * sum(len(b.text) for b in own)
+    fresh = [b for b in own if b.content not in repeated] if repeated else own
+    for kept in ([b for b in fresh if not low.intersection(b.nodes)], fresh):
+        if sum(len(b.text) for b in kept) >= least:
+            return "\n\n".join(b.text for b in kept)
+    return "\n\n".join(b.text for b in own)
+
+
+#: What is counted for a host's nodes: on how many pages a text is, and a layout; the node's ancestors (c: whether
+#: it says that it is no article); the pages.
+CONTENT_OF, LAYOUT_OF, ABOVE_OF, PAGE = range(4)
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """host, node, anchor, kind (0 content, 1 presentation), feature and on how many pages (c)."""
+    """host, node, kind, feature and c."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [("host", pa.string()), ("node", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("c", pa.int64())]
+        from skein.llm.tokens import slices
 
-        def out(counts):
-            rows = list(zip(*counts, strict=True)) or [[]] * 5
+        kinds = [("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("c", pa.int64())]
+
+        def out():
+            counts.update({(host, nodes[-1], ABOVE_OF, up): noise for (host, nodes), noise in paths.items() for up in nodes})
+            rows = list(zip(*counts, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip([*rows, list(counts.values())], kinds, strict=True)], names=[n for n, _ in kinds])
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, found = host_of(url), set()
-                blocks, layouts = parse(html or "")
-                for text, nodes, _, anchor in blocks:
-                    feature = _hash(text)
-                    found.update((host, node, anchor, 0, feature) for node in nodes)
-                found.update((host, node, anchor, 1, layout) for node, anchor, layout in layouts)
-                found.add((host, 0, 0, 2, 0))
+        counts, paths = Counter(), {}
+        for batch in slices(batches, column="html"):
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                blocks, nodes = parse(html or "")
+                found = {(host, b.nodes[-1], CONTENT_OF, b.content) for b in blocks if b.nodes}
+                found.update((host, n.nodes[-1], LAYOUT_OF, n.layout) for n in nodes if n.nodes)
+                found.add((host, 0, PAGE, 0))
                 counts.update(found)
+                paths.update(((host, n.nodes), int(n.noise)) for n in nodes if n.nodes and not n.kept)
                 if len(counts) > 200_000:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
+                    yield out()
+                    counts, paths = Counter(), {}
+        yield out()
 
-    counted = pages.select("url", "html").mapInArrow(run, "host string, node long, anchor long, kind int, feature long, c long")
-    return counted.groupBy("host", "node", "anchor", "kind", "feature").agg(F.sum("c").alias("c"))
+    counted = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node long, kind int, feature long, c long")
+    return counted.groupBy("host", "node", "kind", "feature").agg(F.sum("c").alias("c"))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, node, anchor, pages and importance of the style nodes of all hosts with several pages."""
-    counts = written(_counted(pages), "styles")
-    hosts = counts.where("kind = 2").select("host", F.ln(F.col("c").cast("double")).alias("lm")).where("lm > 0")
+def importance(counts: DataFrame) -> DataFrame:
+    """host, node, pages and importance of the style nodes of all hosts of at least PAGES pages; articles and
+    what is around them aside."""
+    hosts = counts.where((F.col("kind") == PAGE) & (F.col("c") >= PAGES)).select("host", F.ln(F.col("c").cast("double")).alias("lm"))
     log = F.ln(F.col("c").cast("double"))
-    nodes = counts.where("kind < 2").groupBy("host", "node", "anchor").agg(
-        F.sum(F.when(F.col("kind") == 0, log)).alias("same"), F.count_if(F.col("kind") == 0).alias("texts"),
-        F.sum(F.when(F.col("kind") == 1, F.col("c") * log)).alias("clogc"), F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("pages"),
-        F.count_if(F.col("kind") == 1).alias("layouts"),
-    )
-    nodes = nodes.where("texts > 0 and pages > 0").join(hosts, "host")
+    above = counts.where(F.col("kind") == ABOVE_OF).select("host", "node", F.col("feature").alias("up"), (F.col("c") > 0).alias("noise"))
+    texts = counts.where(F.col("kind") == CONTENT_OF).groupBy("host", "node").agg(F.sum(log).alias("same"), F.count("*").alias("texts"))
+    below = above.join(texts, ["host", "node"]).groupBy("host", F.col("up").alias("node")).agg(F.sum("same").alias("same"), F.sum("texts").alias("texts"))
+    layouts = counts.where(F.col("kind") == LAYOUT_OF).groupBy("host", "node").agg(F.sum(F.col("c") * log).alias("clogc"), F.sum("c").alias("pages"), F.count("*").alias("layouts"))
+    nodes = above.where("node = up").select("host", "node", "noise").join(layouts, ["host", "node"]).join(below, ["host", "node"]).join(hosts, "host")
     content = 1 - F.col("same") / F.col("texts") / F.col("lm")
     layout = (F.ln(F.col("pages").cast("double")) - F.col("clogc") / F.col("pages")) / F.col("lm")
     share = F.pow(F.lit(GAMMA), F.col("layouts").cast("double"))
-    return nodes.select("host", "node", "anchor", "pages", ((1 - share) * layout + share * content).alias("importance"))
+    prior = F.when(F.col("noise"), NAMED).otherwise(1.0)
+    return nodes.select("host", "node", "pages", "noise", (prior * ((1 - share) * layout + share * content)).alias("importance"))
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """host and low: the style nodes that leave its pages."""
-    found = written(importance(pages), "importance")
-    solid = found.where((F.col("node") == F.col("anchor")) & (F.col("importance") >= SOLID)).select("host", "anchor")
-    low = found.where((F.col("importance") < LOW) & (F.col("pages") >= PAGES) & (F.col("node") != F.col("anchor"))).join(solid, ["host", "anchor"], "left_semi")
-    return low.groupBy("host").agg(F.collect_set("node").alias("low"))
+    """host, low and repeated: the style nodes and the content nodes that leave its pages."""
+    counts = written(_counted(pages), "styles")
+    hosts = counts.where((F.col("kind") == PAGE) & (F.col("c") >= PAGES)).select("host", F.col("c").alias("m"))
+    texts = counts.where((F.col("kind") == CONTENT_OF) & (F.col("c") >= PAGES)).join(hosts, "host")
+    entropy = F.ln(F.col("c").cast("double")) / F.ln(F.col("m").cast("double"))
+    texts = texts.where((1 - entropy < LOW) & (2 * F.col("c") >= F.col("m"))).select("host", F.lit(None).cast("long").alias("node"), F.col("feature").alias("text"))
+    nodes = importance(counts).where((F.col("importance") < LOW) & (F.col("pages") >= PAGES)).select("host", "node", F.lit(None).cast("long").alias("text"))
+    # Collected sets leave nulls out. A host has few styles, and few texts that are on half of its pages.
+    return nodes.unionByName(texts).groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set("text").alias("repeated"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    host = F.udf(host_of)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = [main_text(h, frozenset(low or ())) for h, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
+        from skein.llm.tokens import slices
+
+        sets: dict[bytes, frozenset] = {}  # the last host's
+
+        def known(found):
+            key = np.array(found or (), np.int64).tobytes()
+            if key not in sets:
+                if len(sets) > 1000:
+                    sets.clear()
+                sets[key] = frozenset(found or ())
+            return sets[key]
+
+        for batch in slices(batches, column="html"):
+            texts = [main_text(h, known(a), known(b)) for h, a, b in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "repeated")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     low = written(low_nodes(pages), "low")
-    keyed = pages.select("page_id", "url", "html", host("url").alias("host")) if not low.isEmpty() else None
-    rows = pages.select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("low")) if keyed is None else lookup(keyed, low, "host", F.col("page_id"), "left").select("page_id", "url", "html", "low")
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    rows = lookup(keyed, low, "host", F.col("page_id"), "left").select("page_id", "url", "html", "low", "repeated")
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -361,6 +361,59 @@ def test_extraction(spark):
     assert found[3] == "Story 3 of its own\n\nand more 9" and found[90] == found[91] == "" and found[92] == "alone" and found[93] == found[94] == "copy"
 
 
+def planted_site():
+    """Pages of one host whose template has no telling names, beside copies, a short host and a host of copies."""
+    pages, want = [], {}
+    for i in range(30):
+        own = [f"Story {i} begins here, part {i * 7 % 13}.", f"It goes on with {i * i} and {i + 5}.", "A sentence that two stories share." if i < 2 else f"Then it ends, {i}."]
+        template = f"<div class=x1><div>Home</div><div>World</div></div><div class=x2>{''.join(f'<p>{t}</p>' for t in own[:2])}<p>Read our terms before you go on.</p><p>{own[2]}</p></div><div class=x3><p>Made by us</p></div>"
+        pages.append((i, f"https://H.example:80/{i}", f"<body>{template}</body>"))
+        want[i] = "\n\n".join(own)
+    for i in range(30, 34):  # the first page again
+        pages.append((i, f"http://u@h.example/{i}", pages[0][2]))
+        want[i] = want[0]
+    for i in range(40, 43):  # too few to tell
+        pages.append((i, f"https://few.example/{i}", f"<div>Same</div><p>Text {i}</p>"))
+        want[i] = f"Same\n\nText {i}"
+    for i in range(50, 62):
+        pages.append((i, "https://copies.example/x", "<div class=a><p>One.</p><p>Two.</p></div>"))
+        want[i] = "One.\n\nTwo."
+    return pages, want
+
+
+def test_extraction_drops_templates_without_telling_names(spark):
+    """Menus and lines that come back on most pages go by the tree alone; what few pages share stays."""
+    pages, want = planted_site()
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in rows(site_style.extract(frame))} == want
+    low = {r["host"]: r for r in rows(site_style.low_nodes(frame))}
+    assert low["h.example"]["low"] and low["h.example"]["repeated"]
+
+
+def test_style_importance_by_hand(spark):
+    """Importance of every style node, counted page by page."""
+    frame = spark.createDataFrame(planted_site()[0][:30] + [(99, "https://h.example/n", "<body><nav><p>Only here</p></nav><p>Body</p></body>")], "page_id long, url string, html string")
+    texts, layouts, paths = defaultdict(Counter), defaultdict(Counter), {}
+    for r in rows(frame):
+        blocks, nodes = site_style.parse(r["html"])
+        for node, text in {(b.nodes[-1], b.text) for b in blocks}:
+            texts[node][text] += 1
+        for node, layout in {(n.nodes[-1], n.layout) for n in nodes}:
+            layouts[node][layout] += 1
+        paths.update({n.nodes[-1]: n for n in nodes if not n.kept})
+    m, want = 31, {}
+    for node, n in paths.items():
+        under = [c for leaf, p in paths.items() if node in p.nodes for c in texts[leaf].values()]
+        if under:
+            content = 1 - sum(np.log(c) for c in under) / len(under) / np.log(m)
+            total = sum(layouts[node].values())
+            layout = -sum(c / total * np.log(c / total) for c in layouts[node].values()) / np.log(m)
+            share = site_style.GAMMA ** len(layouts[node])
+            want[node] = (site_style.NAMED if n.noise else 1) * ((1 - share) * layout + share * content)
+    found = {r["node"]: r["importance"] for r in rows(site_style.importance(site_style._counted(frame)))}
+    assert found == pytest.approx(want) and any(v < site_style.LOW for v in want.values())
+
+
 def test_extraction_drops_inline_elements():
     cases = {
         '<p>Text <span class="ad">Buy now</span> more</p>': "Text more",
