@@ -1,9 +1,10 @@
 """Packing documents into fixed-length sequences by bounded-space online best fit.
 
-Pieces arrive one by one, the longest of a packer first. Each goes to the open sequence with the least free space that still holds
-it, found in a bitset keyed by free space; where none holds it a new one is opened, and beyond a fixed
-number of open ones the fullest closes first. Tokenisation runs where the texts lie; only the narrow
-piece rows move, to as many packers as their count asks for, so that few sequences stay part-filled.
+Pieces arrive one by one, in the order of their documents. Each goes to the open sequence with the least
+free space that still holds it, found in a bitset keyed by free space; where none holds it a new one is
+opened, and beyond a fixed number of open ones the fullest closes first. Tokenisation runs where the texts
+lie; only the narrow piece rows move, to as many packers as their count asks for, so that few sequences
+stay part-filled.
 
 Defined results: a null or empty text is a document of the end id alone; only documents longer than a
 sequence are cut, the first piece taking the remainder; equal rows are packed each on its own; an
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import written
 
-#: Pieces for one packer, at most about so many.
-PER_PACKER = 100_000
+#: Pieces for one packer, at most about so many, and its open sequences.
+PER_PACKER, OPEN = 100_000, 64
 
 
 class BestFit:
@@ -84,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _slot long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, open_sequences: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, open_sequences: int = OPEN) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
 
     def place(batches):
@@ -99,5 +100,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, ope
 
     cut = written(pieces(docs, tokenizer, end_id, size), "pieces")
     packers = max(1, -(-cut.count() // PER_PACKER))
-    dealt = cut.repartition(packers, "_slot").sortWithinPartitions(F.desc("length"), "_slot")
+    dealt = cut.repartition(packers, "_slot").sortWithinPartitions("_slot")
     return dealt.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -172,6 +172,47 @@ def test_packing(stored):
     assert len(sequences) <= sum(r["length"] for r in found) / 1024 * 1.1 + 1
 
 
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_best_fit_closes_the_fullest(most):
+    """The bitset against a list of open sequences, piece by piece; the bound binds."""
+    rng, size = np.random.default_rng(most), 50
+    fit, opened, closed, n = packing.BestFit(size, most), [], 0, 0  # opened: (free, sequence), the latest last
+    for length in rng.integers(1, size + 1, 3000).tolist():
+        fits = [x for x in opened if x[0] >= length]
+        if fits:
+            least = min(x[0] for x in fits)
+            free, sequence = next(x for x in reversed(opened) if x[0] == least)
+            opened.remove((free, sequence))
+        else:
+            free, sequence, n = size, n, n + 1
+            if length < size and len(opened) >= most:
+                fullest = min(x[0] for x in opened)
+                opened.remove(next(x for x in reversed(opened) if x[0] == fullest))
+                closed += 1
+        if free > length:
+            opened.append((free - length, sequence))
+        assert fit.put(length) == (sequence, size - free)
+        assert len(opened) == fit.n_open <= most
+    assert closed > 10
+
+
+def test_packing_is_online_and_bounded(spark):
+    """The query's own bound binds, pieces keep the order of their documents, few sequences are wasted."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 600, 20_000)
+    fit = packing.BestFit(1024, packing.OPEN)
+    most = 0
+    for length in lengths.tolist():
+        fit.put(length)
+        most = max(most, fit.n_open)
+    assert most == packing.OPEN and fit.next <= 1.05 * lengths.sum() / 1024
+    docs = spark.createDataFrame([(i, "word " * (i % 90)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    found = rows(packing.pack(docs, P.path("byte_bpe_50k.json"), size=64, open_sequences=2))
+    fit = packing.BestFit(64, 2)
+    want = [fit.put(r["length"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["piece"]))]
+    assert [(r["sequence_id"] & ((1 << 40) - 1), r["offset"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["piece"]))] == want
+
+
 def test_token_store(stored):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     found = rows(token_store.stored(stored, P.path("word_bpe_49k.json")))
