@@ -1,78 +1,145 @@
 """Licence scan by sentence rules (DataFrame functions only).
 
 A text is cut into sentences, by line and, for licence texts wrapped over lines, by paragraph. Each
-sentence is normalised (lower case, runs of other signs one space) and looked up among known licence
-sentences; the identifiers in text order are then held against ordered rules. A rule asks for its
-identifiers in order, with anything between; the rules of one licence go from most to least specific
-and the first that matches counts. Every step is an expression over one row, so nothing is shuffled.
-
-Defined results: a null, empty or blank text has no sentences and no licence; repeated sentences are
-listed as often as they occur; equal rows give equal results; an empty table gives no rows; columns
-besides doc_id and text are ignored.
+sentence is normalised (lower case, runs of other signs one space) and mapped to the identifier of a known
+licence sentence: it is one, or it says that something is under a licence of known name. The identifiers in
+text order are then held against ordered rules. A rule asks for its identifiers in order, with anything
+between (joined by + they must be next to each other); the rules of one licence go from most to least
+specific and the first that matches counts. Every step is an expression over one row, so nothing is shuffled.
+
+Texts that lack all ANCHORS aren't cut: a known sentence holds one of these words, and a word of a normalised
+sentence stands in the lower-case text as it is, between other signs.
+
+Covered are the licences of NAMES. Defined results: a null, empty or blank text has no sentences and no
+licence; repeated sentences are listed as often as they occur; equal rows give equal results; an empty table
+gives no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_ASIS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_TERMS = "you can redistribute it and or modify it under the terms of the {} as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+
 # Identifiers and texts of licence sentences, normalised as below.
 SENTENCES = {
-    "apache2-ref": ["licensed under the apache license version 2 0", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0"],
     "apache2-head": ["licensed under the apache license version 2 0 the license"],
     "apache2-comply": ["you may not use this file except in compliance with the license"],
     "apache2-copy": ["you may obtain a copy of the license at"],
     "apache2-asis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "mit-ref": ["released under the mit license", "licensed under the mit license", "distributed under the mit license", "this project is licensed under the mit license"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "asis-software": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "asis-software": [_ASIS],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc0-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "bsd-redist": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-noendorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd3-ref": ["released under the bsd 3 clause license", "licensed under the bsd 3 clause license"],
-    "bsd2-ref": ["released under the bsd 2 clause license", "licensed under the bsd 2 clause license"],
-    "gpl3-ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl-free": ["this program is free software"],
-    "gpl3-later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl2-later": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "either version 2 of the license or at your option any later version"],
-    "gpl2-ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
-    "mpl2-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "cc-by-nc4-ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa4-ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by4-ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc0-ref": ["released under cc0 1 0", "licensed under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "zlib-origin": ["the origin of this software must not be misrepresented", "1 the origin of this software must not be misrepresented"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "unlicense-free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "mpl2-head": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "epl2-head": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"],
+    "gpl-free": ["this program is free software", "this library is free software"],
+    "gpl-terms": [_TERMS.format("gnu general public license")],
+    "lgpl-terms": [_TERMS.format("gnu lesser general public license")],
+    "agpl-terms": [_TERMS.format("gnu affero general public license")],
+    **{f"later-{v.replace(' ', '')}": [_LATER.format(v)] for v in ("2", "2 1", "3")},
+    **{f"{f}-terms-{v.replace(' ', '')}": [f"{_TERMS.format(f'gnu {long}general public license')} {_LATER.format(v)}"] for f, long, v in (("gpl", "", "2"), ("gpl", "", "3"), ("lgpl", "lesser ", "2 1"), ("lgpl", "lesser ", "3"), ("agpl", "affero ", "3"))},
+    "cc0-dedication": ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
     "reserved": ["all rights reserved"],
+    "spdx": ["spdx license identifier"],
+}
+
+# What a sentence calls a licence that something is under. Longer names come first.
+NAMES = {
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license", "apache 2 0"],
+    "MIT": ["mit license", "expat license"],
+    "ISC": ["isc license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agplv3", "agpl 3 0"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgplv3", "lgpl 3 0"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgplv2 1", "lgpl 2 1"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gplv3", "gpl 3 0"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gplv2", "gpl 2 0"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0", "epl 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "Zlib": ["zlib license"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "Unlicense": ["unlicense"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"],
+    "CC0-1.0": ["cc0 1 0", "creative commons zero"],
 }
 
-# Rule, licence, identifiers that must follow each other in a text. Within a licence the
-# most specific rule comes first.
-RULES = [
+# Rule, licence, identifiers that must follow each other in a text.
+_TEXTS = [
     ("apache-2.0-header", "Apache-2.0", ["apache2-head", "apache2-comply", "apache2-asis"]),
     ("apache-2.0-notice", "Apache-2.0", ["apache2-head"]),
-    ("apache-2.0-reference", "Apache-2.0", ["apache2-ref"]),
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "asis-software"]),
     ("mit-grant", "MIT", ["mit-grant"]),
-    ("mit-reference", "MIT", ["mit-ref"]),
+    ("isc-text", "ISC", ["isc-grant"]),
+    ("isc-0-text", "0BSD", ["isc0-grant"]),
     ("bsd-3-text", "BSD-3-Clause", ["bsd-redist", "bsd-noendorse"]),
-    ("bsd-3-reference", "BSD-3-Clause", ["bsd3-ref"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-redist"]),
-    ("bsd-2-reference", "BSD-2-Clause", ["bsd2-ref"]),
-    ("gpl-3.0-notice", "GPL-3.0", ["gpl-free", "gpl3-later"]),
-    ("gpl-3.0-reference", "GPL-3.0", ["gpl3-ref"]),
-    ("gpl-2.0-notice", "GPL-2.0", ["gpl-free", "gpl2-later"]),
-    ("gpl-2.0-reference", "GPL-2.0", ["gpl2-ref"]),
-    ("mpl-2.0-reference", "MPL-2.0", ["mpl2-ref"]),
-    ("cc-by-nc-4.0-reference", "CC-BY-NC-4.0", ["cc-by-nc4-ref"]),
-    ("cc-by-sa-4.0-reference", "CC-BY-SA-4.0", ["cc-by-sa4-ref"]),
-    ("cc-by-4.0-reference", "CC-BY-4.0", ["cc-by4-ref"]),
-    ("cc0-1.0-reference", "CC0-1.0", ["cc0-ref"]),
+    ("zlib-text", "Zlib", ["zlib-grant", "zlib-origin"]),
+    ("zlib-grant", "Zlib", ["zlib-grant"]),
+    ("boost-1.0-text", "BSL-1.0", ["boost-grant"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("unlicense-notice", "Unlicense", ["unlicense-free"]),
+    ("mpl-2.0-header", "MPL-2.0", ["mpl2-head", "mpl2-copy"]),
+    ("mpl-2.0-notice", "MPL-2.0", ["mpl2-head"]),
+    ("epl-2.0-notice", "EPL-2.0", ["epl2-head"]),
+    ("cc0-1.0-deed", "CC0-1.0", ["cc0-dedication"]),
     ("all-rights-reserved", "LicenseRef-reserved", ["reserved"]),
+    *[(f"{f}-{long}-notice", f"{f.upper()}-{long}", [f"{f}-terms+later-{v}"]) for f, long, v in (("gpl", "3.0", "3"), ("gpl", "2.0", "2"), ("lgpl", "3.0", "3"), ("lgpl", "2.1", "21"), ("agpl", "3.0", "3"))],
+    *[(f"{f}-{long}-joined-notice", f"{f.upper()}-{long}", [f"{f}-terms-{v}"]) for f, long, v in (("gpl", "3.0", "3"), ("gpl", "2.0", "2"), ("lgpl", "3.0", "3"), ("lgpl", "2.1", "21"), ("agpl", "3.0", "3"))],
 ]
+_FAMILY = {licence: k for k, licence in enumerate([*NAMES, "0BSD", "LicenseRef-reserved"])}
+# A tag, on one line with the name or before it, and a sentence that names the licence come last of a licence's rules.
+RULES = sorted(
+    [*_TEXTS, *[(f"{n.lower()}-tag", n, [f"spdx+tag-{n}"]) for n in NAMES], *[(f"{n.lower()}-tag-line", n, [f"spdx-{n}"]) for n in NAMES], *[(f"{n.lower()}-reference", n, [f"ref-{n}"]) for n in NAMES]],
+    key=lambda rule: _FAMILY[rule[1]],
+)
 # BSD's two-clause text is the start of its three-clause text.
 UNLESS = {"bsd-2-text": "bsd-3-text"}
 
-#: Every known sentence holds one of these; texts without them need no cutting.
-HINT = r"(?i)(licen[sc]e|licen[sc]ed|permission|permit|copyright|copies|redistribut|warrant|free software|promote products|compliance|cc0|public domain|mozilla|all rights)|version 2"
+
+def _plain(name: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+
+
+#: Whole sentences, and the names that may stand in any sentence after "under".
+KNOWN = {s: i for i, sentences in SENTENCES.items() for s in sentences}
+for _n in NAMES:
+    for _s in (_plain(_n), f"{_plain(_n)} only", f"{_plain(_n)} or later"):
+        KNOWN |= {_s: f"tag-{_n}", f"spdx license identifier {_s}": f"spdx-{_n}"}
+REFERENCES = [(f"ref-{n}", f" under {name} ") for n, names in NAMES.items() for name in names]
+
+
+def _anchors() -> list[str]:
+    """Words such that every known sentence and name holds one; greedily, so that there are few."""
+    left, found = [set(s.split()) for s in [*KNOWN, *(r.replace(" under ", " ") for _, r in REFERENCES)]], []
+    common = set("the this is of or and to at in on an a by be may you any as it its not with without under for all copy 0 1 2 3 4".split())
+    while left:
+        counts = Counter(w for s in left for w in s - common) or Counter(w for s in left for w in s)
+        word = max(counts, key=lambda w: (counts[w], w))
+        found.append(word)
+        left = [s for s in left if word not in s]
+    return found
+
+
+ANCHORS = _anchors()
 
 
 def _sentences(text: Column) -> Column:
@@ -81,19 +148,31 @@ def _sentences(text: Column) -> Column:
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
 
 
+def _identifier(sentence: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    padded = F.regexp_replace(F.concat(F.lit(" "), sentence, F.lit(" ")), " under (the|a|an) ", " under ")
+    named = F.lit(None).cast("string")
+    for identifier, name in reversed(REFERENCES):
+        named = F.when(F.contains(padded, F.lit(name)), identifier).otherwise(named)
+    return F.coalesce(known[sentence], F.when(F.contains(padded, F.lit(" under ")), named))
+
+
 def _identifiers(text: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for i, sentences in SENTENCES.items() for s in sentences for x in (s, i)])
-    return F.filter(F.transform(_sentences(text), lambda s: known[s]), lambda i: i.isNotNull())
+    return F.filter(F.transform(_sentences(text), _identifier), lambda i: i.isNotNull())
+
+
+def _pattern(sequence: list[str]) -> str:
+    return "%" + "%".join(f";{i.replace('+', ';;')};" for i in sequence) + "%"
 
 
 def _matched(ids: Column) -> list[tuple[str, str, Column]]:
     """(rule, licence, whether the rule counts), given ids joined as ;id;;id;."""
     out, taken = [], {}
     for rule, licence, sequence in RULES:
-        hit = ids.like("%" + "%".join(f";{i};" for i in sequence) + "%")
+        hit = ids.like(_pattern(sequence))
         free = hit & ~taken[licence] if licence in taken else hit
         if rule in UNLESS:
-            free = free & ~next(c for r, _, c in out if r == UNLESS[rule])
+            free = free & ~ids.like(_pattern(next(q for r, _, q in RULES if r == UNLESS[rule])))
         taken[licence] = hit | taken[licence] if licence in taken else hit
         out.append((rule, licence, free))
     return out
@@ -105,11 +184,13 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
     flat = F.regexp_replace(text, r"([^\n])\n([^\n])", "$1 $2")
-    rows = docs.select("doc_id", F.when(text.rlike(HINT), F.struct(_identifiers(text).alias("l"), _identifiers(flat).alias("p"))).otherwise(F.struct(none.alias("l"), none.alias("p"))).alias("_ids"))
+    may = F.lower(text).rlike(rf"(?<![a-z0-9])(?:{'|'.join(ANCHORS)})(?![a-z0-9])")
+    rows = docs.select("doc_id", F.when(may, F.struct(_identifiers(text).alias("l"), _identifiers(flat).alias("p"))).otherwise(F.struct(none.alias("l"), none.alias("p"))).alias("_ids"))
     # The cutting that knows more sentences counts, by line if both know as many.
     ids = F.when(F.size("_ids.p") > F.size("_ids.l"), F.col("_ids.p")).otherwise(F.col("_ids.l"))
     rows = rows.select("doc_id", ids.alias("_ids")).withColumn("_row", F.concat_ws("", F.transform("_ids", lambda i: F.concat(F.lit(";"), i, F.lit(";")))))
-    hits = _matched(F.col("_row"))
+    # Almost all texts have no identifiers; theirs need no rules.
+    hits = [(rule, licence, (F.col("_row") != "") & c) for rule, licence, c in _matched(F.col("_row"))]
     return rows.select(
         "doc_id",
         F.size("_ids").cast("long").alias("n_sentences"),
@@ -120,23 +201,27 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL, from the same fixed values."""
-    known = ", ".join(f"('{s}', '{i}')" for i, sentences in SENTENCES.items() for s in sentences)
+    """The same in DuckDB SQL, from the same fixed values; every text is cut."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in KNOWN.items())
+    names = ", ".join(f"({k}, '{i}', '{n}')" for k, (i, n) in enumerate(REFERENCES))
     cut = r"list_transform(string_split(regexp_replace({t}, '([.!?;:])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
     flat = r"regexp_replace(t, '([^\n])\n([^\n])', '\1 \2', 'g')"
-    ctes, names = [], []
+    ctes, each_rule = [], []
     for k, (rule, licence, sequence) in enumerate(RULES):
-        like = "row_ids LIKE '%" + "%".join(f";{i};" for i in sequence) + "%'"
-        earlier = [f"NOT h{j}" for j, (r, other, _) in enumerate(RULES[:k]) if other == licence or UNLESS.get(rule) == r]
-        ctes.append(f"({like}) AS h{k}")
-        names.append((k, " AND ".join([f"h{k}", *earlier]), rule, licence))
-    each = lambda at: ", ".join(f"CASE WHEN {cond} THEN '{(rule, licence)[at]}' END" for _, cond, rule, licence in names)
+        earlier = [f"NOT h{j}" for j, (r, other, _) in enumerate(RULES) if j < k and other == licence or UNLESS.get(rule) == r]
+        ctes.append(f"(row_ids LIKE '{_pattern(sequence)}') AS h{k}")
+        each_rule.append((" AND ".join([f"h{k}", *earlier]), rule, licence))
+    each = lambda at: ", ".join(f"CASE WHEN {cond} THEN '{(rule, licence)[at]}' END" for cond, rule, licence in each_rule)
     return f"""
 WITH known(s, id) AS (VALUES {known}),
+names(k, id, name) AS (VALUES {names}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 u AS (SELECT rid, 'l' AS how, unnest({cut.format(t="t")}) AS s, generate_subscripts({cut.format(t="t")}, 1) AS i FROM d
       UNION ALL SELECT rid, 'p', unnest({cut.format(t=flat)}), generate_subscripts({cut.format(t=flat)}, 1) FROM d),
-m AS (SELECT rid, how, list(id ORDER BY i) AS ids FROM u JOIN known USING (s) GROUP BY rid, how),
+v AS (SELECT *, regexp_replace(' ' || s || ' ', ' under (the|a|an) ', ' under ', 'g') AS padded FROM u),
+w AS (SELECT v.rid, how, i, min_by(names.id, k) AS id FROM v JOIN names ON contains(padded, name) WHERE contains(padded, ' under ') GROUP BY v.rid, how, i),
+x AS (SELECT u.rid, u.how, u.i, coalesce(known.id, w.id) AS id FROM u LEFT JOIN known USING (s) LEFT JOIN w ON w.rid = u.rid AND w.how = u.how AND w.i = u.i),
+m AS (SELECT rid, how, list(id ORDER BY i) AS ids FROM x WHERE id IS NOT NULL GROUP BY rid, how),
 b AS (SELECT doc_id, CASE WHEN len(coalesce(p.ids, [])) > len(coalesce(l.ids, [])) THEN p.ids ELSE coalesce(l.ids, []) END AS ids
       FROM d LEFT JOIN m l ON l.rid = d.rid AND l.how = 'l' LEFT JOIN m p ON p.rid = d.rid AND p.how = 'p'),
 r AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: ';' || x || ';'), ''), '') AS row_ids FROM b),
