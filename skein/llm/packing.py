@@ -65,12 +65,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
 
     def cut(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         from skein.llm.tokens import encoder, slices
 
-        encode, slot = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, slot = encoder(tokenizer), None
         for part in slices(batches):
+            slot = part.column("part")[0].as_py() << 40 if slot is None else slot
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "_slot")}
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                 ids = np.append(np.frombuffer(ids, encode.dtype), end_id).astype("<u4")
@@ -82,7 +82,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
                     slot += 1
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_slot", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _slot long")
+    # The plan's own number of a partition: tasks may read several of them.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _slot long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, open_sequences: int = OPEN) -> DataFrame:
@@ -90,15 +91,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, ope
 
     def place(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        fit, base = BestFit(size, open_sequences), TaskContext.get().partitionId() << 40
+        fit = BestFit(size, open_sequences)
         for batch in batches:
+            base = batch.column("_packer")[0].as_py() << 40 if batch.num_rows else 0
             put = [fit.put(n) for n in batch.column("length").to_pylist()]
             added = {"sequence_id": pa.array([base + s for s, _ in put], pa.int64()), "offset": pa.array([o for _, o in put], pa.int64())}
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *added.values()], names=[*batch.schema.names[:5], *added])
 
     cut = written(pieces(docs, tokenizer, end_id, size), "pieces")
     packers = max(1, -(-cut.count() // PER_PACKER))
-    dealt = cut.repartition(packers, "_slot").sortWithinPartitions("_slot")
+    dealt = cut.repartition(packers, "_slot").sortWithinPartitions("_slot").withColumn("_packer", F.spark_partition_id().cast("long"))
     return dealt.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
