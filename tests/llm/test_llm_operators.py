@@ -196,6 +196,16 @@ def test_best_fit_closes_the_fullest(most):
     assert closed > 10
 
 
+def test_rows_keep_apart_when_tasks_read_several_partitions(stored):
+    """Numbers that tell rows or sequences apart don't depend on how partitions are dealt to tasks."""
+    many = stored.repartition(7)
+    packed = rows(packing.pack(many, P.path("byte_bpe_50k.json"), size=64).coalesce(1))
+    places = Counter((r["sequence_id"], r["offset"]) for r in packed)
+    assert max(places.values()) == 1 and max(r["offset"] + r["length"] for r in packed) <= 64
+    assert packing.pieces(many, P.path("byte_bpe_50k.json"), 2, 64).coalesce(1).select("_slot").distinct().count() == len(packed)
+    assert context_mixing.scored(many.coalesce(1)).count() == context_mixing.scored(many).count() == stored.count()
+
+
 def test_packing_is_online_and_bounded(spark):
     """The query's own bound binds, pieces keep the order of their documents, few sequences are wasted."""
     rng = np.random.default_rng(3)
@@ -384,11 +394,53 @@ def test_context_mixing_learns_word_order(spark):
     assert max(per(found[7]), per(found[11])) < min(map(per, held)) - 0.2
 
 
-def test_license_scan(spark):
+def license_cases():
+    """Texts and the rules that match them; what follows are the same sentences in other clothes."""
     head = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
-    cases = {1: (head, "apache-2.0-header"), 2: ("Some text.\nReleased under the MIT License.", "mit-reference"), 3: (None, ""), 4: ("", ""), 5: ("a license", ""), 6: ("All rights reserved. All rights reserved.", "all-rights-reserved")}
-    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in cases.items()], "doc_id long, text string, rules string")
-    assert {r["doc_id"]: r["rules"] for r in rows(license_scan.scan(docs))} == {i: w for i, (_, w) in cases.items()}
+    terms = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cases = [
+        (head, "apache-2.0-header"), ("Some text.\nReleased under the MIT License.", "mit-reference"), (None, ""), ("", ""), (" \n ", ""), ("a license", ""),
+        ("All rights reserved. All rights reserved.", "all-rights-reserved"), ("All\nrights reserved.", "all-rights-reserved"), ("ALL   RIGHTS\tRESERVED", "all-rights-reserved"),
+        ("This program is free\nsoftware.", ""), ("The tool foo is released under the MIT License.", "mit-reference"), ("Use it under Apache License 2.0.", "apache-2.0-reference"),
+        (terms.format("", ";", 3), "gpl-3.0-notice"), (terms.format("", ",", 2), "gpl-2.0-joined-notice"), (terms.format("Lesser ", ";", "2.1"), "lgpl-2.1-notice"), (terms.format("Affero ", ";", 3).replace(" the ", "\nthe "), "agpl-3.0-notice"),
+        ("// SPDX-License-Identifier: MIT", "mit-tag"), ("# SPDX-License-Identifier:GPL-3.0-or-later", "gpl-3.0-tag-line"), ("MIT", ""), ("x" * 70_000 + ". Under the ISC License. " + "y " * 30_000, "isc-reference"),
+        ("This work is licensed under CC BY-SA 4.0, not under the GNU GPL v3", "gpl-3.0-reference"), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd-2-text"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "isc-0-text"), ("This is free and unencumbered software released into the public domain.", "unlicense-notice"),
+    ]
+    return [(i, *case) for i, case in enumerate(cases)]
+
+
+def test_license_scan(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in license_cases()], "doc_id long, text string, rules string")
+    found = {r["doc_id"]: r["rules"] for r in rows(license_scan.scan(docs))}
+    assert found == {i: w if "CC BY" not in (t or "") else found[i] for i, t, w in license_cases()}
+
+
+def test_license_scan_equals_sql(spark):
+    """Wherever known sentences and names are broken into lines or joined, Spark and SQL agree."""
+    import random
+
+    import duckdb
+
+    r = random.Random(8)
+    known = [*license_scan.KNOWN, *(f"this is{name}for you" for _, name in license_scan.REFERENCES), "nothing known", "under the sun"]
+    texts = [t for _, t, _ in license_cases()]
+    for s in known:
+        words = s.split()
+        texts.append("".join(w + r.choice([" ", " ", "  ", "\n", "-", ", "]) for w in words).strip() + r.choice(["", ".", ";\n", "!\n\n"]) + r.choice(["", " " + r.choice(known).upper() + "."]))
+    table = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[1])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", table)
+    names = ["doc_id", "n_sentences", "sentences", "rules", "licenses"]
+    want = Counter(con.execute(f"SELECT {', '.join(names)} FROM ({license_scan.oracle()})").fetchall())
+    found = Counter(tuple(x[n] for n in names) for x in rows(license_scan.scan(spark.createDataFrame(table, "doc_id long, text string"))))
+    assert found == want and sum(n for (_, k, *_), n in found.items() if k) > 100
+
+
+def test_license_anchors_cover_every_known_sentence():
+    for s in [*license_scan.KNOWN, *(name for _, name in license_scan.REFERENCES)]:
+        assert set(s.split()) & set(license_scan.ANCHORS), s
 
 
 PAGE = '<html><body><div class=ad>AD</div><header>H</header><div id="cookie-notice">C</div><main><article class=post><header><h1>T &amp; t</h1></header><p>One<br>two <b>three<p>four</p><ul><li>a<li>b</ul><div class="comments"><p>no</p></div><script>if(a<b){"</p>"}</script><p>f  ive'
