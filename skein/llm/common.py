@@ -14,6 +14,8 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 #: Tables of at most this many rows, counted before use, may be broadcast.
 BROADCAST_ROWS = 20_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Input for one file of an intermediate table, at least about so much.
 FILE_BYTES = 64 << 20
 
@@ -63,6 +65,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def long_rows(spark: SparkSession) -> None:
+    """Rows that go to Python are whole texts here, so the session's Arrow batches get fewer of them (its default
+    is meant for narrow rows): a batch and what is made of it are held twice, in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Renamed:
     """A frame whose columns are renamed by position, so that none of their names can clash.
 

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import located, scratch, written
 
-#: State on disk. A store per partition: none reserves megabytes ahead or uploads whole snapshots, all of
-#: an executor share STORE_MB of memory, and a store is closed once its batch is done.
-STORE_MB = 96
+#: State on disk. No store reserves megabytes ahead or uploads whole snapshots, all of an executor share
+#: STORE_MB of memory, and a store is closed once its batch is done. There is a store for about so many rows,
+#: and one a core at least: an open store costs native memory however little it holds.
+STORE_MB, STORE_ROWS = 96, 1_000_000
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
@@ -48,14 +49,15 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _state(feed: DataFrame) -> DataFrame:
+def _state(feed: DataFrame, total: int) -> DataFrame:
     """digest, group_size and keep (neg_len, no_id, id, loc) after the stream has read the whole feed."""
     spark = feed.sparkSession
+    settings = STORE | {"spark.sql.shuffle.partitions": str(max(spark.sparkContext.defaultParallelism, -(-total // STORE_ROWS)))}
     path = sorted({f.rsplit("/", 1)[0] for f in feed.inputFiles()})
     checkpoint = scratch(spark, "dedupstate")
-    before = {k: spark.conf.get(k, None) for k in STORE}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STORE.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         stream = spark.readStream.schema(feed.schema).parquet(path[0])
         state = stream.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("neg_len", "no_id", "id", "loc")).alias("keep"))
@@ -76,7 +78,7 @@ def _resolved(rows: DataFrame, doc_id: Column, text: Column, digest: Callable[[C
     total = feed.count()
     if not total:
         return feed.select("loc", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    state = written(_state(feed), "dedupgroups")
+    state = written(_state(feed, total), "dedupgroups")
 
     # Full bytes on hits: least and greatest text are combined where they lie, before the shuffle.
     hits = state.where("group_size > 1")

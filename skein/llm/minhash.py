@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.caches import only
-from skein.llm.common import WS, located, written
+from skein.llm.common import WS, located, long_rows, written
 
 WORDS, SIMILAR = 5, 0.8
 #: 40 bands of 6: at similarity 0.8 a link is missed with probability 5e-6, at 0.85 with 5e-9.
@@ -44,7 +44,7 @@ TURNS = 2
 #: any order of the shingles gives the same links.
 COUNTERS = 20
 #: Words whose hashes a worker keeps (about 200 bytes each).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 NEVER = np.int64((1 << 63) - 1)
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -198,6 +198,7 @@ def _signed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
                         n[i], bits[i], rows[i] = int(sizes[j]), int(sketch[j]), bands[j]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(bits, pa.int64()), pa.array(rows, pa.list_(pa.int64())), *[part.column(c) for c in more]], names=["doc_id", "key", "n", "sketch", "bands", *more])
 
+    long_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"), *more)
     return rows.mapInArrow(run, ", ".join(["doc_id long, key binary, n long, sketch long, bands array<long>", *[f"{c} long" for c in more]]))
 

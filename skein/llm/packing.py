@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import long_rows, written
 
 #: Pieces for one packer, at most about so many, and its open sequences.
 PER_PACKER, OPEN = 100_000, 64
@@ -82,6 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
                     slot += 1
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_slot", pa.int64())]))
 
+    long_rows(docs.sparkSession)
     # The plan's own number of a partition: tasks may read several of them.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _slot long")
 

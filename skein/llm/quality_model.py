@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_mod, written
+from skein.llm.common import crc_mod, long_rows, written
 from skein.llm.quality_rules import _Numbers, repeat_words
 
 #: Labelled rows that the model is fitted on, at most.
@@ -163,6 +163,7 @@ def measured(docs: DataFrame) -> DataFrame:
             rows = [features(t or b"") for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
+    long_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, f array<double>")
 
 

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.caches import only
-from skein.llm.common import Renamed
+from skein.llm.common import Renamed, long_rows
 
 #: Distinct words whose encodings a worker keeps (about 200 bytes each).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Fixed bands by language, else by script: least characters per token of the byte-fallback
 #: vocabulary and of the byte-level one, largest share of byte-fallback tokens, least entropy of the
 #: tokens in bits relative to that of as many different tokens (or of FULL, in longer texts).
@@ -169,6 +169,7 @@ def _judged(own: Renamed, piece_path: str, bpe_path: str, bands: dict) -> DataFr
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    long_rows(own.rows.sparkSession)
     kind = StructType.fromDDL(f"{BASE}, {MEASURES}")
     arrow = to_arrow_type(kind)
     schema = StructType([*own.rows.schema.fields]).add("_rules", kind)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions, scratch
+from skein.llm.common import long_rows, partitions, scratch
 
 MAGIC, CHUNK, RANK_BITS = b"DAC1", 8, 512
 #: A shard closes once it has this many tokens.
@@ -97,6 +97,7 @@ class Dac:
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Writes the shards of docs to ``path``."""
+    long_rows(docs.sparkSession)
     n = partitions(docs.sparkSession) * 2
     bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))

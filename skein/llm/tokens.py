@@ -16,7 +16,7 @@ import numpy as np
 from skein.llm.caches import only
 
 #: Units kept in a worker at most (about 200 bytes each).
-KEPT_UNITS = 400_000
+KEPT_UNITS = 300_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
