@@ -1,10 +1,17 @@
-"""Graphs as edge tables (u <= v, distinct) and node tables."""
+"""Graphs as edge tables (u <= v, distinct) and node tables.
+
+Null ends of edges make no edge; empty tables give empty results; columns besides those named are ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import hash_bucket, number_bucket, ranked
+
 
 def undirected_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
@@ -15,7 +22,8 @@ def node_set(edges: DataFrame) -> DataFrame:
 
 
 def node_index(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("idx"))
+    """id and its rank from 0."""
+    return ranked(nodes.select("id"), [F.col("id")], [number_bucket(nodes, "id")], name="idx")
 
 
 def reindexed(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -44,9 +52,28 @@ def norm_adj(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return adj.join(left, "i").join(right, "j").select("i", "j", (1 / F.sqrt((F.col("di") * F.col("dj")).cast("double"))).alias("a"))
 
 
+def vectors(x: DataFrame) -> DataFrame:
+    """Features (id, k, x), complete, as (id, x array<double>)."""
+    return x.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x")))).alias("kx")).select("id", F.col("kx.x").alias("x"))
+
+
+def long_form(rows: DataFrame) -> DataFrame:
+    """(id, x array<double>) as (id, k, x)."""
+    return rows.select("id", F.posexplode("x").alias("k", "x"))
+
+
 def propagate(a_hat: DataFrame, x: DataFrame) -> DataFrame:
-    """A x X for features (id, k, x): i, k, x. The features are shuffled once, by node."""
-    return a_hat.join(x.select(F.col("id").alias("j"), "k", "x"), "j").groupBy("i", "k").agg(F.sum(F.col("a") * F.col("x")).alias("x"))
+    """A x X for features (id, x array<double>), in the same form. Whole vectors pass the join; weighted sums are
+    combined in the task before they are shuffled, so a hub costs no more than any node."""
+    rows = a_hat.join(x.select(F.col("id").alias("j"), array_to_vector("x").alias("x")), "j")
+    return rows.groupBy(F.col("i").alias("id")).agg(Summarizer.sum(F.col("x"), F.col("a")).alias("x")).select("id", vector_to_array("x").alias("x"))
+
+
+def multiply(x: DataFrame, weights: list[list[float]]) -> DataFrame:
+    """X x W for features (id, x array<double>) and a model's matrix (rows of W): no shuffle."""
+    columns = x.sparkSession.createDataFrame([([[float(row[c]) for row in weights] for c in range(len(weights[0]))],)], "_w array<array<double>>")
+    dot = lambda w: F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return x.join(F.broadcast(columns)).select("id", F.transform("_w", dot).alias("x"))
 
 
 def label_propagation(adj: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
@@ -66,28 +93,48 @@ def induced(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def local_ids(membership: DataFrame) -> DataFrame:
-    return membership.select("cid", "gid", (F.row_number().over(Window.partitionBy("cid").orderBy("gid")) - 1).cast("long").alias("lid"))
+    """cid, gid, lid: the rank of gid in its client."""
+    return ranked(membership.select("cid", "gid"), [F.col("gid")], [number_bucket(membership, "gid")], ("cid",), "lid")
 
 
 def community_clients(labels: DataFrame, clients: int) -> DataFrame:
     """Communities from large to small go to the clients in turn: gid, cid."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1
-    return labels.join(sizes.select("label", (rank % clients).cast("int").alias("cid")), "label").select(F.col("id").alias("gid"), "cid")
+    rank = ranked(sizes, [F.desc("n"), F.col("label")], [-F.col("n"), number_bucket(sizes, "label")])
+    return labels.join(rank.select("label", (F.col("rank") % clients).cast("int").alias("cid")), "label").select(F.col("id").alias("gid"), "cid")
+
+
+def equal_clients(membership: DataFrame, clients: int, by: Column) -> DataFrame:
+    """gid and cid: in the order of the digests ``by``, chunks of one size; the last client takes the rest."""
+    rank = ranked(membership.select("gid", by.alias("_by")), [F.col("_by"), F.col("gid")], [hash_bucket(F.col("_by"))])
+    size = max(1, membership.count() // clients)
+    return rank.select("gid", F.least(F.floor(F.col("rank") / size), F.lit(clients - 1)).cast("int").alias("cid"))
 
 
 def split_masks(membership: DataFrame, by: Column) -> DataFrame:
-    """cid, gid, split: 60 % train, 20 % val (both rounded down), the rest test, in the order of ``by``."""
-    w = Window.partitionBy("cid")
-    rows = membership.withColumn("rn", F.row_number().over(w.orderBy(by, "gid"))).withColumn("n", F.count("*").over(w))
+    """cid, gid, split: 60 % train, 20 % val (both rounded down), the rest test, in the order of the digests ``by``."""
+    rank = ranked(membership.select("cid", "gid", by.alias("_by")), [F.col("_by"), F.col("gid")], [hash_bucket(F.col("_by"))], ("cid",))
+    sizes = membership.groupBy("cid").agg(F.count("*").alias("n"))  # one row a client
     train, val = F.floor(F.lit(0.6) * F.col("n")), F.floor(F.lit(0.2) * F.col("n"))
-    return rows.select("cid", "gid", F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test").alias("split"))
+    split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + val, "val").otherwise("test")
+    return rank.join(F.broadcast(sizes), "cid").select("cid", "gid", split.alias("split"))
+
+
+def sampled(rows: DataFrame, rate: float, by: Column, key: str = "gid") -> DataFrame:
+    """Exactly int(count x rate) rows: those of least digest ``by``."""
+    rank = ranked(rows.select("*", by.alias("_by")), [F.col("_by"), F.col(key)], [hash_bucket(F.col("_by"))])
+    return rank.where(F.col("rank") < int(rows.count() * rate)).drop("_by", "rank")
+
+
+def second_client(pool: DataFrame, clients: int, pick: Column) -> DataFrame:
+    """gid, owner and the other client (cid) that a node is given to as well; ``pick`` is uniform in (0, 1)."""
+    other = (F.col("cid") + 1 + F.floor(pick * (clients - 1))) % clients if clients > 1 else F.col("cid")
+    return pool.select("gid", F.col("cid").alias("owner"), other.cast("int").alias("cid"))
 
 
 def overlapping(membership: DataFrame, clients: int, rate: float, by: Column, pick: Column) -> DataFrame:
     """membership with a rate of its nodes given to a second client: cid, gid, is_overlap."""
-    size = int(membership.count() * rate)
-    pool = membership.orderBy(by, "gid").limit(size)
-    second = pool.select(((F.col("cid") + 1 + F.floor(pick * (clients - 1))) % clients).cast("int").alias("cid"), "gid")
+    pool = sampled(membership.select("cid", "gid"), rate, by)
+    second = second_client(pool, clients, pick).select("cid", "gid")
     flags = pool.select("gid", F.lit(True).alias("is_overlap"))
     return membership.select("cid", "gid").unionByName(second).distinct().join(flags, "gid", "left").select("cid", "gid", F.coalesce("is_overlap", F.lit(False)).alias("is_overlap"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def standard_scale(x: DataFrame) -> DataFrame:
     return x.join(F.broadcast(stats), "k").select("id", "k", ((F.col("x") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("x"))
 
 
+def standard_scale_vectors(x: DataFrame) -> DataFrame:
+    """The same for (id, x array<double>): one aggregate of whole vectors, no explode."""
+    stats = x.agg(Summarizer.metrics("mean", "count", "variance").summary(array_to_vector("x")).alias("s"))
+    # Its variance is the sample's; the population's has n instead of n - 1.
+    stats = stats.select(vector_to_array("s.mean").alias("_m"), F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (F.col("s.count") - 1) / F.col("s.count"))).alias("_s"))
+    centred = F.zip_with("x", "_m", lambda a, m: a - m)
+    return x.join(F.broadcast(stats)).select("id", F.zip_with(centred, "_s", lambda a, s: a / F.when(s == 0, 1.0).otherwise(s)).alias("x"))
+
+
 def label_codes(labels: DataFrame, name: str) -> DataFrame:
     """Each distinct label with its rank from 0."""
     return labels.select(name).distinct().select(name, (F.dense_rank().over(Window.orderBy(name)) - 1).cast("int").alias("code"))
@@ -35,7 +46,8 @@ def argmax(v: Column) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
-def cross_entropy(rows: DataFrame, probs: str, truth: str) -> Column:
+def cross_entropy(probs: str, truth: str) -> Column:
+    """Mean of -ln(p of the true class + 1e-10) over rows; 0 without rows."""
     return F.coalesce(F.avg(-F.log(F.element_at(F.col(probs), F.col(truth) + 1) + 1e-10)), F.lit(0.0))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import laplace, sketch_positions
+from skein.functions.hashing import digest, laplace, sketch_positions
 
 
 def sensitivity(degrees: DataFrame) -> DataFrame:
@@ -41,6 +43,46 @@ def might_contain(edges: DataFrame, bits: DataFrame, salt: bytes, m: int = 8192,
     return hit.groupBy("u", "v").agg((F.count("hit") == F.count("*")).alias("found"))
 
 
+def client_epsilon(nodes: DataFrame, edges: DataFrame, least: float = 0.5, most: float = 2.0) -> DataFrame:
+    """cid, gid, eps: by the degree of a node among its client's edges (cid, u, v), over the client's largest."""
+    ends = edges.select("cid", F.explode(F.array("u", "v")).alias("gid")).groupBy("cid", "gid").agg(F.count("*").alias("d"))
+    degrees = nodes.select("cid", "gid").join(ends, ["cid", "gid"], "left").fillna(0, ["d"])
+    largest = degrees.groupBy("cid").agg(F.max("d").alias("m"))  # one row a client
+    sens = F.col("d") / F.when(F.col("m") > 0, F.col("m")).otherwise(1)
+    return degrees.join(F.broadcast(largest), "cid").select("cid", "gid", epsilon(sens, least, most).alias("eps"))
+
+
+def na_encode(nodes: DataFrame, edges: DataFrame, least: float = 0.5, most: float = 2.0, clip: float = 1.0, seed: str = "42") -> DataFrame:
+    """cid, gid, is_overlap, eps and the noisy embedding z of every node of every client, from nodes (cid, gid,
+    is_overlap, x array<double>). Noise depends on seed, client, node and place alone."""
+    rows = nodes.select("cid", "gid", "is_overlap", "x").join(client_epsilon(nodes, edges, least, most), ["cid", "gid"])
+    scale = F.lit(clip) / F.greatest(F.col("eps"), F.lit(1e-8))
+    noise = lambda v, k: F.greatest(F.lit(-clip), F.least(F.lit(clip), v)) + laplace(scale, F.lit(seed), F.col("cid"), F.col("gid"), k)
+    return rows.select("cid", "gid", "is_overlap", "eps", F.transform("x", noise).alias("z"))
+
+
+def overlap_merge(packs: DataFrame) -> DataFrame:
+    """gid, clients and z: the mean of all clients' noisy embeddings of a shared node (cid, gid, z)."""
+    rows = packs.select("gid", array_to_vector("z").alias("z"))
+    return rows.groupBy("gid").agg(F.count("*").alias("clients"), Summarizer.mean(F.col("z")).alias("z")).select("gid", "clients", vector_to_array("z").alias("z"))
+
+
+def client_salt(cid: Column) -> Column:
+    """16 bytes of a client's own."""
+    return F.unhex(F.substring(digest("salt", cid), 1, 32))
+
+
+def bloom_encode(edges: DataFrame, m: int = 8192, k: int = 4) -> DataFrame:
+    """cid, pos: the set bits of every client's sketch of its edges (cid, u, v by gid), salted by client."""
+    positions = sketch_positions(client_salt(F.col("cid")), edge_key(F.col("u"), F.col("v")), m, k)
+    return edges.select("cid", F.explode(positions).alias("pos")).distinct()
+
+
+def sketch_stats(bits: DataFrame, m: int = 8192, k: int = 4) -> DataFrame:
+    """Of clients' sketches (cid, pos) joined by OR: density, est_fpr, num_clients, m."""
+    return bits.agg((F.count_distinct("pos") / m).alias("density"), F.pow(F.count_distinct("pos") / m, F.lit(float(k))).alias("est_fpr"), F.count_distinct("cid").alias("num_clients"), F.lit(m).alias("m"))
+
+
 def ledger(log: DataFrame) -> DataFrame:
     """round, mean_eps over clients and its running sum, of (round, cid, eps)."""
     per = log.groupBy("round").agg(F.coalesce(F.avg("eps"), F.lit(0.0)).alias("mean_eps"))

@@ -11,17 +11,26 @@ generators seeded by (seed, round, client), so a lost task repeats its own work
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import uniform
-from skein.operators import federate
+from skein.functions.storage import written
+from skein.operators import federate, logs, privacy
+from skein.sources.sinks import RunStore
 
-UPDATE = "cid long, w array<double>, num_train long, train_loss double, val_acc double, test_acc double, val_f1 double, mean_eps double, comm_bytes long"
+#: What a client sends back.
+FIELDS = {
+    "cid": "long", "w": "array<double>", "num_train": "long", "train_loss": "double", "val_acc": "double", "test_acc": "double", "val_f1": "double",
+    "mean_eps": "double", "comm_bytes": "long", "overlap": "array<struct<gid: long, z: array<double>>>",
+}
+UPDATE = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
+LOG = "round int, global_acc double, global_test_acc double, global_f1 double, worst_client_f1 double, best_client_f1 double, fairness_gap double, mean_eps double, cumulative_eps double, comms_mb double, round_time_s double"
 
 
 @dataclass(frozen=True)
@@ -32,8 +41,8 @@ class Config:
     hidden: int = 64
     heads: int = 4
     dropout: float = 0.5
-    rounds: int = 5
-    local_epochs: int = 2
+    rounds: int = 20
+    local_epochs: int = 5
     fraction: float = 1.0
     rate: float = 0.01
     clip: float = 1.0
@@ -41,8 +50,12 @@ class Config:
     options: tuple[tuple[str, float], ...] = ()
     eps_least: float = 0.5
     eps_most: float = 2.0
+    #: Whether shared nodes' embeddings are sent, with noise, and whether a sketch of the edges is.
     noise: bool = True
-    sketch_bytes: int = 8192
+    emb_clip: float = 1.0
+    sketch: bool = True
+    sketch_bits: int = 8192
+    sketch_hashes: int = 4
     #: Whether rows outside the training mask are left out of the GCN's gradient; the results to match have them in.
     masked: bool = False
     seed: int = 42
@@ -175,7 +188,7 @@ def _client(cfg: Config, flat: np.ndarray, classes: int, turn: int) -> Callable:
     def train(nodes, edges):
         import pandas as pd
 
-        names = [c.split()[0] for c in UPDATE.split(", ")]
+        names = list(FIELDS)
         if not len(nodes):
             return pd.DataFrame({n: [] for n in names})
         cid = int(nodes["cid"].iloc[0])
@@ -190,18 +203,26 @@ def _client(cfg: Config, flat: np.ndarray, classes: int, turn: int) -> Callable:
             grad, loss = gradient(cfg, g, w, sizes, masks["train"], rng)
             w -= cfg.rate * grad
             losses.append(loss)
-        probs, _ = forward(cfg, g, cut(w, sizes))
+        probs, hidden = forward(cfg, g, cut(w, sizes))
         (val, f1), (test, _) = _scores(probs, g.y, masks["val"]), _scores(probs, g.y, masks["test"])
-        deg = np.bincount(np.concatenate([g.u, g.v]), minlength=g.n)
-        eps = np.clip(cfg.eps_most - deg / max(deg.max(), 1) * (cfg.eps_most - cfg.eps_least), cfg.eps_least, cfg.eps_most).mean() if cfg.noise else cfg.eps_most
-        return pd.DataFrame([(cid, w, int(masks["train"].sum()), float(np.mean(losses)) if losses else 0.0, val, test, f1, float(eps), 4 * len(w) + cfg.sketch_bytes)], columns=names)
+        mean_eps, overlap = cfg.eps_most, []
+        if cfg.noise:  # embeddings of the last forward pass, with noise by degree; those of shared nodes are sent
+            deg = np.bincount(np.concatenate([g.u, g.v]), minlength=g.n)
+            eps = np.clip(cfg.eps_most - deg / max(deg.max(), 1) * (cfg.eps_most - cfg.eps_least), cfg.eps_least, cfg.eps_most)
+            noise = rng.laplace(0.0, 1.0, hidden.shape) * (cfg.emb_clip / np.maximum(eps, 1e-8))[:, None]
+            noisy = np.clip(hidden, -cfg.emb_clip, cfg.emb_clip) + noise
+            shared = np.flatnonzero(nodes["is_overlap"].to_numpy(bool))
+            mean_eps, overlap = float(eps.mean()), [{"gid": int(nodes["gid"].iloc[k]), "z": noisy[k]} for k in shared]
+        sent = 4 * len(w) + (cfg.sketch_bits if cfg.sketch else 0)
+        return pd.DataFrame([(cid, w, int(masks["train"].sum()), float(np.mean(losses)) if losses else 0.0, val, test, f1, mean_eps, sent, overlap)], columns=names)
 
     return train
 
 
-def client_updates(nodes: DataFrame, edges: DataFrame, flat: np.ndarray, cfg: Config, classes: int, turn: int = 0) -> DataFrame:
+def client_updates(nodes: DataFrame, edges: DataFrame, flat: np.ndarray, cfg: Config, classes: int, turn: int = 1) -> DataFrame:
     """One row (UPDATE) a client after its local epochs from the weights ``flat``."""
-    rows = nodes.select(F.col("cid").cast("long").alias("cid"), "gid", "x", "y", "split").groupBy("cid")
+    shared = F.col("is_overlap") if "is_overlap" in nodes.columns else F.lit(False).alias("is_overlap")
+    rows = nodes.select(F.col("cid").cast("long").alias("cid"), "gid", "x", "y", "split", shared).groupBy("cid")
     return rows.cogroup(edges.select(F.col("cid").cast("long").alias("cid"), "u", "v").groupBy("cid")).applyInPandas(_client(cfg, flat, classes, turn), UPDATE)
 
 
@@ -210,38 +231,78 @@ def long_updates(updates: DataFrame) -> DataFrame:
     return updates.select("cid", F.posexplode("w").alias("k", "w"), F.col("num_train").alias("n"), F.col("train_loss").alias("loss"))
 
 
-def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config()) -> tuple[np.ndarray, DataFrame]:
-    """The final weights and the round log."""
+class Run(NamedTuple):
+    """Final weights, the round log (LOG), and of the last round the merged embeddings of shared nodes (gid,
+    clients, z) and the clients' sketches (cid, pos)."""
+
+    weights: np.ndarray
+    log: DataFrame
+    overlaps: DataFrame | None
+    sketches: DataFrame | None
+
+
+def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), store: RunStore | None = None) -> Run:
+    """Rounds of sampling clients, training them side by side, merging and aggregating.
+
+    The clients are written and dealt out once, so a round moves weights and updates alone; updates stay a
+    table, of which the driver reads one row of figures a client."""
     spark = nodes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = [written(frame.withColumn("cid", F.col("cid").cast("long")), "clients").repartition(tasks, "cid").persist() for frame in (nodes, edges)]
+    nodes, edges = kept
     features, classes = nodes.agg(F.max(F.size("x")), F.max("y") + 1).first()
-    clients = [r["cid"] for r in nodes.select("cid").distinct().orderBy(uniform(F.lit(str(cfg.seed)), F.col("cid")), "cid").collect()]  # one value a client
-    flat, log, spent = initial(shapes(cfg, features, classes), cfg.seed), [], 0.0
-    for turn in range(cfg.rounds):
-        chosen = np.random.default_rng([cfg.seed, turn]).permutation(len(clients))[: max(1, int(len(clients) * cfg.fraction))]
+    clients = [r["cid"] for r in nodes.select("cid").distinct().orderBy("cid").collect()]  # one value a client
+    flat, rows, spent = initial(shapes(cfg, features or 1, classes or 1), cfg.seed), [], 0.0
+    overlaps = sketches = None
+    for turn in range(1, cfg.rounds + 1):
+        began = time.time()
+        chosen = np.random.default_rng(cfg.seed + turn).permutation(len(clients))[: max(1, int(len(clients) * cfg.fraction))]
         some = F.col("cid").isin([clients[k] for k in chosen])
-        got = client_updates(nodes.where(some), edges.where(some), flat, cfg, classes, turn).toPandas()  # one row a client, of the model's size
+        updates = written(client_updates(nodes.where(some), edges.where(some), flat, cfg, classes, turn), "updates")
+        got = updates.drop("w", "overlap").toPandas()  # one row a client
         if not len(got):
             break
-        back = spark.createDataFrame([(int(r.cid), [float(x) for x in r.w], int(r.num_train), float(r.train_loss)) for r in got.itertuples()], "cid long, w array<double>, num_train long, train_loss double")
-        flat = np.array([r["w"] for r in federate.aggregate(long_updates(back), cfg.method, **dict(cfg.options)).select("k", "w").orderBy("k").collect()], float)
-        weight = got["num_train"] / max(got["num_train"].sum(), 1)
+        if cfg.noise:
+            overlaps = privacy.overlap_merge(updates.select("cid", F.explode("overlap").alias("o")).select("cid", "o.gid", "o.z"))
+        if cfg.sketch:
+            sketches = privacy.bloom_encode(edges.where(some).select("cid", "u", "v"), cfg.sketch_bits, cfg.sketch_hashes)
+        flat = np.array([r["w"] for r in federate.aggregate(long_updates(updates), cfg.method, **dict(cfg.options)).select("k", "w").orderBy("k").collect()], float)  # a model's size
+        share = got["num_train"] / max(got["num_train"].sum(), 1)
         spent += got["mean_eps"].mean()
-        log.append((turn, *[float((got[c] * weight).sum()) for c in ("val_acc", "test_acc", "val_f1")], float(got["val_acc"].min()), float(got["val_acc"].max()), float(got["val_acc"].max() - got["val_acc"].min()), float(got["mean_eps"].mean()), float(spent), float(got["comm_bytes"].sum() / 1024**2)))
-    return flat, spark.createDataFrame(log, "round int, global_acc double, global_test_acc double, global_f1 double, worst_client_f1 double, best_client_f1 double, fairness_gap double, mean_eps double, cumulative_eps double, comms_mb double")
-
-
-def ablation(nodes: DataFrame, edges: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row for each of six settings: scores of its best round, worst client, gap, privacy and bytes."""
-    settings = {
-        "full": cfg, "no sketch": replace(cfg, sketch_bytes=0), "no noise": replace(cfg, noise=False),
-        "fixed epsilon": replace(cfg, eps_least=1.0, eps_most=1.0), "fedavg": replace(cfg, method="fedavg", options=()), "local only": replace(cfg, fraction=0.2),
-    }
-    logs = None
-    for name, setting in settings.items():
-        log = federated_run(nodes, edges, setting)[1].withColumn("config", F.lit(name))
-        logs = log if logs is None else logs.unionByName(log)
-    first_best = F.struct("global_acc", -F.col("round"))
-    return logs.groupBy("config").agg(
-        F.max("global_acc").alias("best_val_acc"), F.max_by("global_test_acc", first_best).alias("best_test_acc"), F.min("worst_client_f1").alias("worst_client"),
-        F.max("fairness_gap").alias("fairness_gap"), F.max_by("cumulative_eps", "round").alias("final_eps"), F.sum("comms_mb").alias("total_comms_mb"),
-    )
+        val, test, f1 = (float((got[c] * share).sum()) for c in ("val_acc", "test_acc", "val_f1"))
+        low, high = float(got["val_acc"].min()), float(got["val_acc"].max())
+        figures = (val, test, f1, low, high, high - low, float(got["mean_eps"].mean()), float(spent), float(got["comm_bytes"].sum()) / 1024 / 1024)
+        rows.append((turn, *(round(x, 4) for x in figures), round(time.time() - began, 2)))
+        if store is not None:
+            store.log(spark.createDataFrame(rows, LOG))
+            store.checkpoint(turn, flat.tolist())
+    log = spark.createDataFrame(rows, LOG)
+    if store is not None:
+        store.history(log)
+    if overlaps is not None:
+        overlaps = written(overlaps, "overlaps")
+    if sketches is not None:
+        sketches = written(sketches, "sketches")
+    for frame in kept:
+        frame.unpersist()
+    return Run(flat, log, overlaps, sketches)
+
+
+#: Settings of the ablation, as its table names them. "Local Only" trains one client of five a round.
+SETTINGS: dict[str, dict] = {
+    "Full System": {}, "- SecureSA": {"sketch": False}, "- SecureNA": {"noise": False}, "- Adaptive ε": {"eps_least": 1.0, "eps_most": 1.0},
+    "FedAvg (baseline)": {"method": "fedavg", "options": ()}, "Local Only": {"fraction": 0.2},
+}
+
+
+def ablation(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(rounds=5), store: RunStore | None = None) -> DataFrame:
+    """One row for each of SETTINGS: scores of its best round, worst client, gap, privacy and bytes."""
+    written_nodes, written_edges = written(nodes, "clients"), written(edges, "clients")
+    tagged = None
+    for name, change in SETTINGS.items():
+        log = federated_run(written_nodes, written_edges, replace(cfg, **change)).log.withColumn("config", F.lit(name))
+        tagged = log if tagged is None else tagged.unionByName(log)
+    table = logs.ablation_summary(tagged)
+    if store is not None:
+        store.ablation(table)
+    return table

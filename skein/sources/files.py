@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import number_bucket, ranked
+
 
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
     """The first two columns of a CSV with a header, whatever their names: src, dst."""
@@ -12,16 +14,27 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("src"), F.col(f"`{rows.columns[1]}`").cast("long").alias("dst"))
 
 
-def labels(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """id (the first column) and a label column, by default the next: id, label."""
+def _column(name: str):
+    return F.col(f"`{name}`")
+
+
+def labels(spark: SparkSession, path: str, label: str | None = None, node: str | None = None) -> DataFrame:
+    """id (the first column, or ``node``) and a label column, by default the first other one: id, label."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("id"), F.col(f"`{label or rows.columns[1]}`").alias("label"))
+    node = node or rows.columns[0]
+    label = label if label in rows.columns else next(c for c in rows.columns if c != node)
+    return rows.select(_column(node).cast("long").alias("id"), _column(label).alias("label"))
 
 
-def sparse_features(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of node: [feature ids]: id, fid. Files too big for one row come as lines of objects."""
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<int>>").alias("m"))
-    return rows.select(F.explode("m").alias("id", "fids")).select(F.col("id").cast("long").alias("id"), F.explode("fids").alias("fid"))
+def sparse_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects of node: [feature ids], one or several a file: id, fid. A value that is no list has no
+    features. A file is read as one row; ``lines`` says that every line is an object, for files beyond that."""
+    if lines:
+        objects = spark.read.text(path)
+    else:
+        objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    rows = objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "fids"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.explode(F.from_json("fids", "array<int>")).alias("fid"))
 
 
 def dense_features(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +44,20 @@ def dense_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("id"), F.posexplode(values).alias("k", "x"))
 
 
+def dense_vectors(spark: SparkSession, path: str, node: str | None = None) -> DataFrame:
+    """id (the first column, or ``node``) and the others as x array<double>."""
+    rows = spark.read.option("header", True).csv(path)
+    node = node or rows.columns[0]
+    return rows.select(_column(node).cast("long").alias("id"), F.array(*[_column(c).cast("double") for c in rows.columns if c != node]).alias("x"))
+
+
+def positional(spark: SparkSession, path: str, value, name: str) -> DataFrame:
+    """id (the row's place in the file, from 0) and a value made of its columns."""
+    rows = spark.read.option("header", True).csv(path)
+    placed = rows.select(value(rows.columns).alias(name), F.monotonically_increasing_id().alias("_at"))
+    return ranked(placed, [F.col("_at")], [number_bucket(placed, "_at")], name="id").select("id", name)
+
+
 def adjacency_csv(spark: SparkSession, path: str) -> DataFrame:
     """A matrix with an index column; every entry but 0 is an undirected edge: u, v."""
     rows = spark.read.option("header", True).csv(path)
@@ -44,11 +71,41 @@ def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_source").cast("string").alias("source"), F.col("_target").cast("string").alias("target"))
 
 
+def graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """at (the node's place), id and attrs (name to text), by the names that the file's keys declare."""
+    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path)
+    names = {r["_id"]: r["_attr.name"] for r in keys.collect() if r["_id"] and r["_for"] in (None, "node", "all")}  # as many as the header declares
+    rows = spark.read.format("xml").option("rowTag", "node").schema("_id string, data array<struct<_key string, _VALUE string>>").load(path)
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
+    attrs = F.map_from_entries(F.transform(F.filter(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.try_element_at(known, d["_key"]).isNotNull()), lambda d: F.struct(F.try_element_at(known, d["_key"]), d["_VALUE"])))
+    return rows.select(F.monotonically_increasing_id().alias("at"), F.col("_id").alias("id"), attrs.alias("attrs"))
+
+
 def gexf_edges(spark: SparkSession, path: str) -> DataFrame:
     """The same elements; Spark opens ``.gexf.gz`` itself."""
     return graphml_edges(spark, path)
 
 
+def gexf_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """at, id and attrs (title to text) of the nodes."""
+    keys = spark.read.format("xml").option("rowTag", "attribute").schema("_id string, _title string").load(path)
+    names = {r["_id"]: r["_title"] for r in keys.collect() if r["_id"]}  # as many as the header declares
+    rows = spark.read.format("xml").option("rowTag", "node").schema("_id string, attvalues struct<attvalue array<struct<_for string, _value string>>>").load(path)
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
+    held = F.filter(F.coalesce("attvalues.attvalue", F.array().cast("array<struct<_for:string,_value:string>>")), lambda d: F.try_element_at(known, d["_for"]).isNotNull())
+    return rows.select(F.monotonically_increasing_id().alias("at"), F.col("_id").alias("id"), F.map_from_entries(F.transform(held, lambda d: F.struct(F.try_element_at(known, d["_for"]), d["_value"]))).alias("attrs"))
+
+
+def gml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """at, id and attrs (key to text) of every ``node [ ... ]``."""
+    node = r"(?s)\bnode\s*\[([^\]]*)\]"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(node), 1)).alias("at", "n"))
+    pair = r"(\w+)\s+(\"[^\"]*\"|[^\s\"]+)"
+    pairs = F.arrays_zip(F.regexp_extract_all("n", F.lit(pair), 1).alias("k"), F.transform(F.regexp_extract_all("n", F.lit(pair), 2), lambda v: F.trim(v, F.lit('"'))).alias("v"))
+    own = F.filter(pairs, lambda p: p["k"] != "id")
+    return rows.select(F.col("at").cast("long").alias("at"), F.regexp_extract("n", r'\bid\s+"?([^\s"]+)', 1).alias("id"), F.map_from_entries(own).alias("attrs"))
+
+
 def gml_edges(spark: SparkSession, path: str) -> DataFrame:
     """The ends of every ``edge [ ... ]``: source, target."""
     edge = r"(?s)\bedge\s*\[([^\]]*)\]"
@@ -75,5 +132,22 @@ def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "path string, i long, j long, x double")
 
 
+def matrix_size(spark: SparkSession, path: str) -> int:
+    """Rows of a matrix file."""
+    if not path.endswith(".npy"):
+        return spark.read.option("header", True).csv(path).count()
+
+    def rows(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(np.atleast_2d(np.load(io.BytesIO(c), allow_pickle=False))) for c in batch["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "n long").agg(F.max("n")).first()[0] or 0
+
+
 def adjacency_npy(spark: SparkSession, path: str) -> DataFrame:
     return matrix_npy(spark, path).select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()

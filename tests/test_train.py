@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from skein.operators import generate, train
-from skein.sources import files
+from skein.sources import files, sinks
 
 
 def toy(model="gcn", dropout=0.0):
@@ -82,9 +82,37 @@ def test_training_learns(spark):
     nodes = spark.createDataFrame(rows, "cid long, gid long, x array<double>, y int, split string")
     edges = spark.createDataFrame([(c, 100 * c + k, 100 * c + k + 3) for c in range(3) for k in range(27)], "cid long, u long, v long")
     cfg = train.Config(hidden=8, dropout=0.0, rounds=4, local_epochs=40, rate=0.5, masked=True)
-    flat, log = train.federated_run(nodes, edges, cfg)
-    assert len(flat) == 4 * 8 + 8 * 3 and log.count() == 4
-    assert log.orderBy("round").collect()[-1]["global_acc"] > 0.9
+    found = train.federated_run(nodes, edges, cfg)
+    assert len(found.weights) == 4 * 8 + 8 * 3 and [r["round"] for r in found.log.orderBy("round").collect()] == [1, 2, 3, 4]
+    assert found.log.orderBy("round").collect()[-1]["global_acc"] > 0.9
+    assert found.overlaps.count() == 0 and found.sketches.select("cid").distinct().count() == 3
+
+
+def test_client_sends_noise_and_sketches(spark, tmp_path):
+    """Shared nodes' embeddings come noisy from every client that has them; the store keeps log and checkpoints."""
+    rows = [(c, 10 * c + k, [float(k == j) for j in range(3)], k % 3, "train" if k < 6 else "val", k < 2) for c in range(2) for k in range(9)]
+    rows += [(1, 0, [1.0, 0.0, 0.0], 0, "train", True)]
+    nodes = spark.createDataFrame(rows, "cid long, gid long, x array<double>, y int, split string, is_overlap boolean")
+    edges = spark.createDataFrame([(c, 10 * c + k, 10 * c + k + 1) for c in range(2) for k in range(8)], "cid long, u long, v long")
+    store = sinks.RunStore(spark, f"file://{tmp_path}/run", "a")
+    cfg = train.Config(hidden=4, rounds=10, local_epochs=1)
+    found = train.federated_run(nodes, edges, cfg, store)
+    shared = {r["gid"]: r for r in found.overlaps.collect()}
+    assert set(shared) == {0, 1, 10, 11} and shared[0]["clients"] == 2 and len(shared[0]["z"]) == 4
+    log = found.log.orderBy("round").collect()
+    assert len(log) == 10 and log[0].asDict().keys() == {"round", "global_acc", "global_test_acc", "global_f1", "worst_client_f1", "best_client_f1", "fairness_gap", "mean_eps", "cumulative_eps", "comms_mb", "round_time_s"}
+    assert log[0]["comms_mb"] == round(2 * (4 * (3 * 4 + 4 * 3) + 8192) / 1024 / 1024, 4) and log[-1]["cumulative_eps"] == pytest.approx(10 * log[0]["mean_eps"], abs=1e-3)
+    assert store.read_log().count() == 10 and spark.read.option("header", True).csv(f"file://{tmp_path}/run/log_csv").count() == 10
+    assert len(spark.read.parquet(f"file://{tmp_path}/run/checkpoints").first()["weights"]) == len(found.weights)
+    silent = train.federated_run(nodes, edges, replace(cfg, rounds=1, noise=False, sketch=False))
+    assert silent.overlaps is None and silent.sketches is None and silent.log.first()["mean_eps"] == 2.0
+    assert silent.log.first()["comms_mb"] == round(2 * 4 * 24 / 1024 / 1024, 4)
+
+
+def test_empty_clients(spark):
+    nodes = spark.createDataFrame([], "cid long, gid long, x array<double>, y int, split string")
+    edges = spark.createDataFrame([], "cid long, u long, v long")
+    assert train.federated_run(nodes, edges, train.Config(rounds=2)).log.count() == 0
 
 
 def test_graph_files(spark, tmp_path):
