@@ -20,11 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import long_rows, partitions, scratch
+from skein.llm.common import long_rows, scratch
 
 MAGIC, CHUNK, RANK_BITS = b"DAC1", 8, 512
 #: A shard closes once it has this many tokens.
 SHARD_TOKENS = 1 << 20
+#: Text for one range of ids, and so for one task that writes shards.
+RANGE_BYTES = 32 << 20
 SHARD = "range int, shard int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, code binary"
 
 
@@ -95,14 +97,22 @@ class Dac:
         return value
 
 
+def _ranges(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Bounds of doc_id that cut docs into ranges of about RANGE_BYTES of text (an id that fills several ranges is
+    as many bounds), and how many more ranges the rows without an id take."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    total, none = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0))).first()
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // RANGE_BYTES))
+    parts = max(1, round(n * (total - none) / max(total, 1)))
+    marks = [i / parts for i in range(1, parts)]
+    found = docs.select(F.percentile_approx("doc_id", marks, max(10_000, 20 * parts)).alias("b")).first()["b"] if marks else None
+    return np.array(sorted(found or []), np.int64), max(1, n - parts)
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Writes the shards of docs to ``path``."""
     long_rows(docs.sparkSession)
-    n = partitions(docs.sparkSession) * 2
-    bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    known = F.array(*[F.lit(b).cast("long") for b in bounds])
-    part = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(known, lambda b: b < F.col("doc_id")))) if bounds else F.lit(0)
+    bounds, without = _ranges(docs)
 
     def encode(batches):
         import pyarrow as pa
@@ -112,8 +122,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
         code = encoder(tokenizer)
         end = np.array([end_id], code.dtype).tobytes()
         for piece in slices(batches):
-            ids = [x + end for x in code([t or "" for t in piece.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([piece.column("range"), piece.column("doc_id"), pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+            texts = [t or "" for t in piece.column("text").to_pylist()]
+            known, spread = piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False), np.array([zlib.crc32(t.encode()) for t in texts], np.int64)
+            ids = piece.column("doc_id").fill_null(0).to_numpy()
+            low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+            part = np.where(known, low + spread % np.maximum(high - low, 1), len(bounds) + 1 + spread % without)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), piece.column("doc_id"), pa.array([x + end for x in code(texts)], pa.binary())], names=["range", "doc_id", "ids"])
 
     def shards(batches):
         import pyarrow as pa
@@ -141,18 +155,20 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
         if at["docs"]:
             yield flush()
 
-    coded = docs.select(part.cast("int").alias("range"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "range int, doc_id long, ids binary")
-    dealt = coded.repartition(partitions(docs.sparkSession), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_last())
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "range int, doc_id long, ids binary")
+    # A partition for every range.
+    dealt = coded.repartitionById(len(bounds) + 1 + without, F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_last())
     dealt.mapInArrow(shards, SHARD).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
     """One row per document, decoded from the shards at ``path``: doc_id, start, n_tokens, ids_crc32."""
     shards = spark.read.schema(SHARD).parquet(path)
-    firsts, total = {}, 0
-    for r in sorted(shards.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["range"]):
-        firsts[r["range"]], total = total, total + r["n"]
-    first = F.create_map(*[F.lit(x).cast("long") for kv in firsts.items() for x in kv])[F.col("range").cast("long")] if firsts else F.lit(0)
+    firsts, total = [], 0
+    for r in sorted(shards.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["range"]):  # one a range
+        firsts.append((r["range"], total))
+        total += r["n"]
+    first = spark.createDataFrame(firsts, "range int, first long")
 
     def decode(batches):
         import pyarrow as pa
@@ -163,7 +179,7 @@ def read(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select((F.col("start") + first).cast("long").alias("start"), "doc_ids", "lengths", "code").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(F.broadcast(first), "range").select((F.col("start") + F.col("first")).alias("start"), "doc_ids", "lengths", "code").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

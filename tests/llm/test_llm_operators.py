@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skein.llm import context_mixing, exact_dedup, license_scan, minhash, mixing, packing, quality_model, quality_rules, site_style, token_store
+from skein.llm import common, context_mixing, exact_dedup, license_scan, minhash, mixing, packing, quality_model, quality_rules, site_style, token_store
 from skein.llm.tokens import UnitEncoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,6 +239,27 @@ def test_token_store(stored):
     assert order == sorted(order, key=lambda i: (i is None, i or 0))
 
 
+def test_token_store_splits_hot_ids(spark, monkeypatch):
+    """An id, or none, of a third of all rows fills several ranges; the order of ids holds."""
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 400)
+    table = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text number {i} " * (i % 5)) for i in range(300)] + [(8, "x " * 30_000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    bounds, without = token_store._ranges(docs)
+    assert (np.diff(bounds) == 0).sum() > 3 and without > 3
+    path = common.scratch(spark, "hot")
+    token_store.write(docs, P.path("word_bpe_49k.json"), 1, path)
+    shards = spark.read.parquet(path)
+    assert shards.groupBy("range").agg(F.sum(F.size("doc_ids")).alias("n")).agg(F.max("n")).first()[0] < 100
+    found = sorted(rows(token_store.read(spark, path)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted((i for i, _ in table), key=lambda i: (i is None, i or 0))
+    code, at = UnitEncoder(P.path("word_bpe_49k.json")), 0
+    want = Counter((i, zlib.crc32(np.append(np.frombuffer(code.text(t), code.dtype), 1).astype("<u4").tobytes())) for i, t in table)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in found) == want
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_directly_addressable_codes():
     rng = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 1 << 30), (5000, 300), (3000, 1 << 31), (1024, 256)):
