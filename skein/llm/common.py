@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+#: Paths made in every scope that is open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside goes at the end, but tables given to the function that it yields.
+
+    A written table reads its own files alone, so those that it was made from can go."""
+    _OPEN.append(made := [])
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in made:
+            if path not in kept:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _OPEN:
+            _OPEN[-1] += kept
 
 
 def _read_bytes(df: DataFrame) -> int:
@@ -52,17 +85,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path, tasks = scratch(spark, label), 2 * spark.sparkContext.defaultParallelism
     df.coalesce(max(tasks, min(_read_bytes(df) // FILE_BYTES, 1 << 24))).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/skein/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
 
 
 def long_rows(spark: SparkSession) -> None:
@@ -150,6 +175,16 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return dealt.withColumn("_rank", (place - 1 + first).cast("long")).drop("_range")
 
 
+def joined(big: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` (``total`` rows) joined to ``small`` (one row a key) where a key may hold many rows of ``big``: keys
+    with more than a thousandth of all rows, at most a thousand, are joined by broadcast."""
+    hot = big.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > total).select(key)
+    hot = written(hot, "hot")
+    few = F.broadcast(hot)
+    found = big.join(few, key, "left_semi").join(F.broadcast(small.join(few, key, "left_semi")), key, how)
+    return found.unionByName(big.join(few, key, "left_anti").join(small, key, how))
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 32, rows: int | None = None) -> DataFrame:
     """``big`` joined to ``small`` (one row a key) where any key may hold most rows of ``big``.
 

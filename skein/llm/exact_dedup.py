@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import located, scratch, written
+from skein.llm.common import located, scope, scratch, written
 
 #: State on disk. No store reserves megabytes ahead or uploads whole snapshots, all of an executor share
 #: STORE_MB of memory, and a store is closed once its batch is done. There is a store for about so many rows,
@@ -113,6 +113,7 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     own = located(docs)
-    gone = written(_resolved(own.rows, own["doc_id"], own["text"], digest).where("not kept").select(F.col("loc").alias("_row")), "gone")
+    with scope(docs.sparkSession) as keep:
+        gone = keep(written(_resolved(own.rows, own["doc_id"], own["text"], digest).where("not kept").select(F.col("loc").alias("_row")), "gone"))
     # The rows that go are as a rule the fewer; written, so that their size is known before docs would be shuffled.
     return own.back(own.rows.join(gone, "_row", "left_anti"))

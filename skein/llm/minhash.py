@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.caches import only
-from skein.llm.common import WS, located, long_rows, written
+from skein.llm.common import WS, joined, located, long_rows, scope, written
 
 WORDS, SIMILAR = 5, 0.8
 #: 40 bands of 6: at similarity 0.8 a link is missed with probability 5e-6, at 0.85 with 5e-9.
@@ -335,15 +335,15 @@ def _links(docs: DataFrame, signed: DataFrame, similar: float) -> DataFrame | No
 
 def _members(docs: DataFrame, similar: float, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, root (a key that only its class has) and the columns ``more`` of every row of docs."""
-    signed = written(_signed(docs, more), "signed")
-    links = _links(docs, signed, similar)
-    members = signed.select("doc_id", "key", *more)
-    if links is not None:
-        # Hot keys are collapsed before the join and found again by key, which AQE may split.
-        members = members.join(components(links), "key", "left")
-    else:
-        members = members.withColumn("root", F.lit(None).cast("binary"))
-    return written(members.select("doc_id", F.coalesce("root", "key").alias("root"), *more), "members")
+    with scope(docs.sparkSession) as keep:
+        signed = written(_signed(docs, more), "signed")
+        links = _links(docs, signed, similar)
+        members = signed.select("doc_id", "key", *more)
+        if links is not None:
+            members = joined(members, components(links), "key", signed.count(), "left")
+        else:
+            members = members.withColumn("root", F.lit(None).cast("binary"))
+        return keep(written(members.select("doc_id", F.coalesce("root", "key").alias("root"), *more), "members"))
 
 
 def _blank() -> Column:
@@ -356,11 +356,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     class has)."""
     members, empty = _members(docs, similar), _blank()
     sizes = members.where(~empty).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    total = F.col("class_size") * 1000 > members.count()
-    one, word = F.lit(1).cast("long"), members.where(~empty)
-    hot = F.broadcast(sizes.where(total))  # at most 1000 classes hold a thousandth of the rows each
-    out = word.join(hot, "root").unionByName(word.join(hot.select("root"), "root", "left_anti").join(sizes.where(~total), "root"))
-    blank = members.where(empty).select("root", "doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"))
+    out = joined(members.where(~empty), sizes, "root", members.count())
+    blank = members.where(empty).select("root", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.select("root", "doc_id", "class_id", "class_size").unionByName(blank).withColumnRenamed("root", "_root")
 
 
@@ -373,8 +370,10 @@ def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay: one of each class, that with the smallest doc_id."""
     own = located(docs)
     keyed = own.rows.select(own["doc_id"].alias("doc_id"), own["text"].alias("text"), "_row")
-    members = _members(keyed, similar, ("_row",)).where(~_blank())
-    keep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("keep")
-    gone = members.join(members.groupBy("root").agg(keep).select("keep._row"), "_row", "left_anti").select("_row")
-    # Written, so that its size is known before docs would be shuffled.
-    return own.back(own.rows.join(written(gone, "gone"), "_row", "left_anti"))
+    with scope(docs.sparkSession) as kept:
+        members = _members(keyed, similar, ("_row",)).where(~_blank())
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("keep")
+        gone = members.join(members.groupBy("root").agg(least).select("keep._row"), "_row", "left_anti").select("_row")
+        # Written, so that its size is known before docs would be shuffled.
+        gone = kept(written(gone, "gone"))
+    return own.back(own.rows.join(gone, "_row", "left_anti"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, Renamed, lookup, ranked, written
+from skein.llm.common import WORD, Renamed, lookup, ranked, scope, written
 
 BITS, LEVELS = 12, 5  # 5 x 12 = the 60 bits of the hash
 
@@ -91,8 +91,10 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
 def _decided(own: Renamed, weights: tuple[int, ...], cap: int) -> DataFrame:
     """own's rows with _size, _source_size, _target and _copies (how often the mix holds the row)."""
     rows = own.rows.select("*", source_key(own["source"]).alias("_key"), n_words(own["text"]).alias("_size"), hash60(own["doc_id"], own["text"]).alias("_hash"))
-    sized = written(rows.select("_key", "_size", "_hash"), "sized")
-    plan = written(thresholds(sized, targets(sized, weights, cap)), "mixplan").withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
+    with scope(own.rows.sparkSession) as keep:
+        sized = written(rows.select("_key", "_size", "_hash"), "sized")
+        plan = keep(written(thresholds(sized, targets(sized, weights, cap)), "mixplan"))
+    plan = plan.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
     extra = ((F.col("_hash") <= F.col("threshold")) | (F.col("_hash") == F.col("filler"))).cast("long")
     copies = F.when(F.col("_size") > 0, F.col("copies") + extra).otherwise(F.lit(0).cast("long"))
     return lookup(rows, plan, "_key", F.col("_hash")).withColumn("_copies", copies)

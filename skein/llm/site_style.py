@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import long_rows, lookup, written
+from skein.llm.common import long_rows, lookup, scope, written
 
 #: Nodes below LOW go if at least so many pages show them; a page keeps at least SOLID of its article's characters.
 LOW, SOLID, PAGES = 0.3, 0.3, 5
@@ -309,7 +309,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     long_rows(pages.sparkSession)
-    low = written(low_nodes(pages), "low")
+    with scope(pages.sparkSession) as keep:
+        low = keep(written(low_nodes(pages), "low"))
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     rows = lookup(keyed, low, "host", F.col("page_id"), "left").select("page_id", "url", "html", "low", "repeated")
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

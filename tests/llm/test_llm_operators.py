@@ -323,6 +323,53 @@ def test_quality_model(spark, stored):
     assert {r["score"] for r in rows(quality_model.scored(stored, labels.limit(0)))} == {0.5}
 
 
+def features_want(text):
+    """The features one by one, over characters."""
+    import math
+
+    words = WORD.findall(text)
+    if not words:
+        return [0.0] * len(quality_model.FEATURES)
+    n, chars, bag = len(words), sum(map(len, words)), Counter(words)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(n - 2))
+    covered = {i + k for i in range(n - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    share = lambda signs: sum(c in signs for c in text) / chars
+    counts = sorted(bag.values(), reverse=True)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts) / math.log2(max(2, min(n, 512)))
+    odd = sum(1 for i, c in enumerate(text) if c.isascii() and not c.isalnum() and c not in "_ \t\n\x0b\x0c\r.,;:!?'\")" and (i + 1 == len(text) or text[i + 1] in " \t\n\x0b\x0c\r"))
+    return [
+        math.log(1 + n), chars / n, share("#*$%&<>{}[]~^_=+\\@"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!?"), share("0123456789"), share("|"),
+        1 - len(set(lines)) / len(lines), len(covered) / n, len(bag) / n, sum(len(w.encode()) <= 3 for w in words) / n, math.log(1 + chars / len(lines)), odd / n,
+        counts[0] / n, n / (1 + sum(text.count(c) for c in ".!?")), entropy, sum(len(c.encode()) - 1 for c in text) / chars, sum(counts[:3]) / n,
+    ]
+
+
+def test_quality_features_by_hand(stored):
+    for r in rows(stored):
+        text = r["text"] or ""
+        want = features_want(text)
+        got = quality_model.features(text.encode())
+        for name, a, b in zip(quality_model.FEATURES, got, want, strict=True):
+            assert a == pytest.approx(b), (name, text[:40])
+
+
+def test_quality_scores_by_hand(spark, stored):
+    """A score is the sum of one entry of each table; the model rests on the labelled rows that aren't held out."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    table = {r["doc_id"]: r["text"] or "" for r in rows(stored) if r["doc_id"] is not None and r["doc_id"] < 40}
+    train = [i for i in table if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([quality_model.features(table[i].encode()) for i in train])
+    model = quality_model.fit(x, np.array([float(i % 3 > 0) for i in train]))
+    for r in rows(quality_model.scored(stored, labels)):
+        if r["doc_id"] in table and r["doc_id"] is not None:
+            f = quality_model.features(table[r["doc_id"]].encode())
+            total, bins = model.intercept, [sum(v >= e for e in edges) for v, edges in zip(f, model.edges, strict=True)]
+            total += sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+            total += sum(t[bins[i] // model.coarse, bins[j] // model.coarse] for i, j, t in model.pairs)
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_quality_model_learns_pairs():
     rng = np.random.default_rng(2)
     x = rng.random((4000, len(quality_model.FEATURES)))
