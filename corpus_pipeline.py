@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import exact_dedup, minhash, mixing, packing, quality_rules
-from skein.llm.common import written
+from skein.llm.common import scope, written
 from skein.llm.queries import vocabulary
 
 
@@ -36,12 +36,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mix", mixed), ("pack", packed)]
 
-#: Tokenising and signatures have no SQL; tests/llm hold the pipeline against a brute-force version.
+#: Tokenising and signatures have no SQL; tests/llm hold the pipeline against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
