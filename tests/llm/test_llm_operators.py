@@ -425,7 +425,7 @@ def test_context_mixing_bits_by_hand():
             steps = [int(np.float32(x).view(np.uint32)) & 7 for x in found]
             w = mixer.weights[:, steps[0] * 4 + steps[1]]
             z = float(np.clip(w[0] * mixer.code.odds[place] + w[1] * found[0] + w[2] * found[1], -11, 11))
-            cell = min(level, context_mixing.DEPTHS - 1) * context_mixing.CELLS + int(np.clip((z + 8) * context_mixing.CELLS / 16, 0, context_mixing.CELLS - 1))
+            cell = min(level, context_mixing.DEPTHS - 1) * context_mixing.CELLS + int(np.clip(z * context_mixing.CELLS / 16 + context_mixing.CELLS / 2, 0, context_mixing.CELLS - 1))
             p = (1 / (1 + np.exp(-z)) + mixer.last[cell]) / 2
             bits += np.log2(p if bit else 1 - p)
         assert mixer.log2p(np.array([symbol]), contexts)[0] == pytest.approx(bits, abs=1e-4)
