@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.ranks import hash_bucket, number_bucket, ranked
+from skein.operators.ranks import hash_bucket, number_bucket, ranked, text_bucket
 
 
 def undirected_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,8 +22,9 @@ def node_set(edges: DataFrame) -> DataFrame:
 
 
 def node_index(nodes: DataFrame) -> DataFrame:
-    """id and its rank from 0."""
-    return ranked(nodes.select("id"), [F.col("id")], [number_bucket(nodes, "id")], name="idx")
+    """id (a number or a text) and its rank from 0."""
+    bucket = text_bucket("id") if nodes.schema["id"].dataType.typeName() == "string" else number_bucket(nodes, "id")
+    return ranked(nodes.select("id"), [F.col("id")], [bucket], name="idx")
 
 
 def reindexed(edges: DataFrame, index: DataFrame) -> DataFrame:

@@ -28,6 +28,11 @@ def number_bucket(rows: DataFrame, column: str, parts: int = 64) -> Column:
     return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(known, lambda b: b < F.col(column))))
 
 
+def text_bucket(column: str) -> Column:
+    """Buckets by the first two bytes of a text, in its order, nulls first."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("int"), F.lit(-1))
+
+
 def ranked(rows: DataFrame, order: list[Column], buckets: list[Column], group: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """``rows`` with their rank from 0 by ``order`` within ``group``; ``buckets`` must follow that order."""
     named = [f"_bucket{i}" for i in range(len(buckets))]

@@ -165,8 +165,8 @@ query("degree_features", "SELECT id, degree::DOUBLE AS x FROM dg")(lambda t: gra
 query("norm_degree", "SELECT i AS id, c AS degree FROM deg")(lambda t: graph.adjacency(t.edges, t.nodes).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("degree")))
 query("norm_adj", "SELECT i, j, a FROM ahat", ("a",))(lambda t: t.a_hat)
 query("gcn_propagate", "SELECT i, k, sum(a*x) x FROM ahat JOIN x ON j=id GROUP BY i, k", ("x",))(lambda t: graph.propagate(t.a_hat, t.v).select(F.col("id").alias("i"), F.posexplode("x").alias("k", "x")))
-query("induced_subgraph", "WITH ce AS (SELECT o_custkey u, lead(o_custkey) OVER (ORDER BY o_orderkey) v FROM orders), ee AS (SELECT DISTINCT least(u,v) u, greatest(u,v) v FROM ce WHERE v IS NOT NULL) SELECT a.cid, ee.u, ee.v FROM ee JOIN mem a ON a.gid=ee.u JOIN mem b ON b.gid=ee.v AND a.cid=b.cid")(
-    lambda t: graph.induced(graph.undirected_edges(t.read("orders").select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(Window.orderBy("o_orderkey")).alias("b")), "a", "b"), t.membership)
+query("induced_subgraph", "WITH ce AS (SELECT o_custkey u, lead(o_custkey) OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) v FROM orders), ee AS (SELECT DISTINCT least(u,v) u, greatest(u,v) v FROM ce WHERE v IS NOT NULL) SELECT a.cid, ee.u, ee.v FROM ee JOIN mem a ON a.gid=ee.u JOIN mem b ON b.gid=ee.v AND a.cid=b.cid")(
+    lambda t: graph.induced(graph.undirected_edges(t.read("orders").select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")).alias("b")), "a", "b"), t.membership)
 )
 query("local_ids", "SELECT cid, gid, row_number() OVER (PARTITION BY cid ORDER BY gid)-1 AS lid FROM mem")(lambda t: graph.local_ids(t.membership))
 query("split_masks", "SELECT cid, gid, CASE WHEN rn<=floor(0.6::DOUBLE*n) THEN 'train' WHEN rn<=floor(0.6::DOUBLE*n)+floor(0.2::DOUBLE*n) THEN 'val' ELSE 'test' END AS split FROM (SELECT cid, gid, row_number() OVER (PARTITION BY cid ORDER BY sha256('42|'||gid), gid) rn, count(*) OVER (PARTITION BY cid) n FROM mem)")(

@@ -97,10 +97,11 @@ def assembled(pairs: DataFrame, features: DataFrame, labels: DataFrame, numeric:
 
 
 def sparse_graph(spark: SparkSession, edges: str, features: str, target: str, label: str | None = None, cap: int | None = CAP, default: int = 64) -> GraphData:
-    """Edges (CSV), {"node": [feature ids]} (JSON) and labels (CSV)."""
-    pairs, fids = files.edge_list(spark, edges), files.sparse_features(spark, features)
+    """Edges (CSV), {"node": [feature ids]} (JSON) and labels (CSV); nodes are numbers, or texts if one isn't."""
+    kind = files.id_kind(spark, edges)
+    pairs, fids = files.edge_list(spark, edges, kind), files.sparse_features(spark, features, kind=kind)
     nodes = graph.node_set(graph.undirected_edges(pairs, "src", "dst"))
-    return assembled(pairs, binary_features(fids, nodes, feature_size(fids, cap, default)), files.labels(spark, target, label), numeric=True)
+    return assembled(pairs, binary_features(fids, nodes, feature_size(fids, cap, default)), files.labels(spark, target, label, kind=kind), numeric=True)
 
 
 def page_graph(spark: SparkSession, folder: str) -> GraphData | None:
@@ -134,13 +135,14 @@ def format_a(spark: SparkSession, edges: str, features: str, labels: str, label:
     """Edges (CSV), features (CSV of numbers or JSON of feature ids), labels (CSV)."""
     if suffix(features).startswith(".json"):
         return sparse_graph(spark, edges, features, labels, label)
-    pairs = files.edge_list(spark, edges)
+    kind = files.id_kind(spark, edges)
+    pairs = files.edge_list(spark, edges, kind)
     nodes = graph.node_set(graph.undirected_edges(pairs, "src", "dst"))
-    dense = files.dense_vectors(spark, features, node)
+    dense = files.dense_vectors(spark, features, node, kind)
     size = dense.agg(F.max(F.size("x"))).first()[0] or 0
     zeros = F.array_repeat(F.lit(0.0), size)
     x = nodes.join(dense, "id", "left").select("id", F.coalesce("x", zeros).alias("x"))
-    return assembled(pairs, x, files.labels(spark, labels, label, node), numeric=True)
+    return assembled(pairs, x, files.labels(spark, labels, label, node, kind), numeric=True)
 
 
 def _communities(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:

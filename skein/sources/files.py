@@ -8,25 +8,32 @@ from pyspark.sql import functions as F
 from skein.operators.ranks import number_bucket, ranked
 
 
-def edge_list(spark: SparkSession, path: str) -> DataFrame:
+def id_kind(spark: SparkSession, path: str) -> str:
+    """long if the ends of all edges are whole numbers, else string."""
+    rows = spark.read.option("header", True).csv(path)
+    ends = rows.select(F.explode(F.array(*[_column(c) for c in rows.columns[:2]])).alias("id"))
+    return "long" if ends.where("id is not null and try_cast(id AS bigint) is null").isEmpty() else "string"
+
+
+def edge_list(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """The first two columns of a CSV with a header, whatever their names: src, dst."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("src"), F.col(f"`{rows.columns[1]}`").cast("long").alias("dst"))
+    return rows.select(_column(rows.columns[0]).cast(kind).alias("src"), _column(rows.columns[1]).cast(kind).alias("dst"))
 
 
 def _column(name: str):
     return F.col(f"`{name}`")
 
 
-def labels(spark: SparkSession, path: str, label: str | None = None, node: str | None = None) -> DataFrame:
+def labels(spark: SparkSession, path: str, label: str | None = None, node: str | None = None, kind: str = "long") -> DataFrame:
     """id (the first column, or ``node``) and a label column, by default the first other one: id, label."""
     rows = spark.read.option("header", True).csv(path)
     node = node or rows.columns[0]
     label = label if label in rows.columns else next(c for c in rows.columns if c != node)
-    return rows.select(_column(node).cast("long").alias("id"), _column(label).alias("label"))
+    return rows.select(_column(node).cast(kind).alias("id"), _column(label).alias("label"))
 
 
-def sparse_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def sparse_features(spark: SparkSession, path: str, lines: bool = False, kind: str = "long") -> DataFrame:
     """JSON objects of node: [feature ids], one or several a file: id, fid. A value that is no list has no
     features. A file is read as one row; ``lines`` says that every line is an object, for files beyond that."""
     if lines:
@@ -34,7 +41,7 @@ def sparse_features(spark: SparkSession, path: str, lines: bool = False) -> Data
     else:
         objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
     rows = objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "fids"))
-    return rows.select(F.col("id").cast("long").alias("id"), F.explode(F.from_json("fids", "array<int>")).alias("fid"))
+    return rows.select(F.col("id").try_cast(kind).alias("id"), F.explode(F.from_json("fids", "array<int>")).alias("fid")).where("id is not null")
 
 
 def dense_features(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +51,11 @@ def dense_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("id"), F.posexplode(values).alias("k", "x"))
 
 
-def dense_vectors(spark: SparkSession, path: str, node: str | None = None) -> DataFrame:
+def dense_vectors(spark: SparkSession, path: str, node: str | None = None, kind: str = "long") -> DataFrame:
     """id (the first column, or ``node``) and the others as x array<double>."""
     rows = spark.read.option("header", True).csv(path)
     node = node or rows.columns[0]
-    return rows.select(_column(node).cast("long").alias("id"), F.array(*[_column(c).cast("double") for c in rows.columns if c != node]).alias("x"))
+    return rows.select(_column(node).cast(kind).alias("id"), F.array(*[_column(c).cast("double") for c in rows.columns if c != node]).alias("x"))
 
 
 def positional(spark: SparkSession, path: str, value, name: str) -> DataFrame:

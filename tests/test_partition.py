@@ -171,6 +171,17 @@ def test_three_files(spark, tmp_path):
     assert datasets.format_a(spark, edges, dense, numbers).classes == ("9.0", "10.0")
 
 
+def test_nodes_that_are_texts(spark, tmp_path):
+    edges = write(tmp_path / "e.csv", "a,b\nzoe,amy\namy,7\nümit,zoe\n")
+    target = write(tmp_path / "t.csv", "n,kind\nzoe,x\n7,y\n")
+    data = datasets.format_a(spark, edges, write(tmp_path / "f.json", json.dumps({"zoe": [1], "nobody": [0]})), target)
+    order = ["7", "amy", "zoe", "ümit"]
+    assert {(r["u"], r["v"]) for r in data.edges.collect()} == {(1, 2), (0, 1), (2, 3)} and data.classes == ("unknown", "x", "y")
+    assert {order[r["id"]]: r["y"] for r in data.nodes.collect()} == {"7": 2, "amy": 0, "zoe": 1, "ümit": 0}
+    dense = datasets.format_a(spark, edges, write(tmp_path / "d.csv", "n,f\namy,3\n"), target)
+    assert [r["x"][0] > 0 for r in dense.nodes.orderBy("id").collect()] == [False, True, False, False]
+
+
 def test_matrix(spark, tmp_path):
     matrix = write(tmp_path / "m.csv", "n,a,b,c\n0,0,1,0\n1,1,0,2\n2,0,0,0\n")
     data = datasets.format_b(spark, matrix, labels=write(tmp_path / "l.csv", "n,kind\nx,b\ny,a\nz,b\n"))
