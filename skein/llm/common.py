@@ -19,7 +19,7 @@ BROADCAST_ROWS = 20_000
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1000
 #: Input for one file of an intermediate table, at least about so much.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
