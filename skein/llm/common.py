@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters that separate words, as a regex class body (Java, DuckDB and Python agree on it).
@@ -142,8 +142,8 @@ def located(docs: DataFrame) -> Renamed:
             return own
     # The whole path: files of one name may lie in several folders.
     placed = own.rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    paths = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # one a file
-    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _number long")
+    # One row a file, numbered in the order of their paths; no Python worker has to start for it.
+    files = written(placed.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number")), "files")
     own.rows = placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_number")
     return own
 
@@ -163,8 +163,6 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     Rows are dealt out by range; each range counts its rows, the counts (one a partition) give every
     range its first rank, and a window ranks inside ranges.
     """
-    from pyspark.sql import Window
-
     spark = df.sparkSession
     dealt = written(df.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()), "ranges")
     firsts, total = {}, 0

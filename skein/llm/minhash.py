@@ -44,7 +44,7 @@ TURNS = 2
 #: any order of the shingles gives the same links.
 COUNTERS = 20
 #: Words whose hashes a worker keeps (about 200 bytes each).
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 NEVER = np.int64((1 << 63) - 1)
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -238,8 +238,8 @@ def _prefix_pairs(texts: DataFrame, similar: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
 
     met = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most 2 ** COUNTERS rows
-    table = np.ones(1 << COUNTERS, np.int64)
-    table[met.column("slot").to_numpy()] = met.column("n").to_numpy()
+    table = np.ones(1 << COUNTERS, np.int32)
+    table[met.column("slot").to_numpy()] = np.minimum(met.column("n").to_numpy(), (1 << 31) - 1)
     shared, share = texts.sparkSession.sparkContext.broadcast(table), similar / (1 + similar)
 
     def prefixes(batches):

@@ -24,7 +24,7 @@ from skein.llm.caches import only
 from skein.llm.common import Renamed, long_rows
 
 #: Distinct words whose encodings a worker keeps (about 200 bytes each).
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 #: Fixed bands by language, else by script: least characters per token of the byte-fallback
 #: vocabulary and of the byte-level one, largest share of byte-fallback tokens, least entropy of the
 #: tokens in bits relative to that of as many different tokens (or of FULL, in longer texts).
@@ -180,7 +180,7 @@ def _judged(own: Renamed, piece_path: str, bpe_path: str, bands: dict) -> DataFr
         from skein.llm.tokens import slices
 
         vocab = vocabularies(piece_path, bpe_path)
-        for part in slices(batches, column=f"_c{text_at}"):
+        for part in slices(batches, 2_000_000, f"_c{text_at}"):
             texts = [(t or "").encode() for t in part.column(text_at).to_pylist()]
             langs = part.column(lang_at).to_pylist() if lang_at is not None else [None] * len(texts)
             rows = measure(texts, langs, vocab, bands)
