@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -14,7 +15,7 @@ def connect(sf_dir):
 
 
 def plain(x):
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
         return "null"
     if isinstance(x, float):
         return f"{x + 0.0:.6g}"
