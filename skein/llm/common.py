@@ -148,6 +148,20 @@ def located(docs: DataFrame) -> Renamed:
     return own
 
 
+def grouped_rows(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id (long), text (binary, null as empty) and group of every row: ``rows`` rows of a file that follow each
+    other, the same however often it is read; a frame that isn't a file scan is written first. Two groups may by
+    chance have one number."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    if any(n.lower() == "_metadata" for n in docs.columns) or not _plain_scan(docs):
+        own = written(own, "rows")
+        if not own.inputFiles():
+            return own.withColumn("group", F.lit(0).cast("long"))
+        docs = own
+    group = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), group.alias("group"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

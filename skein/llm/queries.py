@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import context_mixing, exact_dedup, fill_middle, license_scan, minhash, mixing, packing, phrases, quality_model, quality_rules, site_style, token_store
+from skein.llm import context_mixing, exact_dedup, fill_middle, license_scan, minhash, mixing, overlap_join, packing, phrases, quality_model, quality_rules, site_style, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_site_style, op3_quality_model, op4_best_fit_packing, op5_context_mixing, op6_license_scan, op7_bag_minhash, op8_token_store, op9_quality_rules, op10_exact_dedup, op12_phrases, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_mix, op2_site_style, op3_quality_model, op4_best_fit_packing, op5_context_mixing, op6_license_scan, op7_bag_minhash, op8_token_store, op9_quality_rules, op10_exact_dedup, op11_overlap_join, op12_phrases, op13_fill_middle)}
 
 
 OP1_SQL = r"""
@@ -105,4 +109,4 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id ASC NULLS LAST ROWS B
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op6_license_scan": license_scan.oracle(), "op10_exact_dedup": OP10_SQL, "op12_phrases": phrases.SQL, "op13_fill_middle": fill_middle.SQL}
+    return {"op1_mix": OP1_SQL, "op6_license_scan": license_scan.oracle(), "op10_exact_dedup": OP10_SQL, "op11_overlap_join": overlap_join.SQL, "op12_phrases": phrases.SQL, "op13_fill_middle": fill_middle.SQL}
