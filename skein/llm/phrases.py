@@ -31,12 +31,11 @@ from skein.llm.quality_rules import _Numbers
 #: Characters that end a piece become line ends, tabs spaces.
 _CUT = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n\n\n\n\n\n\n\n\n\n ")
 #: Bytes of pieces in a group, about; pieces that a task gathers before it passes them on.
-GROUP_BYTES, HELD_PIECES = 2_000_000, 200_000
+GROUP_BYTES, HELD_PIECES = 8_000_000, 200_000
 #: Words (all occurrences) for one hash bucket, about.
 BUCKET_WORDS = 4_000_000
 #: Memory of duckdb in a task; beyond it, it goes to the task's own scratch folder.
 DUCK_MB = 160
-_PARTS = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,9 +74,12 @@ def _pieces(docs: DataFrame) -> DataFrame:
 
         from skein.llm.tokens import slices
 
-        group = int.from_bytes(os.urandom(6))  # kept once the table is written
-        for k, part in enumerate(slices(batches, GROUP_BYTES, "piece")):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.repeat(pa.scalar((group << 15) + k, pa.int64()), part.num_rows)], names=["lang", "piece", "w", "group"])
+        group, size = int.from_bytes(os.urandom(6)) << 15, 0  # kept once the table is written
+        for part in slices(batches, GROUP_BYTES, "piece"):
+            if size > GROUP_BYTES:
+                group, size = group + 1, 0
+            size += part.column("piece").nbytes
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.repeat(pa.scalar(group, pa.int64()), part.num_rows)], names=["lang", "piece", "w", "group"])
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counted = rows.mapInArrow(cut, "lang string, piece binary, w long").groupBy("lang", "piece").agg(F.sum("w").alias("w"))
@@ -98,22 +100,29 @@ def _by_lang(langs: list[str], pieces: list[bytes], w: np.ndarray) -> Iterator[t
         yield lang, list(numbers)[1:], ids, w[np.array(at)][which]
 
 
-def _pairs(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which two words of a piece stand, and the hashes of those pairs."""
+def _hashes(lang: str, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, places at which two words of a piece stand, and the hashes of those pairs."""
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
-    hashes = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in words], np.uint64)
+    own = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in words], np.uint64)
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return at, _mixed(hashes[ids[at]] * _M2 + _mixed(hashes[ids[at + 1]]))
+    return own, at, _mixed(own[ids[at]] * _M2 + _mixed(own)[ids[at + 1]])
 
 
-def _summed(keys: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, a place of each and their weights."""
-    found, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, number, w)
-    return found, first, total
+def _summed(keys: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and their weights."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(w[order], new) if len(keys) else w
+
+
+def _total(ids: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+    """Weights by number, exact (sums of doubles aren't, beyond 2 ** 53)."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, ids, w)
+    return out
 
 
 @contextmanager
@@ -135,42 +144,68 @@ def _insert(con, table: str, rows) -> None:
     con.unregister("arrived")
 
 
-def _frequent_pairs(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
-    """group and the hashes (little-endian) of its pairs that come ``least`` times or more: all such, and hardly
-    others. A group asks once for a pair, with its weight in the group."""
+def _cut(h: np.ndarray, width: int) -> bytes:
+    """The highest ``width`` bytes of each hash."""
+    return np.ascontiguousarray((h >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _whole(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u8")
+
+
+def _groups(batches) -> Iterator[tuple[int, object]]:
+    """group and rows (an Arrow table) of each run of rows of one group."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        group = batch.column("group").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(edges, edges[1:]):
+            if b == a:
+                continue
+            if held and group[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held, last = [*held, batch.slice(a, b - a)], int(group[a])
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _frequent(pieces: DataFrame, least: int, buckets: int, width: int) -> DataFrame:
+    """group and the hashes (their highest ``width`` bytes) of its words and pairs that come ``least`` times or more:
+    all such, and hardly others. A group asks once for each, with its weight in the group."""
+    weight = np.min_scalar_type(least).newbyteorder("<")
 
     def ask(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            group = batch.column("group").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for a, b in zip(edges, edges[1:]):
-                part = batch.slice(a, b - a)
-                if not part.num_rows:
-                    continue
-                hashes, weights = [], []
-                for lang, words, ids, w in _by_lang(part.column("lang").to_pylist(), part.column("piece").to_pylist(), part.column("w").to_numpy()):
-                    at, h = _pairs(lang, words, ids)
-                    hashes.append(h), weights.append(w[at])
-                h, _, w = _summed(np.concatenate(hashes), np.concatenate(weights))
-                bucket = ((h >> np.uint64(32)) % np.uint64(_PARTS * buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                names, starts = np.unique(bucket[order], return_index=True)
-                ends = [*starts[1:].tolist(), len(h)]
-                h, w = h[order], np.minimum(w[order], least).astype("<u4")
-                blobs = [(h[i:j].tobytes(), w[i:j].tobytes()) for i, j in zip(starts.tolist(), ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.repeat(pa.scalar(int(group[a]), pa.int64()), len(names)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())], names=["bucket", "group", "h", "w"])
+        for group, part in _groups(batches):
+            hashes, weights = [], []
+            for lang, words, ids, w in _by_lang(part.column("lang").to_pylist(), part.column("piece").to_pylist(), part.column("w").to_numpy()):
+                own, at, pairs = _hashes(lang, words, ids)
+                here = ids >= 0
+                hashes += [own, pairs]
+                weights += [_total(ids[here], w[here], len(words)), w[at]]
+            h, w = _summed(np.concatenate(hashes), np.concatenate(weights))
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # in order, as h is
+            names, starts = np.unique(bucket, return_index=True)
+            ends = [*starts[1:].tolist(), len(h)]
+            w = np.minimum(w, least).astype(weight)
+            blobs = [(_cut(h[i:j], width), w[i:j].tobytes()) for i, j in zip(starts.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.repeat(pa.scalar(group, pa.int64()), len(names)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())], names=["bucket", "group", "h", "w"])
 
     def answer(batches):
         import pyarrow as pa
 
         with _duck() as con:
-            con.execute("CREATE TABLE asked (grp BIGINT, h UBIGINT, w UINTEGER)")
+            con.execute("CREATE TABLE asked (grp BIGINT, h UBIGINT, w BIGINT)")
             for batch in batches:
-                hashes = [np.frombuffer(h, "<u8") for h in batch.column("h").to_pylist()]
+                hashes = [_whole(h, width) for h in batch.column("h").to_pylist()]
                 group = np.repeat(batch.column("group").to_numpy(), [len(h) for h in hashes])
-                w = np.frombuffer(b"".join(batch.column("w").to_pylist()), "<u4")
+                w = np.frombuffer(b"".join(batch.column("w").to_pylist()), weight)
                 _insert(con, "asked", pa.table({"grp": group, "h": np.concatenate(hashes), "w": w}))
             found = con.sql(f"SELECT grp, h FROM asked WHERE h IN (SELECT h FROM asked GROUP BY h HAVING sum(w) >= {int(least)})")
             for batch in found.to_arrow_reader(200_000):
@@ -184,8 +219,16 @@ def _frequent_pairs(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
     return asked.mapInArrow(answer, "group long, h binary")
 
 
-def _ngrams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """lang, phrase, k (words) and f of every group: its words, and n-grams of frequent pairs alone."""
+def _among(h: np.ndarray, known: np.ndarray, width: int) -> np.ndarray:
+    """Whether the highest bytes of each hash are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    high = h >> np.uint64(64 - 8 * width)
+    return known[np.minimum(np.searchsorted(known, high), len(known) - 1)] == high
+
+
+def _ngrams(pieces: DataFrame, frequent: DataFrame, longest: int, width: int) -> DataFrame:
+    """lang, phrase, k (words) and f of every group: its frequent words, and n-grams of frequent pairs alone."""
 
     def spell(part, answers):
         import pyarrow as pa
@@ -201,12 +244,11 @@ def _ngrams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
 
         if part.num_rows:
             for lang, words, ids, w in _by_lang(part.column("lang").to_pylist(), part.column("piece").to_pylist(), part.column("w").to_numpy()):
-                here = ids >= 0
-                total = np.zeros(len(words), np.int64)
-                np.add.at(total, ids[here], w[here])
-                put(lang, words, 1, total)
-                at, h = _pairs(lang, words, ids)
-                at = at[np.isin(h, known)]
+                own, at, pairs = _hashes(lang, words, ids)
+                here = np.flatnonzero(ids >= 0)
+                some = np.flatnonzero(_among(own, known, width))
+                put(lang, [words[i] for i in some.tolist()], 1, _total(ids[here], w[here], len(words))[some])
+                at = at[_among(pairs, known, width)]
                 linked = np.zeros(len(ids) + longest, bool)
                 linked[at] = True
                 keys = ids.copy()  # exact numbers of the n-gram that starts at each place
@@ -216,9 +258,9 @@ def _ngrams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
                         break
                     found, number = np.unique(keys[at] * (len(words) + 1) + ids[at + k - 1], return_inverse=True)
                     keys[at] = number
-                    first, total = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+                    first = np.zeros(len(found), np.int64)
                     first[number] = at
-                    np.add.at(total, number, w[at])
+                    total = _total(number, w[at], len(found))
                     put(lang, [b" ".join([words[i] for i in ids[j : j + k]]) for j in first.tolist()], k, total)
         return pa.table(rows, schema=pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("k", pa.int32()), ("f", pa.int64())]))
 
@@ -278,8 +320,10 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, share: int = 80, to
         totals = keep(written(totals, "totals"))
         n = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets = max(spark.sparkContext.defaultParallelism, n // BUCKET_WORDS)
-        frequent = _frequent_pairs(pieces, least, buckets)
-        counts = written(_counted(_ngrams(pieces, frequent, longest), least, buckets), "ngrams")
+        # So many bytes of a hash that few differ among so many words and pairs.
+        width = int(np.clip(-(-(np.log2(max(n, 1)) + 12) // 8), 5, 8))
+        frequent = _frequent(pieces, least, buckets, width)
+        counts = written(_counted(_ngrams(pieces, frequent, longest, width), least, buckets), "ngrams")
         phrases = counts.where("k > 1").withColumnRenamed("f", "a")
         judged = written(_cut_scores(phrases, counts), "phrases")
         left = judged.join(_inside_longer(phrases, share), ["lang", "phrase"], "left_anti")
