@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most this many rows, counted before use, may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +35,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small`` (narrow rows), which is broadcast only if it has few rows."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small, keys, how)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.robust import distances, krum_scores
+from skein.operators.selection import coordinate_median, trimmed_mean
+
+__all__ = ["METHODS", "add_scaled", "aggregate", "clip_update", "coordinate_median", "distances", "fedavg", "flattened", "krum", "krum_scores", "qfedavg", "trimmed_mean", "unflattened"]
+
 
 def fedavg(upd: DataFrame) -> DataFrame:
     """Weighted by n; without any n the first client's weights."""
@@ -19,22 +24,6 @@ def qfedavg(upd: DataFrame, q: float = 0.3, alpha: float = 1.0, tau: float = 1e-
     return rows.groupBy("k").agg((F.sum(F.col("w") * F.col("wt")) / (F.sum("wt") + 1e-10)).alias("w"))
 
 
-def distances(upd: DataFrame) -> DataFrame:
-    """Squared distances of all pairs of clients: i, j, d. One shuffle, by coordinate; sums of pairs are combined
-    in the task. There is a row for every two clients, as the method asks."""
-    x, y = upd.select(F.col("cid").alias("a"), "k", F.col("w").alias("wa")), upd.select(F.col("cid").alias("b"), "k", F.col("w").alias("wb"))
-    half = x.join(y, "k").where("a < b").groupBy("a", "b").agg(F.sum((F.col("wa") - F.col("wb")) * (F.col("wa") - F.col("wb"))).alias("d"))
-    both = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
-    return half.select(F.explode(both).alias("p"), "d").select("p.i", "p.j", "d")
-
-
-def krum_scores(upd: DataFrame, f: int = 1) -> DataFrame:
-    """cid, score: the sum of the n - f - 2 least distances to others."""
-    n = upd.select("cid").distinct().count()
-    near = distances(upd).withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rn") <= n - f - 2)
-    return near.groupBy(F.col("i").alias("cid")).agg(F.sum("d").alias("score"))
-
-
 def krum(upd: DataFrame, f: int = 1) -> DataFrame:
     """The weights of the client of least score; with fewer than 2 f + 3 clients the weighted mean."""
     if upd.select("cid").distinct().count() < 2 * f + 3:
@@ -43,18 +32,6 @@ def krum(upd: DataFrame, f: int = 1) -> DataFrame:
     return upd.join(F.broadcast(winner), "cid", "left_semi").select("k", "w")
 
 
-def trimmed_mean(upd: DataFrame, trim: float = 0.1) -> DataFrame:
-    """Per coordinate the mean without the largest and least max(1, int(n x trim)) values; null if none is left."""
-    w = Window.partitionBy("k")
-    rows = upd.withColumn("rn", F.row_number().over(w.orderBy("w", "cid"))).withColumn("m", F.count("*").over(w))
-    cut = F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(trim)))
-    return rows.groupBy("k").agg(F.avg(F.when((F.col("rn") > cut) & (F.col("rn") <= F.col("m") - cut), F.col("w"))).alias("w"))
-
-
-def coordinate_median(upd: DataFrame) -> DataFrame:
-    return upd.groupBy("k").agg(F.median("w").alias("w"))
-
-
 METHODS = {"fedavg": fedavg, "qfedavg": qfedavg, "krum": krum, "trimmed_mean": trimmed_mean, "median": coordinate_median}
 
 
