@@ -5,15 +5,15 @@ Files are written from the driver's tables to the shared folder, and read with t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.hashing import uniform, uniform_of
-from skein.functions.storage import scratch
+from skein.functions.storage import scratch, written
 from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, train
 from skein.plans.catalog import _W, Fixtures, _gcn, _graph, _matrix, _record, _size, query  # noqa: F401
 from skein.sources import datasets, files
-from skein.streaming import round_log
+from skein.streaming import round_log, run_totals
 
 _U = "(('0x'||substr(sha256({key}),1,13))::UBIGINT::DOUBLE+0.5)/4503599627370496"
 
@@ -219,3 +219,33 @@ def _streamed(t: Fixtures) -> DataFrame:
 
 
 query("stream_round_log", "SELECT max(round) AS last_round, max(round(global_acc, 4)) AS best_acc, sum(round(comms_mb, 4)) AS comms_mb FROM rd", ("best_acc", "comms_mb"))(_streamed)
+
+
+def _run_records(t: Fixtures) -> DataFrame:
+    """Records of four runs, users by remainder: every day is a round, every kind of event a client."""
+    rows = t.read("events").select(F.concat(F.lit("run"), F.col("user_id") % 4).alias("run"), F.to_date("ts").alias("day"), "event_type", "value")
+    cells = rows.groupBy("run", "day", "event_type").agg(F.count("*").alias("n"), F.avg(F.col("value") / (1 + F.col("value"))).alias("acc"))
+    days = rows.select("day").distinct().select("day", F.dense_rank().over(Window.orderBy("day")).cast("int").alias("round"))  # one row a day
+    per = cells.groupBy("run", "day").agg((F.sum(F.col("acc") * F.col("n")) / F.sum("n")).alias("global_acc"), F.avg(0.5 + F.col("n") / 100.0).alias("mean_eps"), (F.count("*") * 25600 / 1024 / 1024).alias("comms_mb"))
+    return per.join(days, "day").select("run", "round", "global_acc", "mean_eps", "comms_mb")
+
+
+def _streamed_totals(t: Fixtures) -> DataFrame:
+    """The records come in three feeds, each by a stream that starts again from the checkpoint: rounds come late, and
+    the last feed repeats those of the first with other figures, which must not count."""
+    spark = t.nodes.sparkSession
+    source, out, state = (scratch(spark, x) for x in ("runs", "totals", "totalstate"))
+    rows = written(_run_records(t), "records")
+    for k in range(3):
+        part = rows.where(F.col("round") * 7 % 3 == k)
+        if k == 2:
+            again = rows.where(F.col("round") * 7 % 3 == 0)
+            part = part.unionByName(again.withColumns({c: F.col(c) + 1 for c in ("global_acc", "mean_eps", "comms_mb")}))
+        part.write.mode("append").parquet(source)
+        run_totals.feed(spark, source, out, state)
+    return run_totals.totals(spark, out)
+
+
+_RUNS = """(SELECT run, (dense_rank() OVER (ORDER BY d))::INT AS round, acc, eps, mb FROM (SELECT run, d, sum(a*n)/sum(n) acc, avg(0.5::DOUBLE+n/100.0::DOUBLE) eps, count(*)*25600/1024.0::DOUBLE/1024 mb
+  FROM (SELECT 'run' || (user_id % 4) AS run, ts::DATE d, event_type, count(*) n, avg(value/(1+value)) a FROM events GROUP BY ALL) GROUP BY run, d))"""
+query("stream_run_totals", f"SELECT run, round, sum(eps) OVER w AS cumulative_eps, sum(mb) OVER w AS total_mb, max(acc) OVER w AS best_acc, arg_max(round, (acc, -round)) OVER w AS best_round FROM {_RUNS} WINDOW w AS (PARTITION BY run ORDER BY round)", ("cumulative_eps", "total_mb", "best_acc"))(_streamed_totals)
