@@ -271,11 +271,12 @@ def _counted(ngrams: DataFrame, least: int, buckets: int) -> DataFrame:
     """The n-grams that come ``least`` times or more, counted by duckdb, a hash bucket a task."""
 
     def count(batches):
+        import pyarrow as pa
+
+        kind = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("k", pa.int32()), ("f", pa.int64())])
         with _duck() as con:
-            con.execute("CREATE TABLE n (lang VARCHAR, phrase BLOB, k INTEGER, f BIGINT)")
-            for batch in batches:
-                _insert(con, "n", batch)
-            found = con.sql(f"SELECT lang, phrase, any_value(k) AS k, sum(f)::BIGINT AS f FROM n GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
+            con.register("arrived", pa.RecordBatchReader.from_batches(kind, batches))  # read once, as it comes
+            found = con.sql(f"SELECT lang, phrase, any_value(k) AS k, sum(f)::BIGINT AS f FROM arrived GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
             yield from found.to_arrow_reader(50_000)
 
     dealt = ngrams.repartition(buckets, "lang", "phrase")
