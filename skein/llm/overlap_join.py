@@ -7,6 +7,8 @@ others put their shingles in one order, from short inverted lists to long ones.
 node leaves its L longest lists out, L = T / (MU log2 M + 1) for a longest list of M, and is posted in the
 rest. Two nodes that link share as many of those short lists as the overlap they need less the larger L.
 
+Short lists of a node alone are dropped, so how many are left also bounds what two nodes can share.
+
 First every node is held against the node that most of its lists name as their leader, twice, so that a
 group of near copies costs one test each and becomes one component. Then the lists that still hold several
 components are searched: a task merges, by a heap, the lists of each node in its bucket, and counts of
@@ -186,8 +188,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
 
 
 def _led(posts: DataFrame) -> DataFrame:
-    """a, b: every node with the leader (the least key) that most of its lists name; equal counts: the least."""
-    lead = posts.groupBy("e").agg(F.min("key").alias("lead"), F.count("*").alias("m")).where("m > 1").select("e", "lead")
+    """a, b: every node with the leader that most of its lists name. A list's leader is the member that shares most
+    lists with others, as a text has that the copies near it were made from."""
+    lead = posts.groupBy("e").agg(F.max(F.struct("mates", "key")).alias("l"), F.count("*").alias("m")).where("m > 1").select("e", F.col("l.key").alias("lead"))
     votes = posts.join(lead, "e").where("key <> lead").groupBy("key", "lead").agg(F.count("*").alias("c"))
     best = votes.groupBy("key").agg(F.min(F.struct(-F.col("c"), F.col("lead"))).alias("v"))
     return best.select(F.least("key", "v.lead").alias("a"), F.greatest("key", "v.lead").alias("b")).distinct()
@@ -220,46 +223,55 @@ def _met(posts: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFr
     placed = written(placed.join(several, "e").withColumn("parts", F.ceil(F.col("m") / LIST_PART)), "lists")
     buckets = max(1, placed.count() // BUCKET_POSTS)
     bucket = F.pmod(F.xxhash64("e"), F.lit(buckets)).alias("bucket")
-    members = placed.select("e", bucket, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "root", "n", "skip", (F.col("root") == F.col("most")).alias("rest"), F.lit(False).alias("asks"))
-    asking = placed.where("root <> most").select("e", bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "root", "n", "skip", F.lit(False).alias("rest"), F.lit(True).alias("asks"))
+    members = placed.select("e", bucket, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "root", "n", "skip", "left", (F.col("root") == F.col("most")).alias("rest"), F.lit(False).alias("asks"))
+    asking = placed.where("root <> most").select("e", bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "root", "n", "skip", "left", F.lit(False).alias("rest"), F.lit(True).alias("asks"))
 
     def search(table):
         import pyarrow as pa
 
         asks = np.array(table.column("asks").to_pylist(), bool)
         keys, number = np.unique(np.array(table.column("key").to_pylist(), object), return_inverse=True)
-        n, skip, root = (np.zeros(len(keys), object) for _ in range(3))
-        for c, x in (("n", n), ("skip", skip), ("root", root)):
-            x[number] = np.array(table.column(c).to_pylist(), object)
+        n, skip, left, root = (np.zeros(len(keys), t) for t in (np.int64, np.int64, np.int64, object))
+        for c, x in (("n", n), ("skip", skip), ("left", left), ("root", root)):
+            x[number] = np.array(table.column(c).to_pylist(), x.dtype)
+        root = np.unique(root, return_inverse=True)[1]
         e, rest = table.column("e").to_numpy(), np.array(table.column("rest").to_pylist(), bool)
-        lists: dict[int, list[tuple[int, bool]]] = {}
-        for i in np.flatnonzero(~asks)[np.argsort(number[~asks], kind="stable")].tolist():
-            lists.setdefault(int(e[i]), []).append((int(number[i]), bool(rest[i])))
+        order = np.flatnonzero(~asks)
+        order = order[np.lexsort((number[order], e[order]))]
+        names, starts = np.unique(e[order], return_index=True)
+        lists = dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
         wanted: dict[int, list[int]] = {}
         for i in np.flatnonzero(asks).tolist():
             wanted.setdefault(int(number[i]), []).append(int(e[i]))
         out = {c: [] for c in ("a", "b", "n_a", "n_b", "skip", "c")}
         for r, its in wanted.items():
-            # Of two members that both ask, the lesser does; members of the largest component never do.
-            short = [[s for s, silent in lists.get(x, ()) if root[s] != root[r] and (silent or s > r)] for x in its]
+            short = []
+            for x in its:
+                if x in lists:
+                    rows = lists[x]
+                    s = number[rows]
+                    # Of two members that both ask, the lesser does; members of the largest component never do.
+                    may = (root[s] != root[r]) & (rest[rows] | (s > r)) & (np.minimum(n[s], n[r]) * similar[1] >= np.maximum(n[s], n[r]) * similar[0])
+                    may &= np.minimum(left[s], left[r]) >= -(-(n[s] + n[r]) * similar[0] // (similar[0] + similar[1])) - np.maximum(skip[s], skip[r])
+                    short.append(s[may].tolist())
             for s, c in occurrences(short):
                 low, high = (r, s) if r < s else (s, r)
-                if min(n[r], n[s]) * similar[1] >= max(n[r], n[s]) * similar[0]:
-                    for name, x in zip(out, (keys[low], keys[high], n[low], n[high], max(skip[r], skip[s]), c), strict=True):
-                        out[name].append(x)
+                for name, x in zip(out, (keys[low], keys[high], int(n[low]), int(n[high]), int(max(skip[r], skip[s])), c), strict=True):
+                    out[name].append(x)
         return pa.table(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), *[(x, pa.int64()) for x in ("n_a", "n_b", "skip", "c")]]))
 
     found = members.unionByName(asking).groupBy("bucket", "part").applyInArrow(search, "a binary, b binary, n_a long, n_b long, skip long, c long")
     counted = found.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("skip").alias("skip"), F.sum("c").alias("c"))
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * similar[0] / (similar[0] + similar[1]) - 1e-6)
+    overlap = F.expr(f"((n_a + n_b) * {similar[0]} + {similar[0] + similar[1] - 1}) div {similar[0] + similar[1]}")
     return counted.where(F.col("c") >= overlap - F.col("skip")).select("a", "b")
 
 
 def _links(nodes: DataFrame, similar: tuple[int, int]) -> DataFrame | None:
     """Links between nodes that give the same components as all links."""
     posts = nodes.select("key", "n", "skip", F.explode("posts").alias("e"))
-    alone = posts.groupBy("e").agg(F.count("*").alias("m")).where("m > 1").select("e")
-    posts = written(posts.join(alone, "e"), "posts")
+    several = posts.groupBy("e").agg(F.count("*").alias("m")).where("m > 1")
+    posts = written(posts.join(several, "e"), "lists")
+    posts = written(posts.join(posts.groupBy("key").agg(F.count("*").alias("left"), F.sum("m").alias("mates")), "key").drop("m"), "posts")
     sets, left, found, tested = nodes.select("key", "set"), posts, None, None
     for _ in range(TURNS):
         pairs = written(_led(left) if tested is None else _led(left).join(tested, ["a", "b"], "left_anti"), "pairs")
