@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,13 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     path = f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if open_scopes := _OPEN.get():
+        open_scopes[-1].append(path)
     return path
 
 
-#: Paths made in every scope that is open, the innermost last.
-_OPEN: list[list[str]] = []
+#: Paths made in every scope that is open, the innermost last. A thread has scopes of its own, so queries may run side
+#: by side in one session.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
 
 
 @contextmanager
@@ -51,8 +53,9 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What is written inside goes at the end, but tables given to the function that it yields.
 
     A written table reads its own files alone, so those that it was made from can go."""
-    _OPEN.append(made := [])
-    kept = []
+    made: list[str] = []
+    kept: list[str] = []
+    outer = _OPEN.set((*_OPEN.get(), made))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df._written)
@@ -61,13 +64,13 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _OPEN.pop()
+        _OPEN.reset(outer)
         for path in made:
             if path not in kept:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if _OPEN:
-            _OPEN[-1] += kept
+        if open_scopes := _OPEN.get():
+            open_scopes[-1].extend(kept)
 
 
 def _read_bytes(df: DataFrame) -> int:
