@@ -80,19 +80,18 @@ def links(a: np.ndarray, b: np.ndarray, similar: tuple[int, int] = SIMILAR) -> b
     return both * similar[1] >= similar[0] * (len(a) + len(b) - both)
 
 
-def _cut(h: np.ndarray, width: int) -> bytes:
-    """The highest ``width`` bytes of each hash."""
-    return np.ascontiguousarray((h >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in order as differences, the bytes of equal weight together: those of high weight are nearly all
+    zero, which Spark's shuffle compresses away."""
+    return np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _whole(data: bytes, width: int) -> np.ndarray:
-    wide = np.zeros((len(data) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return wide.reshape(-1).view("<u8")
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _shared(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    """group, h and n: of the shingles of each group those (their highest bytes) that several documents have, and
+def _shared(rows: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """group, h and n: of the shingles of each group those (their highest bits) that several documents have, and
     how many do. A group asks once for a shingle, so one that every document has is no large bucket."""
 
     def ask(batches):
@@ -107,11 +106,12 @@ def _shared(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 if not len(h):
                     continue
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                h >>= np.uint64(64 - bits)
                 names, starts = np.unique(bucket, return_index=True)
                 ends = [*starts[1:].tolist(), len(h)]
                 n = np.minimum(n, 255).astype(np.uint8)
                 parts = list(zip(starts.tolist(), ends, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.repeat(pa.scalar(int(group[a]), pa.int64()), len(names)), pa.array([_cut(h[i:j], width) for i, j in parts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())], names=["bucket", "group", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.repeat(pa.scalar(int(group[a]), pa.int64()), len(names)), pa.array([_packed(h[i:j]) for i, j in parts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())], names=["bucket", "group", "h", "n"])
 
     def answer(batches):
         import pyarrow as pa
@@ -119,25 +119,26 @@ def _shared(rows: DataFrame, width: int, buckets: int) -> DataFrame:
         asked = [(g, h, n) for batch in batches for g, h, n in zip(*[batch.column(c).to_pylist() for c in ("group", "h", "n")], strict=True)]
         if not asked:
             return
-        h, n = _whole(b"".join(x[1] for x in asked), width), np.frombuffer(b"".join(x[2] for x in asked), np.uint8)
+        parts = [_unpacked(x[1]) for x in asked]
+        h, n = np.concatenate(parts), np.frombuffer(b"".join(x[2] for x in asked), np.uint8)
         found, number = np.unique(h, return_inverse=True)
         total = np.bincount(number, n, len(found)).astype(np.int64)
         several, at = total > 1, 0
         for first in range(0, len(asked), 1000):
             groups, hashes, counts = [], [], []
-            for g, data, _ in asked[first : first + 1000]:
-                mine = number[at : at + len(data) // width]
+            for (g, _, _), part in zip(asked[first : first + 1000], parts[first : first + 1000], strict=True):
+                mine = number[at : at + len(part)]
                 at += len(mine)
                 mine = mine[several[mine]]
                 if len(mine):
-                    groups.append(g), hashes.append(found[mine].tobytes()), counts.append(np.minimum(total[mine], 0xFFFFFFFF).astype("<u4").tobytes())
+                    groups.append(g), hashes.append(_packed(found[mine])), counts.append(np.ascontiguousarray(np.minimum(total[mine], 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["group", "h", "n"])
 
     asked = rows.select("group", "text").mapInArrow(ask, "bucket int, group long, h binary, n binary").repartition(buckets, "bucket")
     return asked.mapInArrow(answer, "group long, h binary, n binary")
 
 
-def _signed(rows: DataFrame, shared: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+def _signed(rows: DataFrame, shared: DataFrame, bits: int, similar: tuple[int, int]) -> DataFrame:
     """doc_id, key and n (shingles) of every row; of those that may link, once in a group, also the set, skip (L)
     and the shingles of the short lists that several documents are in."""
 
@@ -145,8 +146,8 @@ def _signed(rows: DataFrame, shared: DataFrame, width: int, similar: tuple[int,
         import pyarrow as pa
         import xxhash
 
-        h = np.frombuffer(b"".join(answers.column("h").to_pylist()), "<u8")
-        count = np.frombuffer(b"".join(answers.column("n").to_pylist()), "<u4")
+        h = np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, answers.column("h").to_pylist())])
+        count = np.concatenate([np.zeros(0, np.uint32), *(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in answers.column("n").to_pylist())])
         h, first = np.unique(h, return_index=True)  # a group that two tasks asked for has two answers
         count, seen, out = count[first].astype(np.int64), set(), {c: [] for c in ("key", "n", "set", "skip", "posts")}
         for text in part.column("text").to_pylist():
@@ -155,7 +156,7 @@ def _signed(rows: DataFrame, shared: DataFrame, width: int, similar: tuple[int,
             row = (key, n, None, None, None)
             if n and key not in seen and len(h):
                 seen.add(key)
-                high = found >> np.uint64(64 - 8 * width)
+                high = found >> np.uint64(64 - bits)
                 at = np.minimum(np.searchsorted(h, high), len(h) - 1)
                 often = np.where(h[at] == high, count[at], 1)
                 if int((often > 1).sum()) >= needed(n, similar):
@@ -290,10 +291,10 @@ def linked(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
         long_rows(spark)
         rows = grouped_rows(docs, GROUP_ROWS)
         size = max(_read_bytes(rows), 1)
-        # So many bytes of a hash that few differ among so many shingles; equal ones only cost time.
-        width = int(np.clip(-(-(np.log2(size) + 10) // 8), 5, 8))
+        # So many bits of a hash that few are equal by chance among so many shingles; equal ones only cost time.
+        bits = int(np.clip(np.ceil(np.log2(size)) + 8, 40, 64))
         buckets = max(spark.sparkContext.defaultParallelism, size * 2 // 10 // BUCKET_SHINGLES)
-        signed = written(_signed(rows, _shared(rows, width, buckets), width, similar), "signed")
+        signed = written(_signed(rows, _shared(rows, bits, buckets), bits, similar), "signed")
         nodes = signed.where("set is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "set", "skip", "posts")])
         found = components(_links(written(nodes, "nodes"), similar))
         members = signed.select("doc_id", "key", "n")
