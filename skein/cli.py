@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-secure-na", action="store_true", help="send no noisy embeddings")
     c.add_argument("--synthetic", action="store_true", help="make clients of a generated graph first")
     c.add_argument("--ablation", action="store_true")
+    c.add_argument("--resume", action="store_true", help="go on after the last round that the output folder has")
     shared(c)
 
     c = commands.add_parser("datasets", help="the catalogue, or one of its networks to clients")
@@ -102,7 +103,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         cfg = config(argparse.Namespace(**{**vars(args), "rounds": min(args.rounds, 5)}))
         train.ablation(clients.nodes, clients.edges, cfg, out).show(truncate=False)
     else:
-        found = train.federated_run(clients.nodes, clients.edges, config(args), out)
+        found = train.federated_run(clients.nodes, clients.edges, config(args), out, resume=args.resume)
         logs.run_summary(found.log).show()
 
 

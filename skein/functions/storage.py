@@ -34,7 +34,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and outlives executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """The files of a ``written`` table go; nothing that is still to be read may come from it."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

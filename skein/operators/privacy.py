@@ -1,4 +1,4 @@
-"""Degree-adaptive noise, edge sketches and the privacy ledger."""
+"""Degree-adaptive noise and the privacy ledger; edge sketches are in ``sketches``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import digest, laplace, sketch_positions
+from skein.functions.hashing import laplace
+from skein.operators.sketches import bloom_encode, client_salt, edge_key, might_contain, sketch, sketch_stats
+
+__all__ = ["bloom_encode", "client_epsilon", "client_salt", "edge_key", "epsilon", "ledger", "might_contain", "na_encode", "noisy", "overlap_merge", "sensitivity", "sketch", "sketch_stats"]
 
 
 def sensitivity(degrees: DataFrame) -> DataFrame:
@@ -27,22 +30,6 @@ def noisy(x: DataFrame, clip: float = 1.0, seed: str = "42") -> DataFrame:
     return x.select("id", "k", (F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("x"))) + noise).alias("x"))
 
 
-def edge_key(u: Column, v: Column) -> Column:
-    return F.concat_ws("-", F.least(u, v).cast("string"), F.greatest(u, v).cast("string"))
-
-
-def sketch(edges: DataFrame, salt: bytes, m: int = 8192, k: int = 4) -> DataFrame:
-    """The set bits (pos) of a Bloom filter over (u, v)."""
-    return edges.select(F.explode(sketch_positions(salt, edge_key(F.col("u"), F.col("v")), m, k)).alias("pos")).distinct()
-
-
-def might_contain(edges: DataFrame, bits: DataFrame, salt: bytes, m: int = 8192, k: int = 4) -> DataFrame:
-    """u, v, found; there are at most m bits, so they are broadcast."""
-    asked = edges.select("u", "v", F.explode(sketch_positions(salt, edge_key(F.col("u"), F.col("v")), m, k)).alias("pos"))
-    hit = asked.join(F.broadcast(bits.select("pos", F.lit(1).alias("hit"))), "pos", "left")
-    return hit.groupBy("u", "v").agg((F.count("hit") == F.count("*")).alias("found"))
-
-
 def client_epsilon(nodes: DataFrame, edges: DataFrame, least: float = 0.5, most: float = 2.0) -> DataFrame:
     """cid, gid, eps: by the degree of a node among its client's edges (cid, u, v), over the client's largest."""
     ends = edges.select("cid", F.explode(F.array("u", "v")).alias("gid")).groupBy("cid", "gid").agg(F.count("*").alias("d"))
@@ -67,22 +54,6 @@ def overlap_merge(packs: DataFrame) -> DataFrame:
     return rows.groupBy("gid").agg(F.count("*").alias("clients"), Summarizer.mean(F.col("z")).alias("z")).select("gid", "clients", vector_to_array("z").alias("z"))
 
 
-def client_salt(cid: Column) -> Column:
-    """16 bytes of a client's own."""
-    return F.unhex(F.substring(digest("salt", cid), 1, 32))
-
-
-def bloom_encode(edges: DataFrame, m: int = 8192, k: int = 4) -> DataFrame:
-    """cid, pos: the set bits of every client's sketch of its edges (cid, u, v by gid), salted by client."""
-    positions = sketch_positions(client_salt(F.col("cid")), edge_key(F.col("u"), F.col("v")), m, k)
-    return edges.select("cid", F.explode(positions).alias("pos")).distinct()
-
-
-def sketch_stats(bits: DataFrame, m: int = 8192, k: int = 4) -> DataFrame:
-    """Of clients' sketches (cid, pos) joined by OR: density, est_fpr, num_clients, m."""
-    return bits.agg((F.count_distinct("pos") / m).alias("density"), F.pow(F.count_distinct("pos") / m, F.lit(float(k))).alias("est_fpr"), F.count_distinct("cid").alias("num_clients"), F.lit(m).alias("m"))
-
-
 def ledger(log: DataFrame) -> DataFrame:
     """round, mean_eps over clients and its running sum, of (round, cid, eps)."""
     per = log.groupBy("round").agg(F.coalesce(F.avg("eps"), F.lit(0.0)).alias("mean_eps"))

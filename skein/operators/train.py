@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.storage import written
+from skein.functions.storage import removed, written
 from skein.operators import federate, logs, privacy
 from skein.sources.sinks import RunStore
 
@@ -232,29 +232,42 @@ def long_updates(updates: DataFrame) -> DataFrame:
 
 
 class Run(NamedTuple):
-    """Final weights, the round log (LOG), and of the last round the merged embeddings of shared nodes (gid,
-    clients, z) and the clients' sketches (cid, pos)."""
+    """Final weights, the round log (LOG), of the last round the merged embeddings of shared nodes (gid, clients, z)
+    and the clients' sketches (cid, part, bits), and what every round merged (MERGES)."""
 
     weights: np.ndarray
     log: DataFrame
     overlaps: DataFrame | None
     sketches: DataFrame | None
+    merges: DataFrame
 
 
-def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), store: RunStore | None = None) -> Run:
+#: What the rounds merged: nodes whose embeddings several clients sent, and the sketch of all clients.
+MERGES = "round int, shared_nodes long, density double, est_fpr double, sketches long"
+
+
+def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), store: RunStore | None = None, resume: bool = False) -> Run:
     """Rounds of sampling clients, training them side by side, merging and aggregating.
 
     The clients are written and dealt out once, so a round moves weights and updates alone; updates stay a
-    table, of which the driver reads one row of figures a client."""
+    table, which goes once its round is done and of which the driver reads one row of figures a client. All that
+    is random depends on the seed and the round, so with ``resume`` a run goes on after the last round that its
+    store has committed as if it had never stopped; without, it starts anew."""
     spark = nodes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = [written(frame.withColumn("cid", F.col("cid").cast("long")), "clients").repartition(tasks, "cid").persist() for frame in (nodes, edges)]
     nodes, edges = kept
     features, classes = nodes.agg(F.max(F.size("x")), F.max("y") + 1).first()
     clients = [r["cid"] for r in nodes.select("cid").distinct().orderBy("cid").collect()]  # one value a client
-    flat, rows, spent = initial(shapes(cfg, features or 1, classes or 1), cfg.seed), [], 0.0
-    overlaps = sketches = None
-    for turn in range(1, cfg.rounds + 1):
+    flat, rows, spent, first = initial(shapes(cfg, features or 1, classes or 1), cfg.seed), [], 0.0, 1
+    overlaps = sent = None
+    merges = []
+    if store is not None and not resume:
+        store.forget()
+    if store is not None and (done := store.committed()):
+        first, flat, spent = done[0] + 1, np.array(done[1], float), done[2]["spent"]
+        rows, merges = [tuple(r) for r in store.read_log().orderBy("round").collect()], [tuple(m) for m in done[2]["merges"]]  # one row a round
+    for turn in range(first, cfg.rounds + 1):
         began = time.time()
         chosen = np.random.default_rng(cfg.seed + turn).permutation(len(clients))[: max(1, int(len(clients) * cfg.fraction))]
         some = F.col("cid").isin([clients[k] for k in chosen])
@@ -262,30 +275,33 @@ def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), st
         got = updates.drop("w", "overlap").toPandas()  # one row a client
         if not len(got):
             break
+        old = [x for x in (overlaps, sent) if x is not None]
+        shared, figures = 0, (None, None, 0)
         if cfg.noise:
-            overlaps = privacy.overlap_merge(updates.select("cid", F.explode("overlap").alias("o")).select("cid", "o.gid", "o.z"))
+            overlaps = written(privacy.overlap_merge(updates.select("cid", F.explode("overlap").alias("o")).select("cid", "o.gid", "o.z")), "overlaps")
+            shared = overlaps.count()
         if cfg.sketch:
-            sketches = privacy.bloom_encode(edges.where(some).select("cid", "u", "v"), cfg.sketch_bits, cfg.sketch_hashes)
+            sent = written(privacy.bloom_encode(edges.where(some).select("cid", "u", "v"), cfg.sketch_bits, cfg.sketch_hashes), "sketches")
+            figures = privacy.sketch_stats(sent, cfg.sketch_bits, cfg.sketch_hashes).select("density", "est_fpr", "num_clients").first()
+        merges.append((turn, shared, *figures))
         flat = np.array([r["w"] for r in federate.aggregate(long_updates(updates), cfg.method, **dict(cfg.options)).select("k", "w").orderBy("k").collect()], float)  # a model's size
         share = got["num_train"] / max(got["num_train"].sum(), 1)
         spent += got["mean_eps"].mean()
         val, test, f1 = (float((got[c] * share).sum()) for c in ("val_acc", "test_acc", "val_f1"))
         low, high = float(got["val_acc"].min()), float(got["val_acc"].max())
-        figures = (val, test, f1, low, high, high - low, float(got["mean_eps"].mean()), float(spent), float(got["comm_bytes"].sum()) / 1024 / 1024)
-        rows.append((turn, *(round(x, 4) for x in figures), round(time.time() - began, 2)))
+        record = (val, test, f1, low, high, high - low, float(got["mean_eps"].mean()), float(spent), float(got["comm_bytes"].sum()) / 1024 / 1024)
+        rows.append((turn, *(round(x, 4) for x in record), round(time.time() - began, 2)))
         if store is not None:
-            store.log(spark.createDataFrame(rows, LOG))
             store.checkpoint(turn, flat.tolist())
+            store.commit(turn, flat.tolist(), spark.createDataFrame(rows, LOG), spent=float(spent), merges=merges)
+        for table in (updates, *old):
+            removed(table)
     log = spark.createDataFrame(rows, LOG)
     if store is not None:
         store.history(log)
-    if overlaps is not None:
-        overlaps = written(overlaps, "overlaps")
-    if sketches is not None:
-        sketches = written(sketches, "sketches")
     for frame in kept:
         frame.unpersist()
-    return Run(flat, log, overlaps, sketches)
+    return Run(flat, log, overlaps, sent, spark.createDataFrame(merges, MERGES))
 
 
 #: Settings of the ablation, as its table names them. "Local Only" trains one client of five a round.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.hashing import digest, sketch_positions, uniform, uniform_of
 from skein.functions.storage import written
-from skein.operators import federate, generate, gnn, graph, learn, logs, partition, privacy, train
+from skein.operators import federate, generate, gnn, graph, learn, logs, partition, privacy, sketches, train
 from skein.sources import datasets
 
 SALT = bytes(16)
@@ -282,7 +282,7 @@ _POS = "SELECT u, v, i::INT AS i, (('0x'||substr(sha256(unhex(lpad(hex(i),8,'0')
 query("bloom_positions", _POS)(lambda t: t.edges.select("u", "v", F.posexplode(sketch_positions(SALT, privacy.edge_key(F.col("u"), F.col("v")), 8192, 4)).alias("i", "pos")))
 _SAME = "e JOIN embeddings ea ON ea.vec_id=u JOIN embeddings eb ON eb.vec_id=v WHERE ea.label=eb.label"
 query("bloom_contains", f"WITH near AS (SELECT u, v FROM {_SAME}), b AS (SELECT DISTINCT pos FROM ({_POS}) JOIN near USING (u, v)) SELECT u, v, bool_and(b.pos IS NOT NULL) AS found FROM ({_POS}) q LEFT JOIN b ON b.pos=q.pos GROUP BY u, v")(lambda t: privacy.might_contain(t.edges, privacy.sketch(_same_label(t), SALT), SALT))
-query("bloom_density", f"SELECT count(DISTINCT pos)/8192.0::DOUBLE AS density FROM ({_POS})", ("density",))(lambda t: privacy.sketch(t.edges, SALT).agg((F.count("*") / 8192).alias("density")))
+query("bloom_density", f"SELECT count(DISTINCT pos)/8192.0::DOUBLE AS density FROM ({_POS})", ("density",))(lambda t: sketches.density(privacy.sketch(t.edges, SALT)))
 query("bloom_fpr", "SELECT pow(1-exp(-4*count(*)/8192.0::DOUBLE), 4) AS fpr FROM e", ("fpr",))(lambda t: t.edges.agg(F.pow(1 - F.exp(-4 * F.count("*") / 8192), F.lit(4.0)).alias("fpr")))
 query("privacy_ledger", "SELECT round, mean_eps, sum(mean_eps) OVER (ORDER BY round) AS cumulative_eps FROM rd", ("mean_eps", "cumulative_eps"))(lambda t: privacy.ledger(t.log))
 

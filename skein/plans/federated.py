@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.hashing import uniform, uniform_of
 from skein.functions.storage import scratch, written
-from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, train
+from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, sketches, train
 from skein.plans.catalog import _W, Fixtures, _gcn, _graph, _matrix, _record, _size, query  # noqa: F401
 from skein.sources import datasets, files
 from skein.streaming import round_log, run_totals
@@ -52,8 +52,8 @@ query("overlap_average", _CLIENTS + "SELECT gid, k, count(*) AS clients, avg(z)
 
 # Every client's sketch has a salt of its own.
 _BITS = "SELECT DISTINCT cid, (('0x'||substr(sha256(unhex(lpad(hex(i),8,'0'))||unhex(substr(sha256('salt|'||cid),1,32))||encode(least(u,v)||'-'||greatest(u,v))),1,16))::UBIGINT % 8192)::INT AS pos FROM ce, range(4) r(i)"
-query("bloom_encode", _CLIENTS + _BITS)(lambda t: privacy.bloom_encode(_clients(t).edges))
-query("bloom_merge", _CLIENTS + f"SELECT DISTINCT pos FROM ({_BITS})")(lambda t: privacy.bloom_encode(_clients(t).edges).select("pos").distinct())
+query("bloom_encode", _CLIENTS + _BITS)(lambda t: sketches.positions(privacy.bloom_encode(_clients(t).edges)))
+query("bloom_merge", _CLIENTS + f"SELECT DISTINCT pos FROM ({_BITS})")(lambda t: sketches.positions(sketches.merged(privacy.bloom_encode(_clients(t).edges))))
 query("sketch_stats", _CLIENTS + f"SELECT count(DISTINCT pos)/8192.0::DOUBLE AS density, pow(count(DISTINCT pos)/8192.0::DOUBLE, 4) AS est_fpr, count(DISTINCT cid) AS num_clients, 8192 AS m FROM ({_BITS})", ("density", "est_fpr"))(lambda t: privacy.sketch_stats(privacy.bloom_encode(_clients(t).edges)))
 
 # Attention: two heads of size four, then one of ten classes; weights made of hashes.

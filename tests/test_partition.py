@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.hashing import digest, uniform, uniform_of
-from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, train
+from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, sketches, train
 from skein.operators.ranks import hash_bucket, number_bucket, ranked
 from skein.sources import datasets, files
 
@@ -136,7 +136,8 @@ def test_noise_and_sketches_of_clients(spark):
     assert [(r["gid"], r["clients"]) for r in merged] == [(1, 2)] and merged[0]["z"] == pytest.approx(sum(both) / 2)
     same = spark.createDataFrame([(0, 5, 6), (1, 6, 5)], "cid long, u long, v long")
     bits = privacy.bloom_encode(same)
-    assert Counter(r["cid"] for r in bits.collect()) == {0: 4, 1: 4}  # other salts, other bits
+    assert {(r["cid"], len(r["bits"])) for r in bits.collect()} == {(0, 1024), (1, 1024)}
+    assert Counter(r["cid"] for r in sketches.positions(bits).collect()) == {0: 4, 1: 4}  # other salts, other bits
     stats = privacy.sketch_stats(bits).first()
     assert stats["density"] == pytest.approx(8 / 8192) and stats["est_fpr"] == pytest.approx((8 / 8192) ** 4) and stats["num_clients"] == 2
 

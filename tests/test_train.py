@@ -123,3 +123,63 @@ def test_graph_files(spark, tmp_path):
     assert [tuple(r) for r in files.gml_edges(spark, at("g.gml")).collect()] == [("0", "1"), ("1", "2")]
     assert {tuple(r) for r in files.gexf_edges(spark, at("g.gexf")).collect()} == {("a", "b"), ("b", "c")}
     assert [tuple(r) for r in files.adjacency_npy(spark, at("a.npy")).collect()] == [(0, 1)]
+
+
+def small_clients(spark):
+    rows = [(c, 10 * c + k, [float(k == j) for j in range(3)], k % 3, "train" if k < 6 else "val", k < 2) for c in range(3) for k in range(9)] + [(1, 0, [1.0, 0.0, 0.0], 0, "train", True)]
+    nodes = spark.createDataFrame(rows, "cid long, gid long, x array<double>, y int, split string, is_overlap boolean")
+    return nodes, spark.createDataFrame([(c, 10 * c + k, 10 * c + k + 1) for c in range(3) for k in range(8)], "cid long, u long, v long")
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("where", ["training", "between log and marker"])
+def test_a_stopped_run_goes_on_as_if_it_never_stopped(spark, tmp_path, monkeypatch, where):
+    nodes, edges = small_clients(spark)
+    cfg = train.Config(hidden=4, rounds=6, local_epochs=2, fraction=0.7)
+    whole = train.federated_run(nodes, edges, cfg)
+    store = sinks.RunStore(spark, f"file://{tmp_path}/run", "a")
+    store.log(spark.createDataFrame([(9, *[0.0] * 10)], train.LOG))  # of an older run; a new one starts anew
+    with monkeypatch.context() as m:
+        if where == "training":
+            real = train.client_updates
+
+            def client_updates(*args):
+                if args[-1] == 4:
+                    raise Stopped
+                return real(*args)
+
+            m.setattr(train, "client_updates", client_updates)
+        else:
+            log = sinks.RunStore.log
+
+            def stop(self, rows):
+                log(self, rows)
+                if rows.count() == 4:
+                    raise Stopped
+
+            m.setattr(sinks.RunStore, "log", stop)
+        with pytest.raises(Stopped):
+            train.federated_run(nodes, edges, cfg, store)
+    assert store.read_log().count() == (3 if where == "training" else 4)
+    again = sinks.RunStore(spark, f"file://{tmp_path}/run", "a")
+    assert again.committed()[0] == 3 and again.read_log().count() == 3
+    found = train.federated_run(nodes, edges, cfg, again, resume=True)
+    plain = lambda log: sorted(tuple(r)[:-1] for r in log.collect())  # noqa: E731 - without the seconds
+    assert found.weights.tolist() == pytest.approx(whole.weights.tolist(), rel=1e-12)
+    assert plain(found.log) == plain(whole.log) == plain(again.read_log())
+    assert sorted(map(tuple, found.merges.collect())) == sorted(map(tuple, whole.merges.collect()))
+    assert train.federated_run(nodes, edges, cfg, again, resume=True).weights.tolist() == found.weights.tolist()  # nothing is left to do
+    assert again._numbers(f"file://{tmp_path}/run/state/run=a") == [5, 6]
+
+
+def test_every_round_is_merged(spark):
+    nodes, edges = small_clients(spark)
+    found = train.federated_run(nodes, edges, train.Config(hidden=4, rounds=3, local_epochs=1))
+    merges = found.merges.orderBy("round").collect()
+    assert [r["round"] for r in merges] == [1, 2, 3] and {r["shared_nodes"] for r in merges} == {found.overlaps.count()} == {6}
+    assert all(r["sketches"] == 3 and 0 < r["density"] <= 3 * 8 * 4 / 8192 and r["est_fpr"] == pytest.approx(r["density"] ** 4) for r in merges)
+    silent = train.federated_run(nodes, edges, train.Config(hidden=4, rounds=1, local_epochs=1, noise=False, sketch=False)).merges.first()
+    assert tuple(silent) == (1, 0, None, None, 0)
