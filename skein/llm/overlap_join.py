@@ -38,7 +38,7 @@ WORDS, SIMILAR = 5, (80, 100)
 #: The cost of probing a long list against that of merging a short one.
 MU = 0.01
 #: Rows of a group, and shingles for a hash bucket, about; postings for a bucket of the search; members of a list that one task searches.
-GROUP_ROWS, BUCKET_SHINGLES, BUCKET_POSTS, LIST_PART = 256, 4_000_000, 200_000, 20_000
+GROUP_ROWS, BUCKET_SHINGLES, BUCKET_POSTS, LIST_PART = 256, 2_000_000, 200_000, 20_000
 TURNS = 2
 
 
