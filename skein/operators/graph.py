@@ -10,7 +10,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.ranks import hash_bucket, number_bucket, ranked, text_bucket
+from skein.functions.storage import sized_join, written
+from skein.operators.ranks import number_bucket, ranked, text_bucket
+from skein.operators.thresholds import before, boundaries, first_rows
 
 
 def undirected_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,7 +25,7 @@ def node_set(edges: DataFrame) -> DataFrame:
 
 def node_index(nodes: DataFrame) -> DataFrame:
     """id (a number or a text) and its rank from 0."""
-    bucket = text_bucket("id") if nodes.schema["id"].dataType.typeName() == "string" else number_bucket(nodes, "id")
+    bucket = text_bucket(nodes, "id") if nodes.schema["id"].dataType.typeName() == "string" else number_bucket(nodes, "id")
     return ranked(nodes.select("id"), [F.col("id")], [bucket], name="idx")
 
 
@@ -78,11 +80,12 @@ def multiply(x: DataFrame, weights: list[list[float]]) -> DataFrame:
 
 
 def label_propagation(adj: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """id, label after so many synchronous rounds; the most frequent neighbour label wins, then the least."""
+    """id, label after so many synchronous rounds; the most frequent neighbour label wins, then the least. Ids may be
+    of any type that has an order."""
     labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         votes = adj.join(labels.select(F.col("id").alias("j"), "label"), "j").groupBy("i", "label").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("i").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")).withColumnRenamed("i", "id")
+        labels = votes.groupBy("i").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).withColumnRenamed("i", "id")
     return labels
 
 
@@ -101,30 +104,36 @@ def local_ids(membership: DataFrame) -> DataFrame:
 def community_clients(labels: DataFrame, clients: int) -> DataFrame:
     """Communities from large to small go to the clients in turn: gid, cid."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    rank = ranked(sizes, [F.desc("n"), F.col("label")], [-F.col("n"), number_bucket(sizes, "label")])
+    bucket = text_bucket(sizes, "label") if sizes.schema["label"].dataType.typeName() == "string" else number_bucket(sizes, "label")
+    rank = ranked(sizes, [F.desc("n"), F.col("label")], [-F.col("n"), bucket])
     return labels.join(rank.select("label", (F.col("rank") % clients).cast("int").alias("cid")), "label").select(F.col("id").alias("gid"), "cid")
 
 
 def equal_clients(membership: DataFrame, clients: int, by: Column) -> DataFrame:
     """gid and cid: in the order of the digests ``by``, chunks of one size; the last client takes the rest."""
-    rank = ranked(membership.select("gid", by.alias("_by")), [F.col("_by"), F.col("gid")], [hash_bucket(F.col("_by"))])
-    size = max(1, membership.count() // clients)
-    return rank.select("gid", F.least(F.floor(F.col("rank") / size), F.lit(clients - 1)).cast("int").alias("cid"))
+    by, size = by.cast("string"), max(1, membership.count() // clients)
+    ranks = membership.sparkSession.range(1, clients).select((F.col("id") * size).alias("r"))
+    edges = boundaries(membership.select(by.alias("by"), F.col("gid").alias("key")), ranks).agg(F.collect_list(F.struct("by", "key")).alias("_edges"))  # one row of ``clients`` edges
+    passed = F.filter("_edges", lambda e: ~before(by, F.col("gid"), e["by"], e["key"]))
+    return membership.join(F.broadcast(edges)).select("gid", F.size(passed).alias("cid"))
 
 
 def split_masks(membership: DataFrame, by: Column) -> DataFrame:
     """cid, gid, split: 60 % train, 20 % val (both rounded down), the rest test, in the order of the digests ``by``."""
-    rank = ranked(membership.select("cid", "gid", by.alias("_by")), [F.col("_by"), F.col("gid")], [hash_bucket(F.col("_by"))], ("cid",))
-    sizes = membership.groupBy("cid").agg(F.count("*").alias("n"))  # one row a client
+    by, sizes = by.cast("string"), membership.groupBy("cid").agg(F.count("*").alias("n"))  # one row a client
     train, val = F.floor(F.lit(0.6) * F.col("n")), F.floor(F.lit(0.2) * F.col("n"))
-    split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + val, "val").otherwise("test")
-    return rank.join(F.broadcast(sizes), "cid").select("cid", "gid", split.alias("split"))
+    ranks = written(sizes.select("cid", train.alias("train"), (train + val).alias("val")), "splits")
+    edges = boundaries(membership.select("cid", by.alias("by"), F.col("gid").alias("key")), ranks.select("cid", F.explode(F.array_distinct(F.array("train", "val"))).alias("r")), ("cid",))
+    edge = edges.select("cid", "r", F.struct("by", "key").alias("e"))
+    both = ranks.join(edge.withColumnsRenamed({"r": "train", "e": "t"}), ["cid", "train"], "left").join(edge.withColumnsRenamed({"r": "val", "e": "v"}), ["cid", "val"], "left").select("cid", "t", "v")
+    inside = lambda e: before(by, F.col("gid"), F.col(f"{e}.by"), F.col(f"{e}.key"))
+    split = F.when(inside("t"), "train").when(inside("v"), "val").otherwise("test")
+    return sized_join(membership, both, ["cid"]).select("cid", "gid", split.alias("split"))
 
 
 def sampled(rows: DataFrame, rate: float, by: Column, key: str = "gid") -> DataFrame:
     """Exactly int(count x rate) rows: those of least digest ``by``."""
-    rank = ranked(rows.select("*", by.alias("_by")), [F.col("_by"), F.col(key)], [hash_bucket(F.col("_by"))])
-    return rank.where(F.col("rank") < int(rows.count() * rate)).drop("_by", "rank")
+    return first_rows(rows, int(rows.count() * rate), by.cast("string"), key)
 
 
 def second_client(pool: DataFrame, clients: int, pick: Column) -> DataFrame:

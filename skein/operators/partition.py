@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skein.functions.hashing import digest, uniform
 from skein.functions.storage import written
 from skein.operators import generate, graph
+from skein.operators.modularity import modularity_communities
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ def spread_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.label_propagation(graph.adjacency(edges, nodes), nodes, 5)
 
 
-#: Ways to find communities: the scalable one, and the exact one for graphs that fit one task.
-COMMUNITIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"labels": spread_labels, "greedy": generate.greedy_communities}
+#: Ways to find communities: two for graphs of any size, and the exact greedy one for graphs that fit one task.
+COMMUNITIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"labels": spread_labels, "greedy": generate.greedy_communities, "modularity": modularity_communities}
 
 
 def assigned(labels: DataFrame, clients: int, rate: float, seed: str) -> DataFrame:

@@ -28,9 +28,27 @@ def number_bucket(rows: DataFrame, column: str, parts: int = 64) -> Column:
     return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(known, lambda b: b < F.col(column))))
 
 
-def text_bucket(column: str) -> Column:
-    """Buckets by the first two bytes of a text, in its order, nulls first."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("int"), F.lit(-1))
+#: Texts that are sampled at most (about twice as many in bad luck) to find splitters, and rows for a bucket.
+SAMPLED, BUCKET_ROWS, MOST_BUCKETS = 20_000, 100_000, 1024
+
+
+def text_bucket(rows: DataFrame, column: str, parts: int | None = None) -> Column:
+    """About ``parts`` buckets (by default one for BUCKET_ROWS rows, 64 at least) of equal share in the order of a text
+    column, nulls first, whatever prefix the texts share. Splitters come from a sample by hash of bounded size; any
+    splitters give the same ranks."""
+    total = rows.count()
+    parts = parts or min(MOST_BUCKETS, max(64, total // BUCKET_ROWS))
+    share = min(1.0, SAMPLED / max(total, 1))
+    some = rows.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = sorted(r[0].encode() for r in some.where(F.col(column).isNotNull()).select(column).collect())  # SAMPLED, about
+    splitters = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
+    if not splitters:
+        return F.when(F.col(column).isNull(), -1).otherwise(0)
+    known = F.array(*[F.lit(x.decode()) for x in splitters])
+    # Halving, as the splitters are in order: about ten comparisons a row.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splitters).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= len(splitters)) & (F.element_at(known, F.least(low + step, F.lit(len(splitters)))) < F.col(column)), low + step).otherwise(low))
+    return F.when(F.col(column).isNull(), -1).otherwise(at)
 
 
 def ranked(rows: DataFrame, order: list[Column], buckets: list[Column], group: tuple[str, ...] = (), name: str = "rank") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.hashing import digest, sketch_positions, uniform, uniform_of
 from skein.functions.storage import written
-from skein.operators import federate, generate, gnn, graph, learn, logs, partition, privacy, sketches, train
+from skein.operators import federate, generate, gnn, graph, learn, logs, modularity, partition, privacy, sketches, train
 from skein.sources import datasets
 
 SALT = bytes(16)
@@ -321,6 +321,7 @@ query("client_sampling", "SELECT cid FROM (SELECT DISTINCT cid FROM lg) ORDER BY
 # network a weight, so its query has few weights.
 _DEFAULT = train.Config()
 query("communities_greedy")(lambda t: generate.greedy_communities(t.edges, t.nodes))
+query("communities_modularity")(lambda t: modularity.modularity_communities(t.edges, t.nodes))
 query("ba_graph", doubles=())(lambda t: generate.preferential_graph(t.nodes.sparkSession, 1000))
 query("block_features", doubles=("x",))(lambda t: generate.block_features(t.labels.select("id", F.col("label").alias("y")), 64, 10))
 
