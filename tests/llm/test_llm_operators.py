@@ -570,7 +570,7 @@ def test_style_importance_by_hand(spark):
             total = sum(layouts[node].values())
             layout = -sum(c / total * np.log(c / total) for c in layouts[node].values()) / np.log(m)
             share = site_style.GAMMA ** len(layouts[node])
-            want[node] = (site_style.NAMED if n.noise else 1) * ((1 - share) * layout + share * content)
+            want[node] = site_style.FACTORS[n.level] * ((1 - share) * layout + share * content)
     found = {r["node"]: r["importance"] for r in rows(site_style.importance(site_style._counted(frame)))}
     assert found == pytest.approx(want) and any(v < site_style.LOW for v in want.values())
 
