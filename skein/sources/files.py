@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.ranks import number_bucket, ranked
+from skein.operators.ranks import ranked
 
 
 def id_kind(spark: SparkSession, path: str) -> str:
@@ -58,11 +58,21 @@ def dense_vectors(spark: SparkSession, path: str, node: str | None = None, kind:
     return rows.select(_column(node).cast(kind).alias("id"), F.array(*[_column(c).cast("double") for c in rows.columns if c != node]).alias("x"))
 
 
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """rows of a scan with their place from 0: by path, split and line. Spark reads the splits of a folder in any order,
+    but lines of one split in theirs; a split counts its rows, and only the splits (one row each) are put in a line."""
+    own = rows.columns
+    read = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    sizes = read.groupBy("_path", "_start").agg(F.count("*").alias("_n"))
+    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    inside = read.withColumn("_inside", F.row_number().over(Window.partitionBy("_path", "_start").orderBy("_line")))
+    return inside.join(first, ["_path", "_start"]).select(*own, (F.col("_first") + F.col("_inside") - 1).cast("long").alias(name))
+
+
 def positional(spark: SparkSession, path: str, value, name: str) -> DataFrame:
     """id (the row's place in the file, from 0) and a value made of its columns."""
     rows = spark.read.option("header", True).csv(path)
-    placed = rows.select(value(rows.columns).alias(name), F.monotonically_increasing_id().alias("_at"))
-    return ranked(placed, [F.col("_at")], [number_bucket(placed, "_at")], name="id").select("id", name)
+    return in_file_order(rows, "_id").select(F.col("_id").alias("id"), value(rows.columns).alias(name))
 
 
 def adjacency_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -79,13 +89,22 @@ def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """at (the node's place), id and attrs (name to text), by the names that the file's keys declare."""
-    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path)
-    names = {r["_id"]: r["_attr.name"] for r in keys.collect() if r["_id"] and r["_for"] in (None, "node", "all")}  # as many as the header declares
+    """at (the node's place), id and attrs (name to text), by the names that the file's keys declare; a node without
+    data for a key has the key's default, if there is one."""
+    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string, default string").load(path)
+    declared = {r["_id"]: (r["_attr.name"], r["default"]) for r in keys.collect() if r["_id"] and r["_attr.name"] and r["_for"] in (None, "node", "all")}  # as many as the header declares
     rows = spark.read.format("xml").option("rowTag", "node").schema("_id string, data array<struct<_key string, _VALUE string>>").load(path)
-    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
-    attrs = F.map_from_entries(F.transform(F.filter(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.try_element_at(known, d["_key"]).isNotNull()), lambda d: F.struct(F.try_element_at(known, d["_key"]), d["_VALUE"])))
-    return rows.select(F.monotonically_increasing_id().alias("at"), F.col("_id").alias("id"), attrs.alias("attrs"))
+    data = F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>"))
+    values = {}
+
+    def of(key: str):
+        return F.try_element_at(F.filter(data, lambda d: d["_key"] == key), F.lit(-1))["_VALUE"]
+
+    for key, (name, default) in declared.items():
+        own = of(key)
+        values[name] = F.coalesce(own, F.lit(default), *([values[name]] if name in values else []))
+    held = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in values.items()]), lambda e: e["v"].isNotNull()) if values else F.array().cast("array<struct<k:string,v:string>>")
+    return in_file_order(rows, "at").select("at", F.col("_id").alias("id"), F.map_from_entries(held).alias("attrs"))
 
 
 def gexf_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -100,25 +119,61 @@ def gexf_nodes(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "node").schema("_id string, attvalues struct<attvalue array<struct<_for string, _value string>>>").load(path)
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
     held = F.filter(F.coalesce("attvalues.attvalue", F.array().cast("array<struct<_for:string,_value:string>>")), lambda d: F.try_element_at(known, d["_for"]).isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("at"), F.col("_id").alias("id"), F.map_from_entries(F.transform(held, lambda d: F.struct(F.try_element_at(known, d["_for"]), d["_value"]))).alias("attrs"))
+    return in_file_order(rows, "at").select("at", F.col("_id").alias("id"), F.map_from_entries(F.transform(held, lambda d: F.struct(F.try_element_at(known, d["_for"]), d["_value"]))).alias("attrs"))
+
+
+def _gml(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """at and of: the keys and plain values (k, v, in order) of every ``kind [ ... ]`` inside the graph's brackets.
+
+    A file is read in splits. A split adds up the brackets in it and passes on its last token; from those of the
+    splits before (a row each) it has the depth that it starts at and the token before it. Values in brackets
+    (``graphics [ ... ]``) are left out, and what is in them isn't taken for the record's own. A quoted text ends
+    in its line; a line that starts with # is none."""
+    read = spark.read.text(path).where("not value rlike '^[ \\t]*#'")
+    lines = read.select("value", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("split"), F.monotonically_increasing_id().alias("line"))
+    tokens = lines.select("split", "line", F.posexplode(F.regexp_extract_all("value", F.lit(r"\"[^\"]*\"?|\[|\]|[^\s\[\]\"]+"), 0)).alias("place", "token"))
+    step = F.when(F.col("token") == "[", 1).when(F.col("token") == "]", -1).otherwise(0)
+    tokens = tokens.select("split", F.struct("line", "place").alias("order"), "token", step.alias("step"))
+    before = Window.partitionBy("split.path").orderBy("split.start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+
+    def starts(per: DataFrame, value: str, name: str) -> DataFrame:
+        return per.select("split", F.coalesce(F.sum(value).over(before), F.lit(0)).alias(name), *([F.last("last", True).over(before).alias("last")] if "last" in per.columns else []))
+
+    ends = starts(tokens.groupBy("split").agg(F.sum("step").alias("sum"), F.max_by("token", "order").alias("last")), "sum", "base")
+    inside = Window.partitionBy("split").orderBy("order")
+    deep = tokens.join(ends, "split").withColumn("depth", F.col("base") + F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    deep = deep.withColumn("previous", F.coalesce(F.lag("token").over(inside), "last"))
+    opens = (F.col("step") == 1) & (F.col("depth") == 2)
+    deep = deep.withColumn("new", opens.cast("int"))
+    counts = starts(deep.groupBy("split").agg(F.sum("new").alias("n")), "n", "first")
+    numbered = deep.join(counts, "split").withColumn("record", F.col("first") + F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # Of a record: its opening with the name before it, then keys and values at its own depth; a bracket stands for its value.
+    own = numbered.where(opens | (F.col("depth") == 2) & (F.col("step") == 0) | (F.col("depth") == 3) & (F.col("step") == 1))
+    name = F.when(opens, F.lower("previous"))
+    held = own.groupBy("split.path", "record").agg(F.max(name).alias("name"), F.array_sort(F.collect_list(F.when(~opens, F.struct(F.col("split.start").alias("start"), "order", "token")))).alias("items"))
+    flat = F.col("items.token")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), lambda i: F.struct(F.get(flat, 2 * i).alias("k"), F.trim(F.get(flat, 2 * i + 1), F.lit('"')).alias("v"), F.get(flat, 2 * i + 1).alias("raw")))
+    of = F.when(F.size(flat) >= 2, F.filter(pairs, lambda p: p["raw"] != "[")).otherwise(F.filter(pairs, lambda p: F.lit(False)))
+    found = held.where(F.col("name") == kind).select("path", "record", of.alias("of"))
+    return found.select(F.struct("path", "record").alias("at"), F.transform("of", lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))).alias("of"))
+
+
+def _first(of: str, key: str):
+    return F.try_element_at(F.filter(of, lambda p: p["k"] == key), F.lit(1))["v"]
 
 
 def gml_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """at, id and attrs (key to text) of every ``node [ ... ]``."""
-    node = r"(?s)\bnode\s*\[([^\]]*)\]"
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(node), 1)).alias("at", "n"))
-    pair = r"(\w+)\s+(\"[^\"]*\"|[^\s\"]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all("n", F.lit(pair), 1).alias("k"), F.transform(F.regexp_extract_all("n", F.lit(pair), 2), lambda v: F.trim(v, F.lit('"'))).alias("v"))
-    own = F.filter(pairs, lambda p: p["k"] != "id")
-    return rows.select(F.col("at").cast("long").alias("at"), F.regexp_extract("n", r'\bid\s+"?([^\s"]+)', 1).alias("id"), F.map_from_entries(own).alias("attrs"))
+    """at (the node's place), id and attrs (key to text, the first of equal keys) of every ``node [ ... ]``."""
+    rows = _gml(spark, path, "node")
+    keys = F.array_distinct(F.transform(F.filter("of", lambda p: p["k"] != "id"), lambda p: p["k"]))
+    attrs = F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter("of", lambda p: p["k"] == k), F.lit(1))["v"]))
+    placed = ranked(rows.select("at", _first("of", "id").alias("id"), attrs.alias("attrs")), [F.col("at")], [F.col("at.path"), F.floor(F.col("at.record") / 100_000)], name="place")
+    return placed.select(F.col("place").alias("at"), "id", "attrs")
 
 
 def gml_edges(spark: SparkSession, path: str) -> DataFrame:
     """The ends of every ``edge [ ... ]``: source, target."""
-    edge = r"(?s)\bedge\s*\[([^\]]*)\]"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(edge), 1)).alias("e"))
-    end = lambda name: F.regexp_extract("e", rf'\b{name}\s+"?([^\s"]+)', 1).alias(name)
-    return rows.select(end("source"), end("target"))
+    return _gml(spark, path, "edge").select(_first("of", "source").alias("source"), _first("of", "target").alias("target"))
 
 
 def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
