@@ -45,13 +45,13 @@ LONGEST = 200
 LEAST_BITS = 12
 #: Symbols learnt or scored at once, at most.
 BATCH = 30_000
-#: After so many symbols of a task every fourth batch is predicted and moves the weights, all are counted.
-WARM = 1 << 20
 #: Symbols and words for one learning task, at least about so many if there are as many as cores.
 TASK_SYMBOLS, TASK_WORDS = 20_000_000, 1_000_000
-#: Words that a counting task holds before it passes them on.
+#: Words that a counting task holds before it passes them on, and words whose symbols a task remembers.
 KEPT_WORDS = 300_000
 BLOCK = 1 << 16
+#: Tasks that add up the parts of one block side by side.
+MERGED = 16
 CELLS, DEPTHS = 24, 16
 PRIOR = np.float32(0.2)
 #: A step of the weights, and the weight of what they were.
@@ -128,7 +128,7 @@ class Mixer:
     def start(self) -> None:
         """Empty tables to learn with, and the sums that make weights in the end."""
         self.tables = [np.zeros(2 << b, np.float32) for b in self.bits]
-        self.mass, self.done, self.turn = np.zeros(self.n_gates), 0, 0
+        self.mass = np.zeros(self.n_gates)
 
     @staticmethod
     def _slots(contexts: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
@@ -153,8 +153,6 @@ class Mixer:
         """Predicts a batch from what was learnt before it, lets the weights take a step, then counts its bits."""
         order, active = self._order(symbols)
         symbols, contexts = symbols[order], [c[order] for c in contexts]
-        self.turn, self.done = self.turn + 1, self.done + len(symbols)
-        predict = self.done <= WARM or self.turn % 4 == 0
         slope, bend, mass = np.zeros((self.k, self.n_gates)), np.zeros((self.k, self.n_gates)), np.zeros(self.n_gates)
         later = []
         for level, n in enumerate(active):
@@ -162,8 +160,6 @@ class Mixer:
             bit, place = step & np.uint32(1), step >> np.uint32(1)
             places = [self._slots(context[:n], place, bits) for context, bits in zip(contexts, self.bits, strict=True)]
             later.append((places, bit))
-            if not predict:
-                continue
             odds, gate = [self.code.odds.take(place.astype(np.int64))], np.zeros(n, np.uint32)
             for table, at, most in zip(self.tables, places, self.gates, strict=True):
                 both = table.view(np.complex64).take(at.astype(np.int64))
@@ -174,14 +170,13 @@ class Mixer:
             z = self._mixed(odds, gate)
             p = 1 / (1 + np.exp(-z))
             wrong, sure = bit.astype(np.float32) - p, np.maximum(p * (1 - p), np.float32(0.01))
-            np.add.at(self.refine, 2 * self._cells(z, level) + bit, 1.0)
+            self.refine += np.bincount(2 * self._cells(z, level) + bit, minlength=len(self.refine))
             mass += np.bincount(gate, minlength=self.n_gates)
             for k, o in enumerate(odds):
                 slope[k] += np.bincount(gate, wrong * o, self.n_gates)
                 bend[k] += np.bincount(gate, sure * o * o, self.n_gates)
-        if predict:
-            self.weights += (RATE * slope / (bend + STIFF)).astype(np.float32)
-            self.mass += mass
+        self.weights += (RATE * slope / (bend + STIFF)).astype(np.float32)
+        self.mass += mass
         for places, bit in later:
             for table, at in zip(self.tables, places, strict=True):
                 np.add.at(table, (at * np.uint32(2) + bit).astype(np.int64), np.float32(1))
@@ -239,6 +234,36 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
+class _Places(dict):
+    """word -> place; words that it doesn't know get the places after those, until they are forgotten."""
+
+    def __missing__(self, word: bytes) -> int:
+        if not hasattr(self, "others"):
+            self.others: list[bytes] = []
+        self.others.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def forget(self) -> list[bytes]:
+        """The words that were met since the last time, in the order of their places."""
+        found, self.others = getattr(self, "others", []), []
+        for word in found:
+            del self[word]
+        return found
+
+
+class _SymbolOf(dict):
+    def __init__(self, symbols: Symbols):
+        super().__init__(symbols.heads)
+        self.n_heads = symbols.n_heads
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.n_heads + word[0]
+        if len(self) < KEPT_WORDS:
+            self[word] = found
+        return found
+
+
 class Symbols:
     """Frequent words (from most to least frequent, the end among them) and the 256 first bytes of others."""
 
@@ -246,10 +271,22 @@ class Symbols:
         self.heads = {w: i for i, w in enumerate(heads)}
         self.n_heads, self.end = len(heads), self.heads[b""]
 
+    def remembered(self) -> _SymbolOf:
+        """word -> symbol for one task."""
+        return _SymbolOf(self)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         get, n = self.heads.get, self.n_heads
         return np.array([s if (s := get(w)) is not None else n + w[0] for w in words], np.int64)
 
+    def of_texts(self, texts: list[bytes], known: _SymbolOf) -> np.ndarray:
+        """Symbols of whole texts, each closed by an end."""
+        parts, end = [], np.array([self.end])
+        for text in texts:
+            words = text.lower().split()
+            parts += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), end]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
     def contexts(self, symbols: np.ndarray) -> list[np.ndarray]:
         """For every token of whole texts (each closed by an end): the last and the last two of the most frequent
         words, the word before, the two words before."""
@@ -332,23 +369,42 @@ def _rows(docs: DataFrame, mod: int, held: int) -> DataFrame:
 def _summed(parts: DataFrame, mixer: Mixer) -> None:
     """Adds up what tasks learnt (block, used, n; block -1 the sums) and settles the mixer."""
 
-    def total(table):
+    def add(batches):
+        """Running sums of the parts of each block, one part at a time."""
         import pyarrow as pa
 
-        block = table.column("block")[0].as_py()
-        n = np.zeros(BLOCK if block >= 0 else 1 + max(int(np.frombuffer(zlib.decompress(u), "<u4")[-1]) for u in table.column("used").to_pylist()))
-        for used, part in zip(table.column("used").to_pylist(), table.column("n").to_pylist(), strict=True):
-            n[np.frombuffer(zlib.decompress(used), "<u4")] += np.frombuffer(zlib.decompress(part), "<f8")
-        return pa.table({"block": [block], "n": [n.astype("<f4" if block >= 0 else "<f8").tobytes()]}, schema=pa.schema([("block", pa.int32()), ("n", pa.binary())]))
+        def out(last, n):
+            used = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([zlib.compress(used.astype("<u4").tobytes(), 1)]), pa.array([zlib.compress(n[used].astype("<f8").tobytes(), 1)])], names=["block", "used", "n"])
+
+        last, n = None, np.zeros(0)
+        for batch in batches:
+            for block, used, part in zip(*(batch.column(c).to_pylist() for c in ("block", "used", "n")), strict=True):
+                if block != last:
+                    if last is not None:
+                        yield out(last, n)
+                    last, n = block, np.zeros(BLOCK)
+                at = np.frombuffer(zlib.decompress(used), "<u4")
+                if at[-1] >= len(n):
+                    n = np.pad(n, (0, int(at[-1]) + 1 - len(n)))
+                n[at] += np.frombuffer(zlib.decompress(part), "<f8")
+        if last is not None:
+            yield out(last, n)
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        tasks = rows.sparkSession.sparkContext.defaultParallelism
+        return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).select("block", "used", "n").mapInArrow(add, _PARTS)
 
     size = sum(2 << b for b in mixer.bits)
     tables, sums = np.zeros(-(-size // BLOCK) * BLOCK, np.float32), np.zeros(mixer.n_gates * (1 + mixer.k) + 2 * CELLS * DEPTHS)
-    for r in parts.groupBy("block").applyInArrow(total, "block int, n binary").toLocalIterator():  # as many as the tables have blocks
+    # First the parts of some tasks each, then what came of those; a block's parts are added up by several tasks.
+    some = parts.withColumn("some", F.spark_partition_id() % MERGED)
+    for r in summed(summed(some, "block", "some"), "block").toLocalIterator():  # as many as the tables have blocks
+        used, found = np.frombuffer(zlib.decompress(r["used"]), "<u4"), np.frombuffer(zlib.decompress(r["n"]), "<f8")
         if r["block"] < 0:
-            found = np.frombuffer(r["n"], "<f8")
-            sums[: len(found)] = found
+            sums[used] = found
         else:
-            tables[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], "<f4")
+            tables[r["block"] * BLOCK + used.astype(np.int64)] = found
     mixer.settle(tables[:size], sums)
 
 
@@ -395,10 +451,9 @@ def _train_symbols(rows: DataFrame, symbols: Symbols, counts: np.ndarray, n_toke
         from skein.llm.tokens import slices
 
         mixer.start()
-        done = 0
+        done, known = 0, symbols.remembered()
         for part in slices(batches, 1_000_000):
-            words, _, word = tokens([t or b"" for t in part.column("text").to_pylist()])
-            found = symbols.of(words)[word]
+            found = symbols.of_texts([t or b"" for t in part.column("text").to_pylist()], known)
             contexts, at = symbols.contexts(found), 0
             while at < len(found):
                 size = min(BATCH, 1000 + done // 20)  # many small steps first
@@ -428,7 +483,8 @@ def _byte_counts(words: DataFrame) -> np.ndarray:
 
 
 def scored(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, total_bits and bits_per_byte (null for an
+    empty text) of every document."""
     with scope(docs.sparkSession) as keep:
         n, judged, scores = _scored(docs, mod, held)
         keep(judged), keep(scores)
@@ -436,8 +492,9 @@ def scored(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
     tail = scores.select("row", F.explode("tail").alias("e")).select("row", "e.*").join(judged.where("not listed").hint("shuffle_hash"), "word")
     tail = tail.select("row", F.when(F.col("known"), F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("base") * F.col("times")).alias("base_score"), (F.col("s") * F.col("times")).alias("score"))
     parts = scores.drop("tail").unionByName(tail, allowMissingColumns=True)
-    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    total_bits = -F.col("score") * float(np.log2(10))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", total_bits.alias("total_bits"), F.when(F.col("n_bytes") > 0, total_bits / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def _scored(docs: DataFrame, mod: int, held: int) -> tuple[int, DataFrame, DataFrame]:
@@ -486,29 +543,37 @@ def _scored(docs: DataFrame, mod: int, held: int) -> tuple[int, DataFrame, DataF
     listed = judged.where("listed").drop("listed").toArrow()  # at most LISTED rows
     words = listed.column("word").to_pylist()
     table = np.stack([listed.column(c).to_numpy().astype(float) for c in ("known", "base", "s")], axis=1).reshape(-1, 3)
-    shared = sc.broadcast((mixer, dict(zip(words, range(len(words)), strict=True)), table))
+    shared = sc.broadcast((mixer, _Places(zip(words, range(len(words)), strict=True)), table, symbols.of(words)))
 
     def add(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         from skein.llm.tokens import slices
 
-        model, index, known = shared.value
+        model, index, known, listed_as = shared.value
+        n_listed, tail = len(known), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
         known = np.vstack([known, np.zeros((1, 3))])
-        tail = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
         for part in slices(batches, 2_000_000):
-            found, text, word = tokens([t or b"" for t in part.column("text").to_pylist()])
-            m = part.num_rows
-            at = np.array([index.get(w, -1) for w in found], np.int64)[word]
+            m, flat, sizes = part.num_rows, [], np.zeros(part.num_rows, np.int64)
+            for i, t in enumerate(part.column("text").to_pylist()):
+                found = (t or b"").lower().split()
+                found.append(b"")
+                sizes[i] = len(found)
+                flat.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
+            word, text, others = np.concatenate(flat), np.repeat(np.arange(m), sizes), index.forget()
+            at = np.minimum(word, n_listed)
             sums = [np.bincount(text, known[at, k], m) for k in range(3)]
-            own = symbols.of(found)[word]
+            own = np.concatenate([listed_as, symbols.of(others)])[word]
             sums[2] += np.bincount(text, model.log2p(own, symbols.contexts(own)), m) * np.log10(2)
-            rare = np.flatnonzero(at < 0)
-            keys, times = np.unique(text[rare] * len(found) + word[rare], return_counts=True)
-            rests = pa.StructArray.from_arrays([pa.array([found[i] for i in keys % len(found)], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
-            ends = np.searchsorted(keys // len(found), np.arange(m + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(text, minlength=m)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rests).cast(tail)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
-
-    scores = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(add, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word binary, times long>>"), "scores")
+            rare = np.flatnonzero(word >= n_listed)
+            lengths, size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64()), max(len(others), 1)
+            keys, times = np.unique(text[rare] * size + word[rare] - n_listed, return_counts=True)
+            names = pa.array(others, pa.binary()).take(pa.array(keys % size))
+            rests = pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], names=["word", "times"])
+            ends = np.searchsorted(keys // size, np.arange(m + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(sizes), lengths, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rests).cast(tail)], names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score", "tail"])
+
+    scores = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(add, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, tail array<struct<word binary, times long>>"), "scores")
     shared.destroy()
     return n, judged, scores
