@@ -75,9 +75,24 @@ def gcn_forward(a_hat: DataFrame, x: DataFrame, w0: Matrix, w1: Matrix) -> DataF
 
 
 def _outer(rows: DataFrame, name: str) -> DataFrame:
-    """matrix, r, c, g: the sum over rows (a, b) of the products of a's and b's places."""
-    products = rows.select(F.posexplode("a").alias("r", "x"), "b").select("r", "x", F.posexplode("b").alias("c", "y"))
-    return products.groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("g")).select(F.lit(name).alias("matrix"), "r", "c", "g")
+    """matrix, r, c, g: the sum over rows (a, b) of the products of a's and b's places. A task multiplies its rows as
+    matrices, so it passes on one product."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("a", "b"))
+                total = a.T @ b if total is None else total + a.T @ b
+        if total is not None:
+            r, c = (x.ravel() for x in np.indices(total.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total.ravel())], names=["r", "c", "g"])
+
+    products = rows.select("a", "b").mapInArrow(run, "r int, c int, g double")
+    return products.groupBy("r", "c").agg(F.sum("g").alias("g")).select(F.lit(name).alias("matrix"), "r", "c", "g")
 
 
 def clipped(gradient: DataFrame, most: float = 1.0) -> DataFrame:

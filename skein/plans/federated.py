@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.hashing import uniform, uniform_of
 from skein.functions.storage import scratch, written
-from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, sketches, train
+from skein.operators import federate, gnn, graph, learn, logs, partition, privacy, sketches, train, whole_graph
 from skein.plans.catalog import _W, Fixtures, _gcn, _graph, _matrix, _record, _size, query  # noqa: F401
 from skein.sources import datasets, files
 from skein.streaming import round_log, run_totals
@@ -110,6 +110,16 @@ def _gradient(t: Fixtures) -> DataFrame:
 
 
 query("gcn_gradient", _GRADIENT + "SELECT matrix, r, c, g FROM gr", ("g",))(_gradient)
+
+
+def _trained_whole(t: Fixtures) -> DataFrame:
+    """The loss before each of three steps on the whole embedding graph and after the last; three of four nodes train."""
+    labels = t.labels.select("id", F.col("label").alias("y"), (F.col("id") % 4 != 0).alias("train"))
+    found = whole_graph.train_gcn(t.a_hat, t.v, labels, train.Config(hidden=8, rate=0.5, masked=True), 10, 3)
+    return t.nodes.sparkSession.createDataFrame(list(enumerate(found.losses)), "epoch int, loss double")
+
+
+query("gcn_train_whole", doubles=("loss",))(_trained_whole)
 query("grad_clip", _GRADIENT + "SELECT matrix, r, c, g*CASE WHEN norm>1 THEN 1/norm ELSE 1 END AS g FROM gr JOIN (SELECT matrix, sqrt(sum(g*g)) norm FROM gr GROUP BY matrix) USING (matrix)", ("g",))(lambda t: gnn.clipped(_gradient(t)))
 
 # A vector of 64 as two matrices of 8 x 4, one after the other in order of their names.
