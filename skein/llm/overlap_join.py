@@ -90,6 +90,41 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _answered(batches):
+    """The answers of a task. Its rows come bucket by bucket, and by chance several buckets have one task: it holds
+    one of them at a time, so that its memory doesn't grow with their number."""
+    bucket, asked = None, []
+    for batch in batches:
+        for name, *row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "group", "h", "n")], strict=True):
+            if name != bucket and asked:
+                yield from _counted(asked)
+                asked = []
+            bucket = name
+            asked.append(row)
+    if asked:
+        yield from _counted(asked)
+
+
+def _counted(asked: list[list]):
+    """group, h and n of what the groups ask for in one bucket, as far as several documents have it."""
+    import pyarrow as pa
+
+    parts = [_unpacked(x[1]) for x in asked]
+    h, n = np.concatenate(parts), np.frombuffer(b"".join(x[2] for x in asked), np.uint8)
+    found, number = np.unique(h, return_inverse=True)
+    total = np.bincount(number, n, len(found)).astype(np.int64)
+    several, at = total > 1, 0
+    for first in range(0, len(asked), 1000):
+        groups, hashes, counts = [], [], []
+        for (g, _, _), part in zip(asked[first : first + 1000], parts[first : first + 1000], strict=True):
+            mine = number[at : at + len(part)]
+            at += len(mine)
+            mine = mine[several[mine]]
+            if len(mine):
+                groups.append(g), hashes.append(_packed(found[mine])), counts.append(np.ascontiguousarray(np.minimum(total[mine], 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["group", "h", "n"])
+
+
 def _shared(rows: DataFrame, bits: int, buckets: int) -> DataFrame:
     """group, h and n: of the shingles of each group those (their highest bits) that several documents have, and
     how many do. A group asks once for a shingle, so one that every document has is no large bucket."""
@@ -113,29 +148,8 @@ def _shared(rows: DataFrame, bits: int, buckets: int) -> DataFrame:
                 parts = list(zip(starts.tolist(), ends, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.repeat(pa.scalar(int(group[a]), pa.int64()), len(names)), pa.array([_packed(h[i:j]) for i, j in parts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())], names=["bucket", "group", "h", "n"])
 
-    def answer(batches):
-        import pyarrow as pa
-
-        asked = [(g, h, n) for batch in batches for g, h, n in zip(*[batch.column(c).to_pylist() for c in ("group", "h", "n")], strict=True)]
-        if not asked:
-            return
-        parts = [_unpacked(x[1]) for x in asked]
-        h, n = np.concatenate(parts), np.frombuffer(b"".join(x[2] for x in asked), np.uint8)
-        found, number = np.unique(h, return_inverse=True)
-        total = np.bincount(number, n, len(found)).astype(np.int64)
-        several, at = total > 1, 0
-        for first in range(0, len(asked), 1000):
-            groups, hashes, counts = [], [], []
-            for (g, _, _), part in zip(asked[first : first + 1000], parts[first : first + 1000], strict=True):
-                mine = number[at : at + len(part)]
-                at += len(mine)
-                mine = mine[several[mine]]
-                if len(mine):
-                    groups.append(g), hashes.append(_packed(found[mine])), counts.append(np.ascontiguousarray(np.minimum(total[mine], 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["group", "h", "n"])
-
-    asked = rows.select("group", "text").mapInArrow(ask, "bucket int, group long, h binary, n binary").repartition(buckets, "bucket")
-    return asked.mapInArrow(answer, "group long, h binary, n binary")
+    asked = rows.select("group", "text").mapInArrow(ask, "bucket int, group long, h binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return asked.mapInArrow(_answered, "group long, h binary, n binary")
 
 
 def _signed(rows: DataFrame, shared: DataFrame, bits: int, similar: tuple[int, int]) -> DataFrame:

@@ -92,3 +92,29 @@ def test_occurrences_and_bounds():
     for bits in (1, 40, 64):
         some = h >> np.uint64(64 - bits)
         assert (overlap_join._unpacked(overlap_join._packed(some)) == some).all()
+
+
+def test_a_task_holds_one_bucket_at_a_time():
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for bucket in range(6):
+            read.append(bucket)
+            h = np.array([bucket * 10 + 1, bucket * 10 + 2], np.uint64)
+            rows = [(bucket, 7, overlap_join._packed(h), bytes([1, 1])), (bucket, 8, overlap_join._packed(h[1:]), bytes([1]))]
+            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "group", "h", "n"), r, strict=True)) for r in rows])
+
+    answers = overlap_join._answered(batches())
+    first = next(answers).to_pylist()
+    assert max(read) == 1  # the second bucket's first row ends the first bucket
+    found = [*first, *[r for b in answers for r in b.to_pylist()]]
+    assert [(r["group"], overlap_join._unpacked(r["h"]).tolist()) for r in found] == [(g, [b * 10 + 2]) for b in range(6) for g in (7, 8)]
+
+
+def test_more_buckets_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(overlap_join, "BUCKET_SHINGLES", 200)
+    table = corpus()
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    assert Counter(map(tuple, overlap_join.linked(frame).collect())) == brute(table)
