@@ -159,13 +159,20 @@ def _json(fids: DataFrame) -> str:
 
 
 def _matrix_csv(t: Fixtures) -> str:
-    """The adjacency matrix of the embedding graph with an index column."""
+    """The adjacency matrix of the embedding graph with an index column, compressed. A row of the matrix is one text, made
+    of runs of zeros: a frame can't have a column for every node."""
     n = t.nodes.count()
     both = t.edges.select(F.col("u").alias("i"), F.col("v").alias("j")).unionByName(t.edges.select(F.col("v").alias("i"), F.col("u").alias("j")))
-    rows = t.nodes.join(both.groupBy(F.col("i").alias("id")).agg(F.collect_set("j").alias("js")), "id", "left")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array_contains(F.coalesce("js", F.array().cast("array<bigint>")), k.cast("long")).cast("int"))
-    wide = rows.select("id", cells.alias("c")).select("id", *[F.col("c")[k].alias(f"c{k}") for k in range(n)])
-    return _csv(wide, "matrix")
+    ones = both.where((F.col("j") >= 0) & (F.col("j") < n)).groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_set("j")).alias("js"))
+    rows = t.nodes.join(ones, "id", "left").select("id", F.coalesce("js", F.array().cast("array<bigint>")).alias("js"))
+    zeros = lambda count: F.repeat(F.lit(",0"), count.cast("int"))
+    upto = F.transform("js", lambda j, k: F.concat(zeros(j - F.coalesce(F.get("js", k - 1), F.lit(-1)) - 1), F.lit(",1")))
+    line = F.concat(F.col("id").cast("string"), F.array_join(upto, ""), zeros(n - 1 - F.coalesce(F.get("js", F.size("js") - 1), F.lit(-1))))
+    path, cells = scratch(t.nodes.sparkSession, "matrix"), 1 << 27
+    dealt = rows.repartition(max(t.nodes.sparkSession.sparkContext.defaultParallelism, n * n // cells), "id")
+    wide = dealt.select(line.alias(",".join(["id", *(f"c{k}" for k in range(n))])))
+    wide.write.option("header", True).option("sep", "\u0001").option("compression", "gzip").csv(path)
+    return path
 
 
 def _graphml(t: Fixtures) -> str:

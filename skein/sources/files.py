@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +77,43 @@ def positional(spark: SparkSession, path: str, value, name: str) -> DataFrame:
     return in_file_order(rows, "_id").select(F.col("_id").alias("id"), value(rows.columns).alias(name))
 
 
+def _matrix_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The rows of a CSV matrix with a header, each as one text (line), and how many columns the header names. A matrix
+    has as many columns as nodes, too many for columns of a frame."""
+    rows = spark.read.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return rows.toDF("line"), len(next(csv.reader(rows.columns)))
+
+
+def nonzero_cells(line: bytes) -> tuple[str, dict[int, float]]:
+    """The first cell of a CSV row, and by their places from 0 those of the others that are neither 0 nor empty."""
+    import numpy as np
+
+    if b'"' in line:
+        first, *cells = next(csv.reader([line.decode()]))
+        return first, {j: float(x) for j, x in enumerate(cells) if x and float(x) != 0}
+    text = np.frombuffer(line, np.uint8)
+    starts = np.flatnonzero(text == ord(",")) + 1
+    ends = np.append(starts[1:] - 1, len(text))[: len(starts)]
+    plain = (ends - starts == 1) & (text[np.minimum(starts, len(text) - 1)] == ord("0"))
+    cells = ((j, line[starts[j] : ends[j]]) for j in np.flatnonzero(~plain & (ends > starts)).tolist())
+    return line.split(b",", 1)[0].decode(), {j: float(x) for j, x in cells if float(x) != 0}
+
+
 def adjacency_csv(spark: SparkSession, path: str) -> DataFrame:
     """A matrix with an index column; every entry but 0 is an undirected edge: u, v."""
-    rows = spark.read.option("header", True).csv(path)
-    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in rows.columns[1:]])).alias("j", "x")
-    found = rows.select(F.col(f"`{rows.columns[0]}`").cast("long").alias("i"), cells).where("x <> 0")
-    return found.select(F.least("i", F.col("j").cast("long")).alias("u"), F.greatest("i", F.col("j").cast("long")).alias("v")).distinct()
+    rows, width = _matrix_lines(spark, path)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for line in batch.column("line"):
+                i, cells = nonzero_cells(line.as_py())
+                at = [j for j in cells if j < width - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.string()), pa.array(at, pa.int64())], names=["i", "j"])
+
+    found = rows.select(F.col("line").cast("binary").alias("line")).mapInArrow(run, "i string, j long").select(F.when(F.col("i") != "", F.col("i")).cast("long").alias("i"), "j")
+    return found.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
 
 
 def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +230,7 @@ def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
 def matrix_size(spark: SparkSession, path: str) -> int:
     """Rows of a matrix file."""
     if not path.endswith(".npy"):
-        return spark.read.option("header", True).csv(path).count()
+        return _matrix_lines(spark, path)[0].count()
 
     def rows(batches):
         import io

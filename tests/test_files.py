@@ -72,3 +72,21 @@ def test_places_follow_files_whatever_their_sizes(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == [f"{name}{k}" for name, n in (("a", 3), ("b", 4000), ("c", 50)) for k in range(n)]
+
+
+def test_matrix_of_more_columns_than_a_frame_takes(spark, tmp_path):
+    n = 21_000
+    rows = {0: {7: "1", 20_999: "0.5"}, 3: {3: "2"}, 20_999: {0: "1"}}
+    lines = [f"{i}," + ",".join(cells.get(j, "0") for j in range(n)) for i, cells in rows.items()]
+    for k in range(2):  # every file of a folder has the header
+        (tmp_path / f"m{k}.csv").write_text("\n".join(["id," + ",".join(f"c{j}" for j in range(n)), *lines[k::2]]) + "\n")
+    assert {tuple(r) for r in files.adjacency_csv(spark, f"file://{tmp_path}").collect()} == {(0, 7), (0, 20_999), (3, 3)}
+    assert files.matrix_size(spark, f"file://{tmp_path}") == 3
+
+
+def test_matrix_cells(spark, tmp_path):
+    assert files.nonzero_cells(b"5,0,1,0.0,,-2.5,00,1e-3") == ("5", {1: 1.0, 4: -2.5, 6: 0.001})
+    assert files.nonzero_cells(b'"5","0","1",0, 3') == ("5", {1: 1.0, 3: 3.0})
+    assert files.nonzero_cells(b"5") == ("5", {}) and files.nonzero_cells(b"5,") == ("5", {})
+    path = write(tmp_path / "m.csv", 'n,"a,b",c\n0,0,1\n1,1,0,9\n')  # what has no column in the header doesn't count
+    assert {tuple(r) for r in files.adjacency_csv(spark, path).collect()} == {(0, 1)}
