@@ -115,3 +115,28 @@ def test_modularity_of_odd_graphs(spark):
     assert {r["id"]: r["label"] for r in modularity.modularity_communities(edges, nodes).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
     assert modularity.modularity_communities(edges.limit(0), nodes.limit(0)).count() == 0
     assert modularity.modularity_communities(edges.limit(0), nodes).select("label").distinct().count() == 4
+
+
+def test_greedy_merges_keep_two_entries_an_edge(monkeypatch):
+    import numpy as np
+
+    from skein.operators import generate
+
+    r, most = np.random.default_rng(2), 0
+    u = r.integers(0, 2000, 6000)
+    pairs = np.unique(np.stack([np.minimum(u, 6001), (u * 7 + 3) % 2000, u, u + 1]).T.reshape(-1, 2), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+
+    class Heap:
+        heapify, heappop = staticmethod(generate.heapq.heapify), staticmethod(generate.heapq.heappop)
+
+        @staticmethod
+        def heappush(heap, x, push=generate.heapq.heappush):
+            nonlocal most
+            push(heap, x)
+            most = max(most, len(heap))
+
+    monkeypatch.setattr(generate, "heapq", Heap)
+    nodes = np.unique(pairs)
+    found = generate.merged_communities(pairs[:, 0], pairs[:, 1], nodes)
+    assert len(found) == len(nodes) and (found <= nodes).all() and most <= 2 * len(pairs)
