@@ -1,8 +1,10 @@
 """Distances between clients' updates (cid, k, w) by blocks, and the client that lies nearest to the others.
 
-Updates become vectors, cut into chunks of coordinates. Clients are dealt into blocks; a task takes two
-blocks at a time and forms all distances between them from local matrix products, chunk by chunk, so that
-it holds two blocks of one chunk and a square of sums. Every vector is shuffled once for each block.
+Updates become vectors. Clients are dealt into blocks; a task takes two blocks at a time and forms all distances
+between them from local matrix products. Where vectors are short, blocks have so many clients as fill CHUNK_VALUES,
+and a task works through tiles of their square; longer vectors are cut into chunks of coordinates, and a task holds two
+small blocks of one chunk and a square of sums. Every vector is shuffled once for each block: a few copies that deal
+the pairs out to all cores, until there are more clients than such blocks hold.
 
 Defined results: a coordinate that one of two clients lacks (or has null) doesn't count for them; two
 clients without a coordinate in common are at distance 0; a NaN makes every distance of its client NaN,
@@ -17,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Clients of a block, about, and values of a block's chunk (16 MB).
-SIDE, CHUNK_VALUES = 256, 1 << 21
+#: Clients of a block of long vectors, about, values of a block's chunk (16 MB), and clients of a tile's side.
+SIDE, CHUNK_VALUES, TILE = 256, 1 << 21, 512
 
 
 def _vectors(upd: DataFrame, width: int) -> DataFrame:
@@ -30,11 +32,11 @@ def _vectors(upd: DataFrame, width: int) -> DataFrame:
 
 def _block(part) -> tuple[np.ndarray, np.ndarray]:
     """Values (0 where there is none) and presence of the vectors of one chunk."""
-    ats, ws = ([np.asarray(x) for x in part.column(c).to_numpy(zero_copy_only=False)] for c in ("at", "w"))
-    size = 1 + max(int(x.max()) for x in ats)
-    values, has = np.zeros((len(ats), size)), np.zeros((len(ats), size), bool)
-    for i, (at, w) in enumerate(zip(ats, ws, strict=True)):
-        values[i, at], has[i, at] = w, True
+    lists = [part.column(c).combine_chunks() for c in ("at", "w")]
+    at, w = (np.asarray(x.flatten()) for x in lists)
+    row = np.repeat(np.arange(part.num_rows), np.asarray(lists[0].value_lengths()))
+    values, has = np.zeros((part.num_rows, 1 + int(at.max()))), np.zeros((part.num_rows, 1 + int(at.max())), bool)
+    values[row, at], has[row, at] = w, True
     return values, has
 
 
@@ -49,24 +51,100 @@ def squared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
             left, right = (x * x) @ in_y.T.astype(float), in_x.astype(float) @ (y * y).T
         found = left + right - 2 * (x @ y.T)
         # What cancels out, or isn't finite, is summed coordinate by coordinate.
-        for i, j in zip(*np.nonzero(~(found > 1e-6 * (left + right)))):
-            both = in_x[i] & in_y[j]
-            found[i, j] = ((x[i, both] - y[j, both]) ** 2).sum()
+        i, j = np.nonzero(~(found > 1e-6 * (left + right)))
+        for part in np.array_split(np.arange(len(i)), 1 + len(i) * size // CHUNK_VALUES):
+            apart = np.where(in_x[i[part]] & in_y[j[part]], x[i[part]] - y[j[part]], 0)
+            found[i[part], j[part]] = (apart * apart).sum(axis=1)
     return found
 
 
-def _by_blocks(upd: DataFrame, clients: int, side: int, emit: Callable, schema: str) -> DataFrame:
-    """``emit(ids of block p, ids of block q, distances, p is q)`` for every two blocks, as rows of ``schema``."""
-    blocks, width = max(1, -(-clients // side)), max(1, CHUNK_VALUES // side)
-    kind = upd.schema["cid"].dataType
+def _layout(clients: int, coordinates: int, side: int, cores: int, kept: int = 1) -> tuple[int, int]:
+    """Blocks, and coordinates of a chunk, for so many values that are kept of a client."""
+    width = max(1, CHUNK_VALUES // side)
+    if coordinates > width:
+        return max(1, -(-clients // side)), width
+    rows = max(side, CHUNK_VALUES // max(coordinates, kept, 1))
+    # Four pairs of blocks a core, if there are as many clients.
+    return max(1, -(-clients // rows), min(-(-clients // side), int(np.ceil(np.sqrt(8 * cores))))), width
+
+
+class _Rows:
+    """What a task makes of the distances between two blocks: here rows i, j, d."""
+
+    def __init__(self, kind):
+        self.kind = _arrow_type(kind)
+
+    def tile(self, first: int, rows: list, second: int, cols: list, d: np.ndarray, same: bool) -> Iterator:
+        """The clients (ids, and the place of their first in its block), their distances, and whether they are the same."""
+        import pyarrow as pa
+
+        i, j = (x.ravel() for x in np.indices(d.shape))
+        d = d.ravel()
+        if same:
+            apart = i != j
+            i, j, d = i[apart], j[apart], d[apart]
+        a, b = (pa.array(x, self.kind).take(pa.array(at)) for x, at in ((rows, i), (cols, j)))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(d)], names=["i", "j", "d"])
+        if not same:
+            yield pa.RecordBatch.from_arrays([b, a, pa.array(d)], names=["i", "j", "d"])
+
+    def end(self, rows: list, cols: list, same: bool) -> Iterator:
+        yield from ()
+
+
+class _Largest:
+    """Rows cid, rest, most: the ``most`` largest distances of each client to the other block, and the sum of the rest."""
+
+    def __init__(self, kind, most: int):
+        self.kind, self.most, self.sides = _arrow_type(kind), most, ({}, {})
+
+    def _add(self, side: int, first: int, d: np.ndarray) -> None:
+        rest, held = self.sides[side].get(first, (np.zeros(len(d)), np.zeros((len(d), 0))))
+        d = np.concatenate([held, d], axis=1)
+        cut = max(d.shape[1] - self.most, 0)
+        if 0 < cut:
+            d = np.partition(d, cut, axis=1)  # NaN last
+        self.sides[side][first] = rest + d[:, :cut].sum(axis=1), d[:, cut:]
+
+    def tile(self, first: int, rows: list, second: int, cols: list, d: np.ndarray, same: bool) -> Iterator:
+        if same:
+            d = d[~np.eye(len(d), dtype=bool)].reshape(len(d), -1)
+        self._add(0, first, d)
+        if not same:
+            self._add(1, second, d.T)
+        yield from ()
+
+    def end(self, rows: list, cols: list, same: bool) -> Iterator:
+        import pyarrow as pa
+
+        for ids, side in zip((rows, cols), self.sides, strict=True):
+            for first, (rest, most) in side.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(rest)], self.kind), pa.array(rest), pa.array(list(most), pa.list_(pa.float64()))], names=["cid", "rest", "most"])
+        self.sides = ({}, {})
+
+
+def _by_blocks(upd: DataFrame, side: int, made: Callable, schema: str, kept: int = 1) -> DataFrame:
+    """What ``made(type of cid)`` makes of the distances of every two blocks, as rows of ``schema``."""
+    cores, known = upd.sparkSession.sparkContext.defaultParallelism, upd.agg(F.count_distinct("cid").alias("n"), F.max(F.col("k").cast("long")).alias("k")).first()
+    blocks, width = _layout(known["n"], (known["k"] or 0) + 1, side, cores, kept)
+    whole, kind = (known["k"] or 0) < width, upd.schema["cid"].dataType
     own = _vectors(upd, width).withColumn("own", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "chunk", "cid", "at", "w")
-    tasks = max(upd.sparkSession.sparkContext.defaultParallelism, min(blocks * (blocks + 1) // 2, 1 << 16))
+    # More than there are pairs of blocks, so that few tasks get several.
+    tasks = max(cores, min(2 * blocks * (blocks + 1), 1 << 16))
     ordered = dealt.repartition(tasks, "p", "q").sortWithinPartitions("p", "q", "chunk", "cid")
 
+    def tiles(sides, ids, same, out):
+        """All tiles of two blocks whose vectors are whole; of a block with itself those on and above the diagonal."""
+        left, right = (_block(x) for x in sides)
+        for a in range(0, len(ids[0]), TILE):
+            for b in range(a if same else 0, len(ids[1]), TILE):
+                d = squared(*[tuple(m[at : at + TILE] for m in x) for x, at in ((left, a), (right, b))])
+                yield from out.tile(a, ids[0][a : a + TILE], b, ids[1][b : b + TILE], d, same and a == b)
+
     def run(batches) -> Iterator:
         for (p, q), parts in _runs(batches, ("p", "q")):
-            ids: tuple[dict, dict] = ({}, {})
+            ids, out = ({}, {}), made(kind)
             total = np.zeros((0, 0))
             for _, rows in _chunks(parts):
                 sides = [rows.filter(_equal(rows, "own", x)) for x in (p, q)]
@@ -75,10 +153,15 @@ def _by_blocks(upd: DataFrame, clients: int, side: int, emit: Callable, schema:
                 at = []
                 for known, x in zip(ids, sides, strict=True):
                     at.append(np.array([known.setdefault(c, len(known)) for c in x.column("cid").to_pylist()]))
+                if whole:
+                    yield from tiles(sides, [list(x) for x in ids], p == q, out)
+                    continue
                 total = np.pad(total, [(0, len(known) - n) for known, n in zip(ids, total.shape, strict=True)])
                 total[np.ix_(*at)] += squared(*map(_block, sides))
+            names = [list(x) for x in ids]
             if total.size:
-                yield from emit(list(ids[0]), list(ids[1]), total, p == q, kind)
+                yield from out.tile(0, names[0], 0, names[1], total, p == q)
+            yield from out.end(*names, p == q)
 
     return ordered.mapInArrow(run, schema)
 
@@ -139,23 +222,8 @@ def _arrow_type(kind):
 
 def distances(upd: DataFrame, side: int = SIDE) -> DataFrame:
     """Squared distances of all pairs of clients: i, j, d. There is a row for every two clients, as the method asks."""
-
-    def emit(rows, cols, found, same, kind):
-        import pyarrow as pa
-
-        i, j = (x.ravel() for x in np.indices(found.shape))
-        d = found.ravel()
-        if same:
-            apart = i != j
-            i, j, d = i[apart], j[apart], d[apart]
-        ids = [pa.array(x, _arrow_type(kind)) for x in (rows, cols)]
-        a, b = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(d)], names=["i", "j", "d"])
-        if not same:
-            yield pa.RecordBatch.from_arrays([b, a, pa.array(d)], names=["i", "j", "d"])
-
     kind = upd.schema["cid"].dataType.simpleString()
-    return _by_blocks(upd, _clients(upd), side, emit, f"i {kind}, j {kind}, d double")
+    return _by_blocks(upd, side, _Rows, f"i {kind}, j {kind}, d double")
 
 
 def _clients(upd: DataFrame) -> int:
@@ -171,18 +239,7 @@ def krum_scores(upd: DataFrame, f: int = 1, side: int = SIDE) -> DataFrame:
     kind = upd.schema["cid"].dataType.simpleString()
     if n - f - 2 < 1:
         return upd.sparkSession.createDataFrame([], f"cid {kind}, score double")
-
-    def emit(rows, cols, found, same, kind):
-        import pyarrow as pa
-
-        for ids, d in ((rows, found),) if same else ((rows, found), (cols, found.T)):
-            if same:
-                d = d[~np.eye(len(d), dtype=bool)].reshape(len(d), -1)
-            d = np.sort(d, axis=1)  # NaN last
-            cut = max(d.shape[1] - f - 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, _arrow_type(kind)), pa.array(d[:, :cut].sum(axis=1)), pa.array(list(d[:, cut:]), pa.list_(pa.float64()))], names=["cid", "rest", "most"])
-
-    parts = _by_blocks(upd, n, side, emit, f"cid {kind}, rest double, most array<double>")
+    parts = _by_blocks(upd, side, lambda kind: _Largest(kind, f + 1), f"cid {kind}, rest double, most array<double>", f + 1)
     joined = parts.groupBy("cid").agg(F.sum("rest").alias("rest"), F.array_sort(F.flatten(F.collect_list("most"))).alias("most"))  # at most f + 1 values a block
     kept = F.slice("most", F.lit(1), F.greatest(F.size("most") - (f + 1), F.lit(0)))
     return joined.select("cid", (F.col("rest") + F.aggregate(kept, F.lit(0.0), lambda s, d: s + d)).alias("score"))

@@ -96,3 +96,21 @@ def test_no_rows_are_numbered_by_coordinate(spark, vectors):
     for f in (selection.trimmed_mean, selection.coordinate_median):
         plan = f(frame(spark, vectors))._jdf.queryExecution().executedPlan().toString()
         assert "row_number" not in plan and "percentile" not in plan
+
+
+def test_short_vectors_are_copied_to_few_blocks():
+    """However many clients there are, until they are more than a block's values hold."""
+    assert robust._layout(100_000, 64, 256, 12) == (10, 8192) and robust._layout(1_000_000, 64, 256, 12)[0] == 31
+    assert robust._layout(500, 64, 256, 12)[0] == 2 and robust._layout(1000, 10_000, 256, 12) == (4, 8192)
+
+
+@pytest.mark.parametrize("tile", [1, 5, 512])
+def test_tiles_equal_the_whole_square(spark, monkeypatch, vectors, tile):
+    monkeypatch.setattr(robust, "TILE", tile)
+    want = ((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)
+    found = {(r["i"], r["j"]): r["d"] for r in robust.distances(frame(spark, vectors), 30).collect()}
+    assert len(found) == 41 * 40 and all(d == pytest.approx(want[p], rel=1e-6, abs=0) for p, d in found.items())
+    for f in (1, 30):
+        most = np.sort(want + np.diag([np.inf] * 41), axis=1)[:, : 41 - f - 2].sum(axis=1)
+        scores = {r["cid"]: r["score"] for r in robust.krum_scores(frame(spark, vectors), f, 30).collect()}
+        assert [scores[i] for i in range(41)] == pytest.approx(most.tolist(), rel=1e-6)
