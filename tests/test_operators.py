@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,13 @@ def test_round_log_stream(spark, tmp_path):
     query = live.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
     assert tuple(spark.table("live").first()) == (2, 0.7, 2.0)
+
+
+def test_softmax_of_long_vectors(spark):
+    """A cost that grows with the vector, not with its cube, and the same values."""
+    from skein.operators import learn
+
+    rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, None), (2, []), (3, [0.0] * 2000)], "id int, v array<double>")
+    found = {r["id"]: r["p"] for r in rows.select("id", learn.softmax(F.col("v")).alias("p")).collect()}
+    e = [math.exp(x - 3) for x in (1, 2, 3)]
+    assert found[0] == [x / (sum(e) + 1e-10) for x in e] and found[1] is None and found[2] == [] and found[3] == [1 / (2000 + 1e-10)] * 2000
