@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.storage import written
 from skein.operators import graph, learn
 
 Matrix = Sequence[Sequence[float]]
@@ -102,20 +103,39 @@ def clipped(gradient: DataFrame, most: float = 1.0) -> DataFrame:
     return gradient.join(F.broadcast(norms), "matrix").select("matrix", "r", "c", (F.col("g") * scale).alias("g"))
 
 
-def gcn_gradient(a_hat: DataFrame, x: DataFrame, labels: DataFrame, w0: Matrix, w1: Matrix, masked: bool = False) -> DataFrame:
-    """matrix (W0, W1), r, c, g: the gradient of the cross entropy, from labels (id, y, train), without dropout.
+class Pass(NamedTuple):
+    """One forward pass and its gradient, with the tables that both read."""
 
-    Rows outside the training mask contribute their probabilities unless ``masked``; the results to match have
-    them in."""
-    ax = graph.propagate(a_hat, x).select("id", F.col("x").alias("ax"))
-    hidden = graph.multiply(ax.select("id", F.col("ax").alias("x")), w0).select("id", learn.relu(F.col("x")).alias("x"))
-    around = graph.propagate(a_hat, hidden)
-    probs = graph.multiply(around, w1).select("id", learn.softmax(F.col("x")).alias("p"))
+    probs: DataFrame
+    gradient: DataFrame
+    tables: list[DataFrame]
+
+
+def around(a_hat: DataFrame, ax: DataFrame, w0: Matrix) -> DataFrame:
+    """id, x: A relu(AX W0), from rows (id, x) of AX."""
+    return graph.propagate(a_hat, graph.multiply(ax, w0).select("id", learn.relu(F.col("x")).alias("x")))
+
+
+def gcn_pass(a_hat: DataFrame, ax: DataFrame, labels: DataFrame, w0: Matrix, w1: Matrix, masked: bool = False) -> Pass:
+    """As ``gcn_gradient``, from rows (id, x) of AX, which no step of training changes. What several steps read is written,
+    so that a pass moves two sets of sums along edges: of hidden values and of errors of classes."""
+    second = written(around(a_hat, ax, w0), "around")
+    probs = graph.multiply(second, w1).select("id", learn.softmax(F.col("x")).alias("p"))
     size = labels.agg(F.greatest(F.count_if("train"), F.lit(1)).alias("k"))
     wrong = lambda p, i: F.when(F.col("train"), (p - F.when(i == F.col("y"), 1.0).otherwise(0.0)) / F.col("k")).otherwise(0.0 if masked else p)
-    delta = probs.join(labels, "id").join(F.broadcast(size)).select("id", F.transform("p", wrong).alias("x"))
+    delta = written(probs.join(labels, "id").join(F.broadcast(size)).select("id", F.transform("p", wrong).alias("x")), "delta")
     back = graph.multiply(graph.propagate(a_hat, delta), [list(r) for r in zip(*w1, strict=True)]).select("id", F.col("x").alias("back"))
-    gate = F.zip_with("back", "x", lambda b, h: F.when(h > 0, b).otherwise(0.0))
-    first = ax.join(back.join(hidden, "id").select("id", gate.alias("b")), "id").select(F.col("ax").alias("a"), "b")
-    second = around.select("id", F.col("x").alias("a")).join(delta.select("id", F.col("x").alias("b")), "id").select("a", "b")
-    return _outer(first, "W0").unionByName(_outer(second, "W1"))
+    hidden = graph.multiply(ax.join(back, "id").select("id", "x", "back", F.col("x").alias("a")), w0, ("back", "a"))
+    # Where the hidden value is above 0, so is its sum of products.
+    first = hidden.select("a", F.zip_with("back", "x", lambda b, h: F.when(h > 0, b).otherwise(0.0)).alias("b"))
+    pairs = second.select("id", F.col("x").alias("a")).join(delta.select("id", F.col("x").alias("b")), "id").select("a", "b")
+    return Pass(probs, _outer(first, "W0").unionByName(_outer(pairs, "W1")), [second, delta])
+
+
+def gcn_gradient(a_hat: DataFrame, x: DataFrame, labels: DataFrame, w0: Matrix, w1: Matrix, masked: bool = False) -> DataFrame:
+    """matrix (W0, W1), r, c, g: the gradient of the cross entropy, from labels (id, y, train), without dropout.
+
+    Rows outside the training mask contribute their probabilities unless ``masked``; the results to match have
+    them in. The adjacency and its product with X are written."""
+    a_hat = written(a_hat, "adjacency")
+    return gcn_pass(a_hat, written(graph.propagate(a_hat, x), "ax"), labels, w0, w1, masked).gradient

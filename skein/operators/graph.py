@@ -72,11 +72,11 @@ def propagate(a_hat: DataFrame, x: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("i").alias("id")).agg(Summarizer.sum(F.col("x"), F.col("a")).alias("x")).select("id", vector_to_array("x").alias("x"))
 
 
-def multiply(x: DataFrame, weights: list[list[float]]) -> DataFrame:
-    """X x W for features (id, x array<double>) and a model's matrix (rows of W): no shuffle."""
+def multiply(x: DataFrame, weights: list[list[float]], more: tuple[str, ...] = ()) -> DataFrame:
+    """X x W for features (id, x array<double>) and a model's matrix (rows of W): no shuffle. Columns ``more`` stay."""
     columns = x.sparkSession.createDataFrame([([[float(row[c]) for row in weights] for c in range(len(weights[0]))],)], "_w array<array<double>>")
     dot = lambda w: F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return x.join(F.broadcast(columns)).select("id", F.transform("_w", dot).alias("x"))
+    return x.join(F.broadcast(columns)).select("id", F.transform("_w", dot).alias("x"), *more)
 
 
 def label_propagation(adj: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:

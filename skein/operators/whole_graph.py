@@ -1,7 +1,8 @@
 """Training of a GCN on a whole graph, however large, as relational steps.
 
 The normalised adjacency is dealt out by its column once and kept so; a layer brings the vectors to it, and only the
-sums, combined where they arise, are shuffled on. No step or epoch moves an edge again. The model (a few matrices) is
+sums, combined where they arise, are shuffled on. No step or epoch moves an edge again, and the product of the adjacency
+with the features, which no epoch changes, is made once. The model (a few matrices) is
 on the driver, as large as it is and no larger; features, hidden layers and gradients of rows never are.
 
 Defined results: a node without a row in labels takes part in the layers but not in the gradient; an empty graph leaves
@@ -17,7 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import gnn
+from skein.functions.storage import removed, written
+from skein.operators import gnn, graph, learn
 from skein.operators.train import Config, cut, initial, shapes
 
 
@@ -35,10 +37,9 @@ def dealt(a_hat: DataFrame) -> DataFrame:
     return a_hat.repartition(parts, "j").persist(StorageLevel.DISK_ONLY)
 
 
-def loss(a_hat: DataFrame, x: DataFrame, labels: DataFrame, w0: gnn.Matrix, w1: gnn.Matrix) -> float:
-    """The mean cross entropy of the training nodes of labels (id, y, train); 0 without any."""
-    probs = gnn.gcn_forward(a_hat, x, w0, w1).join(labels.where("train"), "id")
-    found = probs.agg(F.avg(-F.log(F.get("p", F.col("y").cast("int")) + 1e-10)).alias("l")).first()["l"]
+def loss(probs: DataFrame, labels: DataFrame) -> float:
+    """The mean cross entropy of the training nodes of labels (id, y, train), from probabilities (id, p); 0 without any."""
+    found = probs.join(labels.where("train"), "id").agg(F.avg(-F.log(F.get("p", F.col("y").cast("int")) + 1e-10)).alias("l")).first()["l"]
     return float(found or 0.0)
 
 
@@ -49,18 +50,22 @@ def train_gcn(a_hat: DataFrame, x: DataFrame, labels: DataFrame, cfg: Config, cl
     sizes = shapes(cfg, features, classes)
     flat, losses, kept = initial(sizes, cfg.seed), [], dealt(a_hat)
     starts = {"W0": (0, sizes[0][1]), "W1": (sizes[0][0] * sizes[0][1], sizes[1][1])}
+    ax = written(graph.propagate(kept, x), "ax")
     try:
-        for epoch in range(epochs + 1):
-            w0, w1 = (w.tolist() for w in cut(flat, sizes))
-            losses.append(loss(kept, x, labels, w0, w1))
-            if epoch == epochs:
-                break
-            step = gnn.clipped(gnn.gcn_gradient(kept, x, labels, w0, w1, cfg.masked), cfg.clip)
+        for _ in range(epochs):
+            step = gnn.gcn_pass(kept, ax, labels, *(w.tolist() for w in cut(flat, sizes)), cfg.masked)
+            losses.append(loss(step.probs, labels))
             change = np.zeros_like(flat)
-            for r in step.collect():  # one row a weight
+            for r in gnn.clipped(step.gradient, cfg.clip).collect():  # one row a weight
                 first, cols = starts[r["matrix"]]
                 change[first + r["r"] * cols + r["c"]] = r["g"]
             flat = flat - cfg.rate * change
+            for table in step.tables:
+                removed(table)
+        w0, w1 = (w.tolist() for w in cut(flat, sizes))
+        last = graph.multiply(gnn.around(kept, ax, w0), w1).select("id", learn.softmax(F.col("x")).alias("p"))
+        losses.append(loss(last, labels))
     finally:
         kept.unpersist()
+        removed(ax)
     return Trained(flat, losses)

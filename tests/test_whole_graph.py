@@ -58,3 +58,13 @@ def test_empty_graph(spark):
     ids = nodes.select(F.col("gid").alias("id"))
     found = whole_graph.train_gcn(graph.norm_adj(edges, ids), nodes.select(F.col("gid").alias("id"), "x"), nodes.select(F.col("gid").alias("id"), "y", F.lit(True).alias("train")), train.Config(hidden=2), 3, 1)
     assert found.losses == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("epochs", [1, 3])
+def test_features_are_propagated_once(spark, monkeypatch, epochs):
+    nodes, edges = small(spark)
+    ids, calls, propagate = nodes.select(F.col("gid").alias("id")), [], graph.propagate
+    monkeypatch.setattr(graph, "propagate", lambda a, x: calls.append(x) or propagate(a, x))
+    labels = nodes.select(F.col("gid").alias("id"), "y", (F.col("split") == "train").alias("train"))
+    whole_graph.train_gcn(graph.norm_adj(edges, ids), nodes.select(F.col("gid").alias("id"), "x"), labels, train.Config(hidden=6), 4, epochs)
+    assert len(calls) == 1 + 2 * epochs + 1  # features; hidden values and errors an epoch; hidden values for the last loss
