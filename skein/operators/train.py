@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -94,17 +95,22 @@ class Graph:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, split: np.ndarray, u: np.ndarray, v: np.ndarray):
         self.x, self.y, self.split, self.u, self.v, self.n = x, y, split, u, v, len(x)
-        ids = np.arange(self.n)
-        pairs = np.unique(np.concatenate([np.stack([u, v], 1), np.stack([v, u], 1), np.stack([ids, ids], 1)]).astype(np.int64).reshape(-1, 2), axis=0)
-        self.i, self.j = pairs[:, 0], pairs[:, 1]
+        ids, n = np.arange(self.n), max(self.n, 1)
+        u, v = (np.asarray(x, np.int64) for x in (u, v))
+        self.i, self.j = np.divmod(np.unique(np.concatenate([u * n + v, v * n + u, ids * n + ids])), n)
         d = np.bincount(self.i, minlength=self.n)
-        self.a = 1 / np.sqrt(d[self.i] * d[self.j]) if len(pairs) else np.zeros(0)
+        self.a = 1 / np.sqrt(d[self.i] * d[self.j]) if len(self.i) else np.zeros(0)
+        #: Where each node's neighbours begin; every node has itself.
+        self.starts = np.searchsorted(self.i, ids)
 
     def spread(self, h: np.ndarray) -> np.ndarray:
         """The normalised adjacency times h."""
-        out = np.zeros((self.n, h.shape[1]))
-        np.add.at(out, self.i, self.a[:, None] * h[self.j])
-        return out
+        return np.add.reduceat(self.a[:, None] * h[self.j], self.starts, axis=0) if self.n else np.zeros((0, h.shape[1]))
+
+    @cached_property
+    def around(self) -> np.ndarray:
+        """The normalised adjacency times the features, the same in every epoch."""
+        return self.spread(self.x)
 
     def attend(self, h: np.ndarray, w: np.ndarray, to: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One attention head: every node's out-neighbours, by the softmax of their scores; h w without any."""
@@ -160,7 +166,7 @@ def gradient(cfg: Config, g: Graph, flat: np.ndarray, sizes: list[tuple[int, int
         if cfg.masked:
             wrong[~mask] = 0
         back = g.spread(wrong)
-        grads = [g.spread(g.x).T @ ((back @ w1.T) * (hidden > 0)), hidden.T @ back]
+        grads = [g.around.T @ ((back @ w1.T) * (hidden > 0)), hidden.T @ back]
         return np.concatenate([_within(m, cfg.clip).ravel() for m in grads]), loss_of(probs, g.y, mask)
     step, grad = 1e-4, np.zeros_like(flat)
     value = lambda w: loss_of(forward(cfg, g, cut(w, sizes))[0], g.y, mask)
@@ -260,7 +266,7 @@ def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), st
     features, classes = nodes.agg(F.max(F.size("x")), F.max("y") + 1).first()
     clients = [r["cid"] for r in nodes.select("cid").distinct().orderBy("cid").collect()]  # one value a client
     flat, rows, spent, first = initial(shapes(cfg, features or 1, classes or 1), cfg.seed), [], 0.0, 1
-    overlaps = sent = None
+    overlaps = sent = encoded = None
     merges = []
     if store is not None and not resume:
         store.forget()
@@ -275,13 +281,15 @@ def federated_run(nodes: DataFrame, edges: DataFrame, cfg: Config = Config(), st
         got = updates.drop("w", "overlap").toPandas()  # one row a client
         if not len(got):
             break
-        old = [x for x in (overlaps, sent) if x is not None]
+        old = [] if overlaps is None else [overlaps]
         shared, figures = 0, (None, None, 0)
         if cfg.noise:
             overlaps = written(privacy.overlap_merge(updates.select("cid", F.explode("overlap").alias("o")).select("cid", "o.gid", "o.z")), "overlaps")
             shared = overlaps.count()
         if cfg.sketch:
-            sent = written(privacy.bloom_encode(edges.where(some).select("cid", "u", "v"), cfg.sketch_bits, cfg.sketch_hashes), "sketches")
+            if encoded is None:  # a client's sketch is that of its edges, the same in every round
+                encoded = written(privacy.bloom_encode(edges.select("cid", "u", "v"), cfg.sketch_bits, cfg.sketch_hashes), "sketches")
+            sent = encoded.where(some)
             figures = privacy.sketch_stats(sent, cfg.sketch_bits, cfg.sketch_hashes).select("density", "est_fpr", "num_clients").first()
         merges.append((turn, shared, *figures))
         flat = np.array([r["w"] for r in federate.aggregate(long_updates(updates), cfg.method, **dict(cfg.options)).select("k", "w").orderBy("k").collect()], float)  # a model's size

@@ -183,3 +183,20 @@ def test_every_round_is_merged(spark):
     assert all(r["sketches"] == 3 and 0 < r["density"] <= 3 * 8 * 4 / 8192 and r["est_fpr"] == pytest.approx(r["density"] ** 4) for r in merges)
     silent = train.federated_run(nodes, edges, train.Config(hidden=4, rounds=1, local_epochs=1, noise=False, sketch=False)).merges.first()
     assert tuple(silent) == (1, 0, None, None, 0)
+
+
+def test_features_are_spread_once_a_client(monkeypatch):
+    r, calls, spread = np.random.default_rng(1), [], train.Graph.spread
+    u, v = r.integers(0, 30, (2, 90))
+    g = train.Graph(r.normal(size=(30, 5)), r.integers(0, 3, 30), np.array(["train"] * 30), u, v)
+    dense = np.eye(30)
+    dense[u, v] = dense[v, u] = 1
+    dense /= np.sqrt(np.outer(dense.sum(1), dense.sum(1)))
+    assert np.allclose(g.spread(g.x), dense @ g.x, rtol=1e-12, atol=1e-14)
+    monkeypatch.setattr(train.Graph, "spread", lambda self, h: calls.append(h is self.x) or spread(self, h))
+    cfg = train.Config(hidden=4, dropout=0.5)
+    sizes = train.shapes(cfg, 5, 3)
+    for _ in range(4):
+        train.gradient(cfg, g, train.initial(sizes, 1), sizes, np.ones(30, bool), r)
+    assert sum(calls) == 1 and len(calls) == 1 + 3 * 4
+    assert train.Graph(np.zeros((0, 5)), np.zeros(0, int), np.zeros(0, str), np.zeros(0, int), np.zeros(0, int)).spread(np.zeros((0, 5))).shape == (0, 5)
