@@ -234,8 +234,8 @@ class Mixer:
                 bend[k] += np.bincount(gate, bent, self.n_gates)
         self.weights += (RATE * slope / (bend + STIFF)).astype(np.float32)
         self.mass += mass
-        for places in later:
-            for table, at in zip(self.tables, places, strict=True):
+        for table, places in zip(self.tables, zip(*later, strict=True), strict=True):  # one table after the other, for the cache
+            for at in places:
                 np.add.at(table, at, np.float32(1))
 
     def sums(self) -> np.ndarray:
@@ -287,10 +287,12 @@ class Mixer:
         return out
 
 
-def _hash(*parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), 0x2545F491, np.uint32)
+def _hash(*parts: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the parts, which goes on from that of the parts before them."""
+    h = np.full(len(parts[0]), 0x2545F491, np.uint32) if after is None else after
     for p in parts:
-        h = (h ^ p.astype(np.uint32)) * _C2
+        h = h ^ p.astype(np.uint32)
+        h *= _C2
         h ^= h >> np.uint32(15)
         h *= _C1
         h ^= h >> np.uint32(13)
@@ -329,7 +331,8 @@ class Symbols:
         far = np.where(near >= 0, last[near], -1)
         a = padded[near]
         b = np.where(a == end, end, padded[far])
-        return [_hash(a), _hash(a, b), _hash(one), _hash(one, two)]
+        mark, word = _hash(a), _hash(one)
+        return [mark, _hash(b, after=mark), word, _hash(two, after=word)]
 
 
 def spelled(words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -343,11 +346,10 @@ def spelled(words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     data[inner] = letters[upto[0] : upto[-1]]
     which = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(data)) - starts[which]
-    before, contexts, wide = [], [], data.astype(np.uint32)
+    contexts, wide = [], data.astype(np.uint32)
     for k in range(1, 5):
         shifted = np.concatenate([np.zeros(k, np.uint32), wide[:-k]])[: len(wide)]
-        before.append(np.where(place < k, np.uint32(256), shifted))
-        contexts.append(_hash(*before))
+        contexts.append(_hash(np.where(place < k, np.uint32(256), shifted), after=contexts[-1] if contexts else None))
     each = _hash(wide, place).astype(np.uint64)
     upto = np.cumsum(each) - each
     contexts.append(_hash((upto - upto[starts][which]) & np.uint64(0xFFFFFFFF), place))
@@ -585,8 +587,8 @@ def _scored(docs: DataFrame, mod: int, held: int) -> tuple[int, DataFrame, DataF
         from skein.llm.tokens import slices
 
         model, listed, known, listed_as = shared.value
-        n_listed, tail = len(known), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-        known = np.vstack([known, np.zeros((1, 3))])
+        n_listed, tail = len(listed), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+        known = np.vstack([known, np.zeros((1, 3))]).T.copy()
         for part in slices(batches, 2_000_000):
             (words, sizes), m = tokens(part.column("text")), part.num_rows
             text = np.repeat(np.arange(m), sizes)
@@ -596,7 +598,7 @@ def _scored(docs: DataFrame, mod: int, held: int) -> tuple[int, DataFrame, DataF
             place, others = others.indices.to_numpy(), others.dictionary
             own = np.concatenate([listed_as, [0]])[at]
             own[rare] = symbols.of(others)[place]
-            sums = [np.bincount(text, known[at, k], m) for k in range(3)]
+            sums = [np.bincount(text, column.take(at), m) for column in known]
             sums[2] += np.bincount(text, model.log2p(own, symbols.contexts(own)), m) * np.log10(2)
             lengths, size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64()), max(len(others), 1)
             keys, times = np.unique(text[rare] * size + place, return_counts=True)
