@@ -7,14 +7,16 @@ others put their shingles in one order, from short inverted lists to long ones.
 node leaves its L longest lists out, L = T / (MU log2 M + 1) for a longest list of M, and is posted in the
 rest. Two nodes that link share as many of those short lists as the overlap they need less the larger L.
 
-Short lists of a node alone are dropped, so how many are left also bounds what two nodes can share.
+Short lists of a node alone, or of one component, are dropped, so how many are left also bounds what two nodes can
+share. They have one order, too: as the pairs of a passage that many texts have would grow with the square of
+these, two nodes only meet in a list if as many as they need in common can still follow it in both.
 
 First every node is held against the node that most of its lists name as their leader, twice, so that a
 group of near copies costs one test each and becomes one component. Then the lists that still hold several
-components are searched: a task merges, by a heap, the lists of each node in its bucket, and counts of
-pairs are added up. In a list only members outside its largest component ask, and a long list is dealt
-over several tasks. Pairs with enough short lists in common are probed in the long ones, by binary
-search in the other's sorted set, which decides exactly. Shingles are 64-bit hashes, nodes 128-bit ones.
+components are searched: a task merges, by a heap, the lists of each node in its bucket. In a list only
+members outside its largest component ask, and a long list, both its members and those that ask, is dealt
+over several tasks. Pairs that meet in a short list are probed in the others, by binary search in the
+other's sorted set, which decides exactly. Shingles are 64-bit hashes, nodes 128-bit ones.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is a component of its
 own (with its own doc_id, if null a null one); other components have their smallest doc_id (null only if
@@ -27,7 +29,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.caches import only
@@ -37,8 +39,8 @@ from skein.llm.minhash import _mixed, _odd, _WordHashes, components
 WORDS, SIMILAR = 5, (80, 100)
 #: The cost of probing a long list against that of merging a short one.
 MU = 0.01
-#: Rows of a group, and shingles for a hash bucket, about; postings for a bucket of the search; members of a list that one task searches.
-GROUP_ROWS, BUCKET_SHINGLES, BUCKET_POSTS, LIST_PART = 256, 2_000_000, 200_000, 20_000
+#: Rows of a group, and shingles for a hash bucket, about; postings for a bucket of the search; members of a list that one task searches; pairs that it holds.
+GROUP_ROWS, BUCKET_SHINGLES, BUCKET_POSTS, LIST_PART, PAIRS = 256, 2_000_000, 200_000, 20_000, 20_000
 TURNS = 2
 
 
@@ -229,56 +231,89 @@ def occurrences(lists: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _met(posts: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b and c: pairs of different components with enough short lists in common."""
-    placed = posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = placed.groupBy("e", "root").agg(F.count("*").alias("c"))
-    several = sizes.groupBy("e").agg(F.count("*").alias("roots"), F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("most")).where("roots > 1").drop("roots")
-    # Written: lists of one component, as a rule nearly all, are gone.
-    placed = written(placed.join(several, "e").withColumn("parts", F.ceil(F.col("m") / LIST_PART)), "lists")
-    buckets = max(1, placed.count() // BUCKET_POSTS)
-    bucket = F.pmod(F.xxhash64("e"), F.lit(buckets)).alias("bucket")
-    members = placed.select("e", bucket, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "root", "n", "skip", "left", (F.col("root") == F.col("most")).alias("rest"), F.lit(False).alias("asks"))
-    asking = placed.where("root <> most").select("e", bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "root", "n", "skip", "left", F.lit(False).alias("rest"), F.lit(True).alias("asks"))
+def _groups(batches):
+    """The rows of each group (bucket, part, turn), which follow each other, as one table."""
+    import pyarrow as pa
 
-    def search(table):
-        import pyarrow as pa
+    group, held = None, []
+    for batch in batches:
+        names = np.stack([batch.column(c).to_numpy() for c in ("bucket", "part", "turn")])
+        edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for first, end in zip(edges, edges[1:]):
+            if first == end:
+                continue
+            if (name := tuple(names[:, first].tolist())) != group and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            group = name
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _searched(batches, similar: tuple[int, int]):
+    """a, b: what the lists of each group bring together, at most about PAIRS rows at once."""
+    import pyarrow as pa
 
-        asks = np.array(table.column("asks").to_pylist(), bool)
+    for table in _groups(batches):
+        asks, rest = (np.array(table.column(c).to_pylist(), bool) for c in ("asks", "rest"))
         keys, number = np.unique(np.array(table.column("key").to_pylist(), object), return_inverse=True)
         n, skip, left, root = (np.zeros(len(keys), t) for t in (np.int64, np.int64, np.int64, object))
         for c, x in (("n", n), ("skip", skip), ("left", left), ("root", root)):
             x[number] = np.array(table.column(c).to_pylist(), x.dtype)
         root = np.unique(root, return_inverse=True)[1]
-        e, rest = table.column("e").to_numpy(), np.array(table.column("rest").to_pylist(), bool)
+        e, place = table.column("e").to_numpy(), table.column("place").to_numpy()
         order = np.flatnonzero(~asks)
         order = order[np.lexsort((number[order], e[order]))]
         names, starts = np.unique(e[order], return_index=True)
         lists = dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
         wanted: dict[int, list[int]] = {}
         for i in np.flatnonzero(asks).tolist():
-            wanted.setdefault(int(number[i]), []).append(int(e[i]))
-        out = {c: [] for c in ("a", "b", "n_a", "n_b", "skip", "c")}
+            wanted.setdefault(int(number[i]), []).append(i)
+        low, high = [], []
         for r, its in wanted.items():
             short = []
-            for x in its:
-                if x in lists:
-                    rows = lists[x]
-                    s = number[rows]
-                    # Of two members that both ask, the lesser does; members of the largest component never do.
-                    may = (root[s] != root[r]) & (rest[rows] | (s > r)) & (np.minimum(n[s], n[r]) * similar[1] >= np.maximum(n[s], n[r]) * similar[0])
-                    may &= np.minimum(left[s], left[r]) >= -(-(n[s] + n[r]) * similar[0] // (similar[0] + similar[1])) - np.maximum(skip[s], skip[r])
-                    short.append(s[may].tolist())
-            for s, c in occurrences(short):
-                low, high = (r, s) if r < s else (s, r)
-                for name, x in zip(out, (keys[low], keys[high], int(n[low]), int(n[high]), int(max(skip[r], skip[s])), c), strict=True):
-                    out[name].append(x)
-        return pa.table(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), *[(x, pa.int64()) for x in ("n_a", "n_b", "skip", "c")]]))
-
-    found = members.unionByName(asking).groupBy("bucket", "part").applyInArrow(search, "a binary, b binary, n_a long, n_b long, skip long, c long")
-    counted = found.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("skip").alias("skip"), F.sum("c").alias("c"))
-    overlap = F.expr(f"((n_a + n_b) * {similar[0]} + {similar[0] + similar[1] - 1}) div {similar[0] + similar[1]}")
-    return counted.where(F.col("c") >= overlap - F.col("skip")).select("a", "b")
+            for i in its:
+                rows = lists.get(int(e[i]))
+                if rows is None:
+                    continue
+                s = number[rows]
+                least = -(-(n[s] + n[r]) * similar[0] // (similar[0] + similar[1])) - np.maximum(skip[s], skip[r])
+                # As many lists as the two need in common must be left from this one on.
+                may = (least <= left[r] - place[i]) & (least <= left[s] - place[rows])
+                # Of two members that both ask, the lesser does; members of the largest component never do.
+                may &= (root[s] != root[r]) & (rest[rows] | (s > r)) & (np.minimum(n[s], n[r]) * similar[1] >= np.maximum(n[s], n[r]) * similar[0])
+                short.append(s[may].tolist())
+            for s, _ in occurrences(short):
+                low.append(min(r, s)), high.append(max(r, s))
+                if len(low) >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[x], pa.binary()) for x in (low, high)], names=["a", "b"])
+                    low, high = [], []
+        if low:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[x], pa.binary()) for x in (low, high)], names=["a", "b"])
+
+
+def _met(posts: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b: pairs of different components that have short lists in common so early in both that they may have enough."""
+    placed = posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = placed.groupBy("e", "root").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("e").agg(F.count("*").alias("roots"), F.sum("c").alias("m"), F.max("c").alias("largest"), F.max_by("root", F.struct("c", "root")).alias("most")).where("roots > 1").drop("roots")
+    # A list has parts, of which one task searches one, and members that ask in turns.
+    several = several.select("e", "m", "most", F.ceil(F.col("m") / LIST_PART).alias("parts"), F.ceil((F.col("m") - F.col("largest")) / LIST_PART).alias("turns"))
+    own = Window.partitionBy("key")  # no more rows than the text has shingles
+    # Written: lists of one component, as a rule nearly all, are gone.
+    placed = placed.join(several, "e").select("*", F.count("*").over(own).alias("left"), (F.row_number().over(own.orderBy("m", "e")) - 1).alias("place"))
+    placed = written(placed, "lists")
+    buckets = max(1, placed.count() // BUCKET_POSTS)
+    bucket = F.pmod(F.xxhash64("e"), F.lit(buckets)).alias("bucket")
+    dealt = lambda parts: F.pmod(F.xxhash64("key"), parts).cast("long")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts).cast("long") - 1))
+    columns = ["key", "root", "n", "skip", "left", F.col("place").cast("long").alias("place")]
+    members = placed.select("e", bucket, dealt("parts").alias("part"), all_of("turns").alias("turn"), *columns, (F.col("root") == F.col("most")).alias("rest"), F.lit(False).alias("asks"))
+    asking = placed.where("root <> most").select("e", bucket, all_of("parts").alias("part"), dealt("turns").alias("turn"), *columns, F.lit(False).alias("rest"), F.lit(True).alias("asks"))
+    group = ["bucket", "part", "turn"]
+    rows = members.unionByName(asking).repartition(*group).sortWithinPartitions(*group)
+    return rows.mapInArrow(lambda batches: _searched(batches, similar), "a binary, b binary").distinct()
 
 
 def _links(nodes: DataFrame, similar: tuple[int, int]) -> DataFrame | None:
@@ -286,7 +321,7 @@ def _links(nodes: DataFrame, similar: tuple[int, int]) -> DataFrame | None:
     posts = nodes.select("key", "n", "skip", F.explode("posts").alias("e"))
     several = posts.groupBy("e").agg(F.count("*").alias("m")).where("m > 1")
     posts = written(posts.join(several, "e"), "lists")
-    posts = written(posts.join(posts.groupBy("key").agg(F.count("*").alias("left"), F.sum("m").alias("mates")), "key").drop("m"), "posts")
+    posts = written(posts.join(posts.groupBy("key").agg(F.sum("m").alias("mates")), "key").drop("m"), "posts")
     sets, left, found, tested = nodes.select("key", "set"), posts, None, None
     for _ in range(TURNS):
         pairs = written(_led(left) if tested is None else _led(left).join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -118,3 +118,29 @@ def test_more_buckets_than_tasks(spark, monkeypatch):
     table = corpus()
     frame = spark.createDataFrame(table, "doc_id long, text string")
     assert Counter(map(tuple, overlap_join.linked(frame).collect())) == brute(table)
+
+
+def search_rows(n_nodes, passage, own):
+    """Rows of one group: nodes of own components that share a passage of lists, and lists that two of them have."""
+    rows = []
+    for i in range(n_nodes):
+        rare = [10_000 + i // 2 * own + j for j in range(own)]
+        lists = sorted([(2, e) for e in rare] + [(n_nodes, e) for e in range(passage)])
+        for place, (_, e) in enumerate(lists):
+            common = {"bucket": 0, "part": 0, "turn": 0, "e": e, "key": bytes([i, 1]), "root": bytes([i, 1]), "n": 100, "skip": 60, "left": len(lists), "place": place}
+            rows += [common | {"rest": False, "asks": False}, common | {"rest": False, "asks": True}]
+    return rows
+
+
+def test_a_passage_of_many_texts_makes_no_pairs_of_all(monkeypatch):
+    """89 of 100 in common, less 60 that are left out: 29 lists, of which the passage has 25 and the two of a pair 10 more."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist(search_rows(60, 25, 10))
+    found = [(r["a"][0], r["b"][0]) for b in overlap_join._searched(iter([batch.slice(0, 700), batch.slice(700)]), (80, 100)) for r in b.to_pylist()]
+    assert sorted(found) == [(i, i + 1) for i in range(0, 60, 2)]  # before: all 1770 pairs
+    # Where all pairs may link, they leave a task in small batches.
+    monkeypatch.setattr(overlap_join, "PAIRS", 100)
+    batch = pa.RecordBatch.from_pylist(search_rows(60, 29, 1))
+    sizes = [b.num_rows for b in overlap_join._searched(iter([batch]), (80, 100))]
+    assert sum(sizes) == 60 * 59 // 2 and max(sizes) == 100
