@@ -140,3 +140,28 @@ def test_greedy_merges_keep_two_entries_an_edge(monkeypatch):
     nodes = np.unique(pairs)
     found = generate.merged_communities(pairs[:, 0], pairs[:, 1], nodes)
     assert len(found) == len(nodes) and (found <= nodes).all() and most <= 2 * len(pairs)
+
+
+def test_greedy_merges_put_few_old_entries_back(monkeypatch):
+    """A community keeps its pairs in an order that its own growth leaves as it is."""
+    import numpy as np
+
+    from skein.operators import generate
+
+    r, pops = np.random.default_rng(4), 0
+    u, n = np.arange(20_000), 20_000
+    pairs = np.concatenate([np.stack([u, (u + k) % n], axis=1) for k in (1, 2)] + [np.stack([u, r.permutation(n)], axis=1)])
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+
+    class Heap:
+        heapify, heappush = staticmethod(generate.heapq.heapify), staticmethod(generate.heapq.heappush)
+
+        @staticmethod
+        def heappop(heap, pop=generate.heapq.heappop):
+            nonlocal pops
+            pops += 1
+            return pop(heap)
+
+    monkeypatch.setattr(generate, "heapq", Heap)
+    found = generate.merged_communities(pairs[:, 0], pairs[:, 1], u)
+    assert (found <= u).all() and pops < 4 * len(pairs)
