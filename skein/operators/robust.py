@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Clients of a block of long vectors, about, values of a block's chunk (16 MB), and clients of a tile's side.
 SIDE, CHUNK_VALUES, TILE = 256, 1 << 21, 512
+#: Distances whose rows are made at once, and of a run of them.
+BATCH, RUN = 1 << 16, 256
 
 
 def _vectors(upd: DataFrame, width: int) -> DataFrame:
@@ -78,15 +80,17 @@ class _Rows:
         """The clients (ids, and the place of their first in its block), their distances, and whether they are the same."""
         import pyarrow as pa
 
-        i, j = (x.ravel() for x in np.indices(d.shape))
-        d = d.ravel()
-        if same:
-            apart = i != j
-            i, j, d = i[apart], j[apart], d[apart]
+        i, j = np.triu_indices(len(d), 1) if same else (x.ravel() for x in np.indices(d.shape))
+        d = d[i, j]
         a, b = (pa.array(x, self.kind).take(pa.array(at)) for x, at in ((rows, i), (cols, j)))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(d)], names=["i", "j", "d"])
-        if not same:
-            yield pa.RecordBatch.from_arrays([b, a, pa.array(d)], names=["i", "j", "d"])
+        for at in range(0, len(d), BATCH):
+            here = slice(at, at + BATCH)
+            # A run of distances, then the same with i and j exchanged, so near that what compresses columns finds them.
+            size = len(d[here])
+            order = pa.array(np.argsort(np.tile(np.arange(size) // RUN, 2), kind="stable"))
+            x, y = a[here], b[here]
+            both = [pa.concat_arrays([x, y]), pa.concat_arrays([y, x]), pa.array(np.tile(d[here], 2))]
+            yield pa.RecordBatch.from_arrays([c.take(order) for c in both], names=["i", "j", "d"])
 
     def end(self, rows: list, cols: list, same: bool) -> Iterator:
         yield from ()
